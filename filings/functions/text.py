@@ -66,21 +66,30 @@ def _no_strings() -> Column:
     return F.array().cast("array<string>")
 
 
+def _runs(tokens: Column, n: int, step: int) -> Column:
+    """Runs of n tokens that start at every `step`-th token.
+
+    The tokens are bound first: a lambda computes what it captures anew for
+    each item.
+    """
+
+    def cut(bound: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(bound) - F.lit(n - 1), F.lit(step))
+        runs = F.transform(starts, lambda i: join_words(F.slice(bound, i, n)))
+        return F.when(F.size(bound) >= n, runs).otherwise(_no_strings())
+
+    return let(tokens, cut)
+
+
 def ngrams(tokens: Column, n: int, distinct: bool = False) -> Column:
     """Every run of n neighbouring tokens."""
-    starts = F.sequence(F.lit(1), F.size(tokens) - F.lit(n - 1))
-    runs = F.transform(starts, lambda i: join_words(F.slice(tokens, i, n)))
-    out = F.when(F.size(tokens) >= n, runs).otherwise(_no_strings())
-    return F.array_distinct(out) if distinct else out
+    runs = _runs(tokens, n, 1)
+    return F.array_distinct(runs) if distinct else runs
 
 
 def block_ngrams(tokens: Column, n: int) -> Column:
     """Distinct blocks of n tokens laid end to end; a short last block is dropped."""
-    starts = F.sequence(F.lit(1), F.size(tokens) - F.lit(n - 1), F.lit(n))
-    blocks = F.transform(starts, lambda i: join_words(F.slice(tokens, i, n)))
-    return F.array_distinct(
-        F.when(F.size(tokens) >= n, blocks).otherwise(_no_strings())
-    )
+    return F.array_distinct(_runs(tokens, n, n))
 
 
 def term_counts(tokens: Column) -> Column:

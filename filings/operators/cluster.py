@@ -32,13 +32,18 @@ def idf_weight(hashed: DataFrame, min_doc_freq: int = 5) -> DataFrame:
 def fit_clusters(
     weighted: DataFrame, k: int, max_iter: int, runs: int = 1, seed: int = 1
 ) -> KMeansModel:
-    """K-means from `runs` seeds; the model of the lowest cost is kept."""
+    """K-means from `runs` seeds; the model of the lowest cost is kept.
+
+    Term vectors are sparse, and documents may have fewer distinct vectors than
+    `k`: the row solver suits the first and copes with the second.
+    """
     best = None
     for run in range(runs):
         kmeans = KMeans(
             k=k,
             maxIter=max_iter,
             seed=seed + run,
+            solver="row",
             featuresCol="tfidf",
             predictionCol="cluster",
         )

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filings.functions.text import let
 from filings.operators.facts import is_tagged
 
 # What stands for a missing text in the fuzzy comparison.
@@ -38,16 +39,20 @@ def _result(documents: DataFrame, match: Column, matched_in: Column) -> DataFram
 
 def tag_lookup(documents: DataFrame) -> DataFrame:
     """First tagged fact whose text or tail holds the document's first fragment."""
-    fragment = F.get("fragments", F.lit(0))
-
-    def holds(text: Column) -> Column:
+    def holds(text: Column, fragment: Column) -> Column:
         return F.coalesce(F.contains(F.lower(text), fragment), F.lit(False))
 
-    matches = F.filter(
-        "facts", lambda f: is_tagged(f) & (holds(f["text"]) | holds(f["tail"]))
-    )
-    found = documents.withColumn("_match", F.get(matches, F.lit(0)))
-    where = F.when(holds(F.col("_match.text")), "text").otherwise("tail")
+    def matches(fragment: Column) -> Column:
+        return F.filter(
+            "facts",
+            lambda f: is_tagged(f)
+            & (holds(f["text"], fragment) | holds(f["tail"], fragment)),
+        )
+
+    first = F.get("fragments", F.lit(0))
+    match = F.get(let(first, matches), F.lit(0))
+    found = documents.withColumn("_match", match)
+    where = F.when(holds(F.col("_match.text"), first), "text").otherwise("tail")
     return _result(found, F.col("_match"), where).drop("_match")
 
 
@@ -88,13 +93,17 @@ def tag_lookup_fuzzy(
     def text_or_default(text: Column) -> Column:
         return F.coalesce(F.nullif(text, F.lit("")), F.lit(NO_FACT_TEXT))
 
-    def can_pass(text: Column) -> Column:
-        a, b = F.length(fragment), F.length(text_or_default(text))
+    def can_pass(text: Column, a: Column) -> Column:
+        b = F.length(text_or_default(text))
         return 2.0 * F.least(a, b) / (a + b) > threshold
 
-    candidates = F.filter(
-        "facts",
-        lambda f: is_tagged(f) & (can_pass(f["text"]) | can_pass(f["tail"])),
+    candidates = let(
+        F.length(fragment),
+        lambda size: F.filter(
+            "facts",
+            lambda f: is_tagged(f)
+            & (can_pass(f["text"], size) | can_pass(f["tail"], size)),
+        ),
     )
     listed = documents.withColumn("_near", candidates)
     found = listed.withColumn(
