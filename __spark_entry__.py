@@ -99,6 +99,7 @@ from filings.sources.corpus import (
     read_key_list,
     read_lines,
     read_phrases,
+    spread,
 )
 
 SF_ENTRY = "/root/testdata/sf0.001"
@@ -115,7 +116,7 @@ BAND = (2, 199)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:

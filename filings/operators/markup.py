@@ -30,8 +30,20 @@ _NAME_SEPARATOR = "\x1f"
 _QUOTED = {'"': "&quot;", "\n": "&#10;", "\t": "&#9;", "\r": "&#13;"}
 
 
+# Places of the values in a node while its document is read. The first ones
+# are the fields of ELEMENT, in their order.
+_FIELDS = ELEMENT.fieldNames()
+_END, _TAG, _QNAME, _TEXT, _TAIL, _TAIL_NO, _STYLE, _XML = (
+    _FIELDS.index(name)
+    for name in (
+        "end_seq", "tag", "qname", "text", "tail", "tail_no", "style_first_line", "xml",
+    )
+)
+_LAST_EVENT = len(_FIELDS)
+
+
 class _Tree:
-    """Expat callbacks that collect one document as columns of node values.
+    """Expat callbacks that collect the nodes of one document.
 
     Style marks: each start tag and each text is an event. An event is marked
     when it holds the word "style" or a line break, whichever comes first in
@@ -39,16 +51,26 @@ class _Tree:
     its start and the end of its tail is a style mark.
     """
 
+    __slots__ = (
+        "keep", "nodes", "firsts", "open", "closed", "pieces", "texts", "events",
+        "mark_at", "mark_is_style", "scope", "fresh", "styled_scope", "names",
+        "nsmap", "out", "out_owner", "out_done",
+    )
+
     def __init__(self, keep_xml_under: str | None):
         self.keep = keep_xml_under
-        self.end, self.parent, self.depth, self.kind = [], [], [], []
-        self.tag, self.qname, self.attrs = [], [], []
-        self.text, self.tail, self.text_no, self.tail_no = [], [], [], []
-        self.xml = []
-        self.first_event, self.last_event = [], []
-        self.open, self.closed, self.pieces, self.texts = [], -1, [], 0
-        self.events, self.mark_at, self.mark_is_style = 0, [], []
-        self.scope, self.fresh, self.styled_scope = [], [], 0
+        self.nodes: list[list] = []
+        self.firsts: list[int] = []  # first event of each node
+        self.open: list[int] = []
+        self.closed = -1  # last closed child of the open node
+        self.pieces: list[str] = []
+        self.texts = 0
+        self.events = 0
+        self.mark_at: list[int] = []
+        self.mark_is_style: list[bool] = []
+        self.scope: list[tuple] = []
+        self.fresh: list[tuple] = []
+        self.styled_scope = 0
         self.names: dict[str, tuple[str, str]] = {}
         self.nsmap: dict[str, str] = {}
         self.out, self.out_owner, self.out_done = None, -1, False
@@ -70,6 +92,8 @@ class _Tree:
             None if is_parameter else self.leaf("entity", name, f"&{name};")
         )
         parser.Parse(content, True)
+        self.flush()
+        self.set_style_flags()
 
     def name(self, raw: str) -> tuple[str, str]:
         """`({namespace}local, prefix:local)`."""
@@ -92,21 +116,14 @@ class _Tree:
             self.mark_is_style.append(style >= 0 and (line < 0 or style < line))
 
     def add(self, kind, tag, qname, attrs, text) -> int:
-        seq = len(self.kind)
-        self.end.append(seq)
-        self.parent.append(self.open[-1] if self.open else -1)
-        self.depth.append(len(self.open))
-        self.kind.append(kind)
-        self.tag.append(tag)
-        self.qname.append(qname)
-        self.attrs.append(attrs)
-        self.text.append(text)
-        self.tail.append(None)
-        self.text_no.append(self.texts)
-        self.tail_no.append(self.texts)
-        self.xml.append(None)
-        self.first_event.append(self.events)
-        self.last_event.append(self.events)
+        seq, above, texts = len(self.nodes), self.open, self.texts
+        self.nodes.append(
+            [
+                seq, seq, above[-1] if above else -1, len(above), kind, tag, qname,
+                attrs, text, None, texts, texts, False, None, self.events,
+            ]
+        )
+        self.firsts.append(self.events)
         return seq
 
     def flush(self) -> None:
@@ -116,15 +133,16 @@ class _Tree:
             self.pieces.clear()
             self.mark(value)
             if self.closed < 0:
-                self.text[self.open[-1]] = value
+                self.nodes[self.open[-1]][_TEXT] = value
             else:
-                self.tail[self.closed] = value
-                self.last_event[self.closed] = self.events
+                node = self.nodes[self.closed]
+                node[_TAIL] = value
+                node[_LAST_EVENT] = self.events
             self.texts += 1
             if self.out is not None:
                 self.out.append(escape(value))
         if self.out_done:
-            self.xml[self.out_owner] = "".join(self.out)
+            self.nodes[self.out_owner][_XML] = "".join(self.out)
             self.out, self.out_done = None, False
 
     def declare(self, prefix, uri) -> None:
@@ -138,53 +156,58 @@ class _Tree:
         self.styled_scope -= self.scope.pop()[2]
 
     def start(self, raw, raw_attrs) -> None:
-        self.flush()
-        tag, qname = self.name(raw)
-        attrs = {self.name(key)[0]: value for key, value in raw_attrs.items()}
+        if self.pieces or self.out_done:
+            self.flush()
+        tag, qname = self.names.get(raw) or self.name(raw)
         self.events += 1
-        seq = self.add("element", tag, qname, attrs, None)
-        tag_line = qname + "".join([f" {k} {v}" for k, v in raw_attrs.items()])
-        if self.styled_scope or "style" in tag_line.lower():
+        if raw_attrs:
+            attrs = {self.name(key)[0]: value for key, value in raw_attrs.items()}
+            line = qname + "".join([f" {k} {v}" for k, v in raw_attrs.items()])
+        else:
+            attrs, line = raw_attrs, qname
+        if self.styled_scope or "style" in line.lower():
             self.mark_at.append(self.events)
             self.mark_is_style.append(True)
-        if self.out is None and self.keep is not None and self.is_kept(seq):
-            self.out, self.out_owner = [], seq
-            self.fresh = [entry[:2] for entry in self.scope]
-        if self.out is not None:
-            self.out.append(self.start_tag(qname, raw_attrs))
+        seq = self.add("element", tag, qname, attrs, None)
+        if self.keep is not None:
+            self.write_start(seq, qname, raw_attrs)
         if seq == 0:
             self.nsmap = {prefix or "": uri or "" for prefix, uri in self.fresh}
-        self.fresh.clear()
+        if self.fresh:
+            self.fresh.clear()
         self.open.append(seq)
         self.closed = -1
 
+    def write_start(self, seq: int, qname: str, raw_attrs: dict[str, str]) -> None:
+        if self.out is None and self.is_kept(seq):
+            self.out, self.out_owner = [], seq
+            self.fresh = [entry[:2] for entry in self.scope]
+        if self.out is None:
+            return
+        shown = {
+            f"xmlns:{prefix}" if prefix else "xmlns": uri or ""
+            for prefix, uri in self.fresh
+        }
+        shown.update((self.name(key)[1], value) for key, value in raw_attrs.items())
+        pairs = [f' {key}="{escape(value, _QUOTED)}"' for key, value in shown.items()]
+        self.out.append(f"<{qname}{''.join(pairs)}>")
+
     def is_kept(self, seq: int) -> bool:
         """First child of a child of an element with the wanted local name."""
         if len(self.open) < 2 or seq != self.open[-1] + 1:
             return False
-        return self.tag[self.open[-2]].rpartition("}")[2] == self.keep
-
-    def start_tag(self, qname, raw_attrs) -> str:
-        declared = {
-            f"xmlns:{prefix}" if prefix else "xmlns": uri or ""
-            for prefix, uri in self.fresh
-        }
-        shown = {self.name(key)[1]: value for key, value in raw_attrs.items()}
-        pairs = "".join(
-            f' {key}="{escape(value, _QUOTED)}"'
-            for key, value in {**declared, **shown}.items()
-        )
-        return f"<{qname}{pairs}>"
+        return self.nodes[self.open[-2]][_TAG].rpartition("}")[2] == self.keep
 
     def stop(self, raw) -> None:
-        self.flush()
-        seq = self.open.pop()
-        self.end[seq] = len(self.kind) - 1
-        self.tail_no[seq] = self.texts
-        self.last_event[seq] = self.events
-        self.closed = seq
+        if self.pieces or self.out_done:
+            self.flush()
+        self.closed = seq = self.open.pop()
+        node = self.nodes[seq]
+        node[_END] = len(self.nodes) - 1
+        node[_TAIL_NO] = self.texts
+        node[_LAST_EVENT] = self.events
         if self.out is not None:
-            self.out.append(f"</{self.qname[seq]}>")
+            self.out.append(f"</{node[_QNAME]}>")
             self.out_done = seq == self.out_owner
 
     def leaf(self, kind, target, text) -> None:
@@ -197,46 +220,21 @@ class _Tree:
             shapes = {"comment": "<!--{1}-->", "pi": "<?{0} {1}?>", "entity": "{1}"}
             self.out.append(shapes[kind].format(target, text))
 
-    def style_flags(self) -> list[bool]:
-        flags = []
-        for first, last in zip(self.first_event, self.last_event):
-            at = bisect_left(self.mark_at, first)
-            flags.append(
-                at < len(self.mark_at)
-                and self.mark_at[at] <= last
+    def set_style_flags(self) -> None:
+        marks = self.mark_at
+        if not any(self.mark_is_style):
+            return
+        for node, first in zip(self.nodes, self.firsts):
+            at = bisect_left(marks, first)
+            node[_STYLE] = (
+                at < len(marks)
+                and marks[at] <= node[_LAST_EVENT]
                 and self.mark_is_style[at]
             )
-        return flags
-
-    def columns(self) -> dict[str, list]:
-        self.flush()
-        return {
-            "seq": list(range(len(self.kind))),
-            "end_seq": self.end,
-            "parent_seq": self.parent,
-            "depth": self.depth,
-            "kind": self.kind,
-            "tag": self.tag,
-            "qname": self.qname,
-            "attrs": self.attrs,
-            "text": self.text,
-            "tail": self.tail,
-            "text_no": self.text_no,
-            "tail_no": self.tail_no,
-            "style_first_line": self.style_flags(),
-            "xml": self.xml,
-        }
-
-
-_ARROW_TYPES = {
-    T.IntegerType(): pa.int32(),
-    T.StringType(): pa.string(),
-    T.BooleanType(): pa.bool_(),
-}
 
 
 def _read_document(content, keep_xml_under):
-    """`(columns, nsmap, None)`; for a document that does not parse, the error."""
+    """`(nodes, nsmap, None)`; for a document that does not parse, the error."""
     if content is None:
         return None, None, "no content"
     tree = _Tree(keep_xml_under)
@@ -244,10 +242,17 @@ def _read_document(content, keep_xml_under):
         tree.read(content)
     except (expat.ExpatError, ValueError, LookupError) as failure:
         return None, None, str(failure)
-    return tree.columns(), tree.nsmap, None
+    return tree.nodes, tree.nsmap, None
 
 
-def _map_array(maps: list[dict[str, str] | None]) -> pa.MapArray:
+_ARROW_TYPES = {
+    T.IntegerType(): pa.int32(),
+    T.StringType(): pa.string(),
+    T.BooleanType(): pa.bool_(),
+}
+
+
+def _map_array(maps: Sequence[dict[str, str] | None]) -> pa.MapArray:
     ends, full = [0], [entries or {} for entries in maps]
     for entries in full:
         ends.append(ends[-1] + len(entries))
@@ -258,24 +263,25 @@ def _map_array(maps: list[dict[str, str] | None]) -> pa.MapArray:
     )
 
 
-def _elements_array(documents: list[dict[str, list] | None]) -> pa.ListArray:
+def _elements_array(documents: list[list[list] | None]) -> pa.ListArray:
     offsets = [0]
-    for columns in documents:
-        offsets.append(offsets[-1] + (len(columns["seq"]) if columns else 0))
-    arrays = []
-    for field in ELEMENT.fields:
-        values = [v for doc in documents if doc for v in doc[field.name]]
-        if isinstance(field.dataType, T.MapType):
-            arrays.append(_map_array(values))
-        else:
-            arrays.append(pa.array(values, _ARROW_TYPES[field.dataType]))
-    nodes = pa.StructArray.from_arrays(arrays, ELEMENT.fieldNames())
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), nodes)
+    for nodes in documents:
+        offsets.append(offsets[-1] + len(nodes or ()))
+    rows = [node for nodes in documents if nodes for node in nodes]
+    columns = list(zip(*rows)) or [()] * len(_FIELDS)
+    arrays = [
+        _map_array(values)
+        if isinstance(field.dataType, T.MapType)
+        else pa.array(values, _ARROW_TYPES[field.dataType])
+        for field, values in zip(ELEMENT.fields, columns)
+    ]
+    elements = pa.StructArray.from_arrays(arrays, _FIELDS)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), elements)
 
 
 def _read_batches(content: str, keep_xml_under: str | None):
     def output(batch, first, documents) -> pa.RecordBatch:
-        trees, nsmaps, errors = map(list, zip(*documents))
+        trees, nsmaps, errors = zip(*documents)
         made = {
             name: batch.column(name).slice(first, len(documents))
             for name in batch.schema.names
@@ -292,7 +298,7 @@ def _read_batches(content: str, keep_xml_under: str | None):
             for value in batch.column(content):
                 source = value.as_py()
                 documents.append(_read_document(source, keep_xml_under))
-                elements += len(documents[-1][0]["seq"]) if documents[-1][0] else 0
+                elements += len(documents[-1][0] or ())
                 chars += len(source or "")
                 if elements >= _BATCH_ELEMENTS or chars >= _BATCH_CHARS:
                     yield output(batch, first, documents)

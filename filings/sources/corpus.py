@@ -33,6 +33,16 @@ def read_corpus(
     return corpus if min_partitions is None else corpus.repartition(min_partitions)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores, for a source with fewer splits than cores.
+
+    A small table in one file would otherwise be parsed by one task. A large
+    source has enough splits and is returned as it is, without a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return spark.read.text(_listed(paths))
 
