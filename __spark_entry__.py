@@ -22,11 +22,11 @@ from filings.functions.text import (
     word_tokens,
 )
 from filings.operators.cluster import cluster_report, hash_vocabulary
+from filings.operators.computed import computed
 from filings.operators.envelope import (
     decode_attachments,
     explode_attachments,
     normalise_namespace,
-    parse_envelopes,
     submission_flags,
     submissions,
 )
@@ -91,6 +91,7 @@ from filings.plans.sample_corpus import (
     order_envelopes,
     order_pages,
 )
+from filings.schemas import FACT_FIELDS, FOOTER_FIELDS, TABLE_FIELDS
 from filings.sinks.export import csv_text, write_cells, write_phrases
 from filings.sources.corpus import (
     read_cells,
@@ -126,10 +127,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _lines(spark: SparkSession, sf_dir: str, min_words: int) -> DataFrame:
     """Documents with their long lines as fragments."""
     fragments = line_fragments(F.col("text"), min_words)
-    documents = _documents(spark, sf_dir).select(
-        "doc_id", "source", fragments.alias("fragments")
+    documents = computed(_documents(spark, sf_dir), fragments=fragments)
+    return documents_with_text(documents, "fragments").select(
+        "doc_id", "source", "fragments"
     )
-    return documents_with_text(documents, "fragments")
 
 
 def _tokens(spark: SparkSession, sf_dir: str, tokens) -> DataFrame:
@@ -325,12 +326,14 @@ def q_cluster_job(spark, sf_dir):
 # Markup
 
 
-def _customers(spark, sf_dir):
-    return parse_markup(customer_pages(_table(spark, sf_dir, "customer")))
+def _customers(spark, sf_dir, fields=None):
+    pages = customer_pages(_table(spark, sf_dir, "customer"))
+    return parse_markup(pages, fields=fields)
 
 
-def _order_pages(spark, sf_dir):
-    return well_formed(parse_markup(order_pages(_table(spark, sf_dir, "orders"))))
+def _order_pages(spark, sf_dir, fields=TABLE_FIELDS):
+    pages = order_pages(_table(spark, sf_dir, "orders"))
+    return well_formed(parse_markup(pages, fields=fields))
 
 
 def q_malformed_pages(spark, sf_dir):
@@ -346,7 +349,8 @@ def q_elements_basic(spark, sf_dir):
 
 
 def q_style_dropped(spark, sf_dir):
-    nodes = parse_elements(_order_pages(spark, sf_dir), style_rule=None)
+    fields = ("seq", "kind", "qname", "text", "tail", "style_first_line")
+    nodes = parse_elements(_order_pages(spark, sf_dir, fields), style_rule=None)
     own = F.when(F.col("qname") == "style", "own_tag")
     line = F.when(F.col("style_first_line"), "first_line")
     rules = F.array_compact(F.array(own, line))
@@ -360,12 +364,13 @@ def q_root_namespaces(spark, sf_dir):
 
 
 def q_facts_resolved(spark, sf_dir):
-    return resolve_facts(_customers(spark, sf_dir))
+    return resolve_facts(_customers(spark, sf_dir, FACT_FIELDS))
 
 
 def q_footer_subtrees(spark, sf_dir):
     pages = footer_pages(_documents(spark, sf_dir), nested=True)
-    found = footer_subtrees(well_formed(parse_markup(pages)))
+    parsed = well_formed(parse_markup(pages, fields=FOOTER_FIELDS))
+    found = footer_subtrees(parsed)
     return found.select("doc_id", F.inline("subtrees")).select(
         "doc_id", "anchor_seq", "element.seq", "element.text"
     )
@@ -392,7 +397,10 @@ def q_attachments(spark, sf_dir):
 
 
 def q_namespace_normalised(spark, sf_dir):
-    nodes = parse_elements(parse_envelopes(_envelopes(spark, sf_dir)), None, ["qname", "tag"])
+    parsed = parse_markup(
+        _envelopes(spark, sf_dir), fields=("qname", "tag", "text", "tail")
+    )
+    nodes = parse_elements(parsed, style_rule=None)
     return nodes.filter(F.col("qname") == "IRmark").select(
         "path", "tag", normalise_namespace(F.col("tag")).alias("normalised")
     )
@@ -462,7 +470,7 @@ def q_cells_stored(spark, sf_dir):
 
 
 def _prose(spark, sf_dir):
-    facts = with_facts(well_formed(_customers(spark, sf_dir)))
+    facts = with_facts(well_formed(_customers(spark, sf_dir, FACT_FIELDS)))
     return with_fragments(facts, TAG_MIN_WORDS)
 
 

@@ -1 +1,9 @@
 """Spark jobs over large corpora of company filings."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the tasks, so executors need
+# no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

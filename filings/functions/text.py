@@ -14,9 +14,8 @@ SPACE_CHARS = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-_NON_SPACE_RUN = (
-    "[^\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a"
-    "\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+_SPACE_RANGES = (
+    r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
 
@@ -31,7 +30,13 @@ def strip(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Runs of characters other than white space."""
-    return F.regexp_extract_all(text, F.lit(_NON_SPACE_RUN), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(f"[^{_SPACE_RANGES}]+"), F.lit(0))
+
+
+def has_more_words(stripped: Column, n: int) -> Column:
+    """Whether a stripped text has more than n words; reads no further than that."""
+    word = f"[^{_SPACE_RANGES}]"
+    return stripped.rlike(f"^(?:{word}++[{_SPACE_RANGES}]++){{{n}}}{word}")
 
 
 def word_tokens(text: Column) -> Column:

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filings.functions.tree import children
+from filings.operators.computed import computed
 from filings.operators.markup import document_columns, parse_markup
+from filings.schemas import ENVELOPE_FIELDS
 
 # Namespaces of an envelope. The year in the second one varies
 # and is rewritten to X.
@@ -43,7 +45,7 @@ def _first(tag: str) -> Column:
 
 
 def parse_envelopes(corpus: DataFrame, content: str = "content") -> DataFrame:
-    return parse_markup(corpus, content, keep_xml_under="Instance")
+    return parse_markup(corpus, content, ENVELOPE_FIELDS, keep_xml_under="Instance")
 
 
 def envelope_fields(
@@ -53,9 +55,7 @@ def envelope_fields(
 
     A document without one of the required elements gets an `error`.
     """
-    found = parsed.withColumns(
-        {f"_{name}": _first(tag) for name, tag in FIELDS.items()}
-    )
+    found = computed(parsed, **{f"_{n}": _first(tag) for n, tag in FIELDS.items()})
     lacking = F.concat_ws(
         ", ", *[F.when(F.col(f"_{n}").isNull(), F.lit(n)) for n in required]
     )
@@ -103,8 +103,8 @@ def submissions(
 ) -> DataFrame:
     """One row per envelope with its fields, `attachments` and `error`."""
     fields = envelope_fields(parse_envelopes(corpus, content), required)
-    return fields.select(
-        *document_columns(fields), attachments_of(kinds).alias("attachments"), "error"
+    return computed(fields, attachments=attachments_of(kinds)).select(
+        *document_columns(fields), "attachments", "error"
     )
 
 
@@ -131,7 +131,7 @@ def decode_base64(encoded: Column) -> Column:
 
 def decode_attachments(attachments: DataFrame) -> DataFrame:
     """`encoded` gives way to `content`, NULL where it is not base64."""
-    return attachments.withColumn("content", decode_base64(F.col("encoded"))).drop(
+    return computed(attachments, content=decode_base64(F.col("encoded"))).drop(
         "encoded"
     )
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filings.functions.text import strip, words
+from filings.functions.text import has_more_words, strip
+from filings.operators.computed import computed
 from filings.operators.markup import document_columns, kept_elements
 
 # Names and contexts given to elements that carry none.
@@ -52,19 +53,16 @@ def fragments_of(facts: Column, min_words: int, untagged_only: bool = True) -> C
     """Lower-cased texts and tails of more than `min_words` words, in order."""
     read = F.filter(facts, lambda f: ~is_tagged(f)) if untagged_only else facts
     each = F.flatten(F.transform(read, lambda f: F.array(f["text"], f["tail"])))
-    # Words are at least one character and one space apart, so a short string
-    # needs no word count.
-    long = F.filter(
-        each,
-        lambda t: (F.length(t) > 2 * min_words) & (F.size(words(t)) > min_words),
-    )
+    long = F.filter(each, lambda t: has_more_words(t, min_words))
     return F.transform(long, F.lower)
 
 
 def with_facts(parsed: DataFrame, style_rule: str | None = "first_line") -> DataFrame:
     """Adds `facts`, one per kept element, to each document."""
     kept = kept_elements(F.col("elements"), style_rule)
-    return parsed.select(*document_columns(parsed), facts_of(kept).alias("facts"))
+    return computed(parsed, facts=facts_of(kept)).select(
+        *document_columns(parsed), "facts"
+    )
 
 
 def resolve_facts(
@@ -72,7 +70,8 @@ def resolve_facts(
 ) -> DataFrame:
     """One row per kept element: its name, context, text and tail."""
     ids = document_columns(parsed)
-    rows = with_facts(parsed, style_rule).select(*ids, F.explode("facts").alias("f"))
+    facts = facts_of(kept_elements(F.col("elements"), style_rule))
+    rows = parsed.select(*ids, F.explode(facts).alias("f"))
     return rows.select(*ids, "f.*", is_tagged(F.col("f")).alias("is_tagged"))
 
 
@@ -81,7 +80,7 @@ def with_fragments(
 ) -> DataFrame:
     """Adds `fragments` to documents that have any; the others are dropped."""
     fragments = fragments_of(F.col("facts"), min_words, untagged_only)
-    return documents_with_text(facts.withColumn("fragments", fragments), "fragments")
+    return documents_with_text(computed(facts, fragments=fragments), "fragments")
 
 
 def documents_with_text(documents: DataFrame, fragments: str) -> DataFrame:
@@ -91,5 +90,5 @@ def documents_with_text(documents: DataFrame, fragments: str) -> DataFrame:
 def line_fragments(text: Column, min_words: int) -> Column:
     """Fragments of plain text: its stripped, lower-cased, long enough lines."""
     lines = F.transform(F.split(text, "\n"), strip)
-    long = F.filter(lines, lambda t: F.size(words(t)) > min_words)
+    long = F.filter(lines, lambda t: has_more_words(t, min_words))
     return F.transform(long, F.lower)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 from xml.parsers import expat
@@ -20,7 +21,8 @@ from filings.functions.tree import (
     style_filter,
     subtree,
 )
-from filings.schemas import ELEMENT, PARSED
+from filings.operators.computed import computed
+from filings.schemas import ELEMENT
 
 # An output batch is closed after the document that takes it past either bound.
 _BATCH_ELEMENTS = 50_000
@@ -263,23 +265,28 @@ def _map_array(maps: Sequence[dict[str, str] | None]) -> pa.MapArray:
     )
 
 
-def _elements_array(documents: list[list[list] | None]) -> pa.ListArray:
+def _elements_array(
+    documents: Sequence[list[list] | None], fields: T.StructType
+) -> pa.ListArray:
     offsets = [0]
     for nodes in documents:
         offsets.append(offsets[-1] + len(nodes or ()))
     rows = [node for nodes in documents if nodes for node in nodes]
     columns = list(zip(*rows)) or [()] * len(_FIELDS)
-    arrays = [
-        _map_array(values)
-        if isinstance(field.dataType, T.MapType)
-        else pa.array(values, _ARROW_TYPES[field.dataType])
-        for field, values in zip(ELEMENT.fields, columns)
-    ]
-    elements = pa.StructArray.from_arrays(arrays, _FIELDS)
+    arrays = []
+    for field in fields:
+        values = columns[_FIELDS.index(field.name)]
+        if isinstance(field.dataType, T.MapType):
+            arrays.append(_map_array(values))
+        else:
+            arrays.append(pa.array(values, _ARROW_TYPES[field.dataType]))
+    elements = pa.StructArray.from_arrays(arrays, fields.names)
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), elements)
 
 
-def _read_batches(content: str, keep_xml_under: str | None):
+def _read_batches(
+    content: str, fields: T.StructType, keep_xml_under: str | None
+):
     def output(batch, first, documents) -> pa.RecordBatch:
         trees, nsmaps, errors = zip(*documents)
         made = {
@@ -287,12 +294,14 @@ def _read_batches(content: str, keep_xml_under: str | None):
             for name in batch.schema.names
             if name != content
         }
-        made["elements"] = _elements_array(trees)
+        made["elements"] = _elements_array(trees, fields)
         made["nsmap"] = _map_array(nsmaps)
         made["error"] = pa.array(errors, pa.string())
         return pa.RecordBatch.from_pydict(made)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Nodes are many and hold no cycles; scanning them for some is waste.
+        gc.disable()
         for batch in batches:
             first, documents, elements, chars = 0, [], 0, 0
             for value in batch.column(content):
@@ -313,10 +322,14 @@ def _read_batches(content: str, keep_xml_under: str | None):
 def parse_markup(
     documents: DataFrame,
     content: str = "content",
+    fields: Sequence[str] | None = None,
     keep_xml_under: str | None = None,
 ) -> DataFrame:
     """Parse each document; `content` gives way to `elements`, `nsmap`, `error`.
 
+    Elements carry only the named `fields` of ELEMENT, all by default. Spark
+    cannot prune fields inside Python, so a job names those it reads.
+
     `nsmap` holds the namespaces declared on the root ('' for the default). A
     document that does not parse keeps its row, with no elements and the
     parser's message in `error`. With `keep_xml_under`, the first child of each
@@ -324,8 +337,14 @@ def parse_markup(
     `xml`, with the namespaces in scope declared on it.
     """
     kept = [f for f in documents.schema.fields if f.name != content]
+    element = T.StructType([f for f in ELEMENT if fields is None or f.name in fields])
+    made = [
+        T.StructField("elements", T.ArrayType(element)),
+        T.StructField("nsmap", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("error", T.StringType()),
+    ]
     return documents.mapInArrow(
-        _read_batches(content, keep_xml_under), T.StructType(kept + PARSED)
+        _read_batches(content, element, keep_xml_under), T.StructType(kept + made)
     )
 
 
@@ -340,8 +359,7 @@ def well_formed(parsed: DataFrame) -> DataFrame:
 
 def document_columns(parsed: DataFrame) -> list[str]:
     """Columns that came with the document, not from the parser."""
-    made = {field.name for field in PARSED}
-    return [c for c in parsed.columns if c not in made]
+    return [c for c in parsed.columns if c not in ("elements", "nsmap", "error")]
 
 
 def kept_elements(elements: Column, style_rule: str | None = "first_line") -> Column:
@@ -361,7 +379,8 @@ def parse_elements(
     nodes = parsed.select(
         *ids, F.explode(kept_elements(F.col("elements"), style_rule)).alias("e")
     )
-    fields = columns or [n for n in ELEMENT.fieldNames() if n != "xml"]
+    parsed_fields = parsed.schema["elements"].dataType.elementType.names
+    fields = columns or [name for name in parsed_fields if name != "xml"]
     return nodes.select(
         *ids,
         *[
@@ -388,7 +407,7 @@ def select_subtrees(
             lambda e: F.struct(a["seq"].alias("anchor_seq"), e.alias("element")),
         ),
     )
-    return parsed.withColumn("subtrees", F.flatten(per_anchor))
+    return computed(parsed, subtrees=F.flatten(per_anchor))
 
 
 def is_footer(node: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filings.functions.text import alpha_tokens, block_ngrams, join_words
+from filings.operators.computed import computed
 from filings.operators.skew import drop_hot, hottest
 
 # Words in a phrase and the range of counts that is of interest.
@@ -16,14 +17,15 @@ BAND = (15, 199)
 def with_phrases(documents: DataFrame, n: int = PHRASE_WORDS) -> DataFrame:
     """Adds `phrases`: distinct blocks of n letter-only words of the fragments."""
     tokens = alpha_tokens(join_words(F.col("fragments")))
-    return documents.withColumn("phrases", block_ngrams(tokens, n))
+    return computed(documents, phrases=block_ngrams(tokens, n))
 
 
 def phrase_postings(documents: DataFrame, irmark: str = "irmark") -> DataFrame:
     """One row (phrase, irmark) per document and phrase in it."""
+    # Stated here, so that counting and joining read the same plan.
     return documents.select(
         F.explode("phrases").alias("phrase"), F.col(irmark).alias("irmark")
-    )
+    ).filter(F.col("phrase").isNotNull())
 
 
 def phrase_counts(postings: DataFrame) -> DataFrame:

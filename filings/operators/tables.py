@@ -17,6 +17,7 @@ from filings.functions.tree import (
     is_element,
     text_else_tail,
 )
+from filings.operators.computed import computed
 from filings.operators.markup import document_columns
 
 # Phrases before a table that mark a tax computation.
@@ -160,7 +161,7 @@ def select_tables(
             tables, lambda t: F.exists(hs, lambda h: under_heading(t, h))
         ),
     )
-    return parsed.withColumn("selected", selected)
+    return computed(parsed, selected=selected)
 
 
 def with_cells(selected: DataFrame) -> DataFrame:
@@ -181,7 +182,7 @@ def with_cells(selected: DataFrame) -> DataFrame:
         rows = F.transform(children(elements, node, XHTML + "tr"), row)
         return F.struct((at + 1).alias("table_no"), rows.alias("rows"))
 
-    return selected.withColumn("tables", F.transform("selected", table))
+    return computed(selected, tables=F.transform("selected", table))
 
 
 def table_cells(documents: DataFrame) -> DataFrame:
@@ -220,8 +221,8 @@ def with_sections(parsed: DataFrame, label: str = SECTION_LABEL) -> DataFrame:
         nodes = F.concat(F.array(node), following_subtrees(elements, node))
         return F.transform(F.filter(nodes, is_element), text_else_tail)
 
-    return parsed.withColumn(
-        "sections", F.transform(F.filter(elements, is_label), section)
+    return computed(
+        parsed, sections=F.transform(F.filter(elements, is_label), section)
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filings.functions.text import let
+from filings.operators.computed import computed
 from filings.operators.facts import is_tagged
 
 # What stands for a missing text in the fuzzy comparison.
@@ -51,7 +52,7 @@ def tag_lookup(documents: DataFrame) -> DataFrame:
 
     first = F.get("fragments", F.lit(0))
     match = F.get(let(first, matches), F.lit(0))
-    found = documents.withColumn("_match", match)
+    found = computed(documents, _match=match)
     where = F.when(holds(F.col("_match.text"), first), "text").otherwise("tail")
     return _result(found, F.col("_match"), where).drop("_match")
 
@@ -105,7 +106,7 @@ def tag_lookup_fuzzy(
             & (can_pass(f["text"], size) | can_pass(f["tail"], size)),
         ),
     )
-    listed = documents.withColumn("_near", candidates)
+    listed = computed(documents, _near=candidates)
     found = listed.withColumn(
         "_at",
         first_alike(

@@ -24,6 +24,7 @@ from filings.operators.cluster import (
     hashed_tf,
     idf_weight,
 )
+from filings.operators.computed import computed
 from filings.operators.envelope import (
     decode_attachments,
     explode_attachments,
@@ -48,6 +49,7 @@ from filings.operators.storage import materialise
 from filings.operators.tables import select_tables, with_cells, with_sections
 from filings.operators.tagging import keep_tagged, tag_lookup
 from filings.operators.terms import word_count
+from filings.schemas import FACT_FIELDS, FOOTER_FIELDS, TABLE_FIELDS
 
 
 @dataclass(frozen=True)
@@ -102,7 +104,7 @@ def cluster_texts(
 ) -> Clusters:
     """Cluster documents that have `fragments`."""
     terms = cluster_terms(F.col("fragments"), variant, stopwords)
-    kept = documents.withColumn("terms", terms).drop("fragments")
+    kept = computed(documents, terms=terms).drop("fragments")
     if not variant.raw_words and variant.ngram is None:
         kept = kept.filter(F.size("terms") > 0)
     # Fits read their input many times, so it is stored once, parsed and hashed.
@@ -123,7 +125,8 @@ def cluster_job(
     seed: int = 1,
 ) -> Clusters:
     """Group filings by the untagged prose in them."""
-    facts = with_facts(well_formed(parse_markup(corpus)), "first_line")
+    parsed = well_formed(parse_markup(corpus, fields=FACT_FIELDS))
+    facts = with_facts(parsed, "first_line")
     return cluster_texts(
         with_fragments(facts, CLUSTER_MIN_WORDS), variant, stopwords, seed
     )
@@ -138,13 +141,11 @@ def attachments(corpus: DataFrame, required: Sequence[str]) -> DataFrame:
 
 def footer_phrases(corpus: DataFrame, n: int = PHRASE_WORDS) -> DataFrame:
     """One row (phrase, irmark) per attachment and phrase in its footers."""
-    found = footer_subtrees(
-        well_formed(parse_markup(attachments(corpus, required=("irmark",))))
-    )
+    pages = attachments(corpus, required=("irmark",))
+    found = footer_subtrees(well_formed(parse_markup(pages, fields=FOOTER_FIELDS)))
     ids = [c for c in document_columns(found) if c != "subtrees"]
-    facts = found.select(
-        *ids, facts_of(F.transform("subtrees", lambda s: s["element"])).alias("facts")
-    )
+    nodes = F.transform("subtrees", lambda s: s["element"])
+    facts = computed(found, facts=facts_of(nodes)).select(*ids, "facts")
     prose = with_fragments(facts, PHRASE_MIN_WORDS, untagged_only=False)
     return phrase_postings(with_phrases(prose, n))
 
@@ -166,9 +167,8 @@ def table_job(corpus: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     envelopes = submissions(corpus)
     if keys is not None:
         envelopes = restrict_to_keys(envelopes, keys, "utr")
-    parsed = well_formed(
-        parse_markup(decode_attachments(explode_attachments(envelopes)))
-    )
+    pages = decode_attachments(explode_attachments(envelopes))
+    parsed = well_formed(parse_markup(pages, fields=TABLE_FIELDS))
     made = with_sections(with_cells(select_tables(parsed)))
     return made.select(
         *[c for c in document_columns(made) if c not in ("folder", "selected")]
@@ -177,7 +177,8 @@ def table_job(corpus: DataFrame, keys: DataFrame | None = None) -> DataFrame:
 
 def tagcheck_job(corpus: DataFrame) -> DataFrame:
     """Filings whose first long untagged text also stands under a tag."""
-    facts = with_facts(well_formed(parse_markup(corpus)), "first_line")
+    parsed = well_formed(parse_markup(corpus, fields=FACT_FIELDS))
+    facts = with_facts(parsed, "first_line")
     return keep_tagged(tag_lookup(with_fragments(facts, TAG_MIN_WORDS)))
 
 

@@ -28,14 +28,13 @@ ELEMENT = T.StructType(
     ]
 )
 
-ELEMENTS = T.ArrayType(ELEMENT)
-
-# Columns added to a document by the markup parser in place of its content.
-PARSED = [
-    T.StructField("elements", ELEMENTS),
-    T.StructField("nsmap", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("error", T.StringType()),
-]
+# The fields that each kind of work reads.
+FACT_FIELDS = ("seq", "attrs", "text", "tail", "style_first_line")
+FOOTER_FIELDS = ("seq", "end_seq", "kind", "qname", "attrs", "text", "tail")
+ENVELOPE_FIELDS = ("seq", "end_seq", "parent_seq", "kind", "tag", "text", "xml")
+TABLE_FIELDS = (
+    "seq", "end_seq", "parent_seq", "kind", "tag", "text", "tail", "text_no", "tail_no",
+)
 
 # One row per attachment in the stored result of the table job.
 TABLE = T.StructType(
