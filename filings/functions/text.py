@@ -30,7 +30,7 @@ def strip(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Runs of characters other than white space."""
-    return F.regexp_extract_all(text, F.lit(f"[^{_SPACE_RANGES}]+"), F.lit(0))
+    return F.array_remove(F.split(text, f"[{_SPACE_RANGES}]+", -1), "")
 
 
 def has_more_words(stripped: Column, n: int) -> Column:

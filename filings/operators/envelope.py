@@ -124,9 +124,15 @@ def explode_attachments(envelopes: DataFrame) -> DataFrame:
 
 
 def decode_base64(encoded: Column) -> Column:
-    """Bytes of a base64 text; characters outside its alphabet are skipped."""
-    plain = F.regexp_replace(encoded, "[^A-Za-z0-9+/=]+", "")
-    return F.try_to_binary(plain, F.lit("base64"))
+    """Bytes of a base64 text, NULL where it is none.
+
+    Characters outside the alphabet are skipped and so is what follows the
+    padding; that is looked at only where the text as it stands does not decode.
+    """
+    form = F.lit("base64")
+    alphabet = F.regexp_replace(encoded, "[^A-Za-z0-9+/=]+", "")
+    body = F.substring_index(alphabet, "=", 1)
+    return F.coalesce(F.try_to_binary(encoded, form), F.try_to_binary(body, form))
 
 
 def decode_attachments(attachments: DataFrame) -> DataFrame:
