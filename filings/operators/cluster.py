@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from filings.operators.computed import computed
+
 # Centres with more values than this are joined instead of broadcast.
 BROADCAST_CENTRE_VALUES = 2_000_000
 
@@ -62,11 +64,13 @@ def hash_vocabulary(
     documents: DataFrame, n_features: int, terms: str = "terms"
 ) -> DataFrame:
     """One row (index, term) per distinct term; terms may share an index."""
-    distinct = documents.select(F.explode(terms).alias("term")).distinct()
+    listed = documents.select(F.explode(F.array_distinct(terms)).alias("term"))
+    distinct = listed.distinct()
     alone = hashed_tf(distinct.withColumn("one", F.array("term")), n_features, "one")
-    # A vector shows as (size,[index],[1.0]).
+    # A vector shows as (size,[index],[1.0]). A later join on the index must not
+    # hash terms before they are distinct.
     index = F.regexp_extract(F.col("tf").cast("string"), r",\[(\d+)\]", 1)
-    return alone.select(index.cast("int").alias("index"), "term")
+    return computed(alone, index=index.cast("int")).select("index", "term")
 
 
 def centre_weights(

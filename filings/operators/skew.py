@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 # At most this many keys are broadcast. A key that is not among the HOT_KEYS
 # most frequent ones holds less than 1/HOT_KEYS of all rows.
 HOT_KEYS = 1000
-SALTS = 256
 
 
 def hottest(counts: DataFrame, n: str) -> DataFrame:
@@ -26,24 +25,26 @@ def join_counts(
     """Add `n` of `counts` (one row per key) to every row of that key.
 
     Rows of the most frequent keys take `n` from a broadcast of at most
-    HOT_KEYS rows and are then spread over SALTS partitions, where they match
-    nothing. Only the other keys meet `counts` in the shuffle join.
+    HOT_KEYS rows. In the shuffle join they then have no key and are spread by
+    `spread_by`; only the other keys meet `counts` there. Key and spread are
+    one struct: as two conditions, the constant side of the second would be
+    optimized away, and all rows without a key would go to one task.
     """
     hot = hottest(counts, n).select(F.col(key), F.col(n).alias("_hot_n"))
-    marked = rows.join(F.broadcast(hot), key, "left").withColumns(
-        {
-            "_cold_key": F.when(F.col("_hot_n").isNull(), F.col(key)),
-            "_salt": F.when(
-                F.col("_hot_n").isNotNull(),
-                F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"),
-            ).otherwise(F.lit(-1)),
-        }
+    is_hot = F.col("_hot_n").isNotNull()
+    spread = F.when(is_hot, F.xxhash64(spread_by)).otherwise(F.lit(0).cast("long"))
+    marked = rows.join(F.broadcast(hot), key, "left").withColumn(
+        "_place",
+        F.struct(F.when(~is_hot, F.col(key)).alias("key"), spread.alias("spread")),
     )
     cold = counts.select(
-        F.col(key).alias("_cold_key"), F.lit(-1).alias("_salt"), F.col(n).alias("_n")
+        F.struct(F.col(key).alias("key"), F.lit(0).cast("long").alias("spread")).alias(
+            "_place"
+        ),
+        F.col(n).alias("_n"),
     )
     return (
-        marked.join(cold, ["_cold_key", "_salt"], "left")
+        marked.join(cold, "_place", "left")
         .withColumn(n, F.coalesce("_hot_n", "_n"))
-        .drop("_cold_key", "_salt", "_hot_n", "_n")
+        .drop("_place", "_hot_n", "_n")
     )

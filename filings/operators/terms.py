@@ -29,6 +29,7 @@ def doc_frequency(documents: DataFrame, terms: Column) -> DataFrame:
     """In how many documents each term is."""
     return (
         documents.select(F.explode(F.array_distinct(terms)).alias("term"))
+        .filter(F.col("term").isNotNull())
         .groupBy("term")
         .agg(F.count("*").alias("df"))
     )

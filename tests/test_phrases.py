@@ -55,6 +55,31 @@ def test_join_counts_spreads_hot_keys_and_keeps_every_row(spark, monkeypatch):
     assert all(r.n == (None if r.k == "lone" else expected[r.k]) for r in got)
 
 
+def test_hot_rows_do_not_meet_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_KEYS", 2)
+    rows = spark.range(8000).select(
+        F.when(F.col("id") < 5000, "hot").otherwise(F.col("id").cast("string")).alias("k"),
+        "id",
+    )
+    counts = rows.groupBy("k").agg(F.count("*").alias("n"))
+    options = {
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {name: spark.conf.get(name) for name in options}
+    for name, value in options.items():
+        spark.conf.set(name, value)
+    try:
+        joined = skew.join_counts(rows, counts, "k", "n", "id")
+        tasks = joined.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(tasks) == 8
+    assert max(t["count"] for t in tasks) < 8000 / 4
+
+
 def test_tfidf_matches_its_formula(spark):
     rng = random.Random(1)
     texts = [
