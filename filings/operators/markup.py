@@ -54,13 +54,14 @@ class _Tree:
     """
 
     __slots__ = (
-        "keep", "nodes", "firsts", "open", "closed", "pieces", "texts", "events",
+        "keep", "marks_style", "nodes", "firsts", "open", "closed", "pieces", "texts", "events",
         "mark_at", "mark_is_style", "scope", "fresh", "styled_scope", "names",
         "nsmap", "out", "out_owner", "out_done",
     )
 
-    def __init__(self, keep_xml_under: str | None):
+    def __init__(self, keep_xml_under: str | None, marks_style: bool):
         self.keep = keep_xml_under
+        self.marks_style = marks_style
         self.nodes: list[list] = []
         self.firsts: list[int] = []  # first event of each node
         self.open: list[int] = []
@@ -95,7 +96,8 @@ class _Tree:
         )
         parser.Parse(content, True)
         self.flush()
-        self.set_style_flags()
+        if self.marks_style:
+            self.set_style_flags()
 
     def name(self, raw: str) -> tuple[str, str]:
         """`({namespace}local, prefix:local)`."""
@@ -117,6 +119,13 @@ class _Tree:
             self.mark_at.append(self.events)
             self.mark_is_style.append(style >= 0 and (line < 0 or style < line))
 
+    def mark_tag(self, qname: str, raw_attrs: dict[str, str]) -> None:
+        self.events += 1
+        line = qname + "".join([f" {k} {v}" for k, v in raw_attrs.items()])
+        if self.styled_scope or "style" in line.lower():
+            self.mark_at.append(self.events)
+            self.mark_is_style.append(True)
+
     def add(self, kind, tag, qname, attrs, text) -> int:
         seq, above, texts = len(self.nodes), self.open, self.texts
         self.nodes.append(
@@ -133,7 +142,8 @@ class _Tree:
         if self.pieces:
             value = "".join(self.pieces)
             self.pieces.clear()
-            self.mark(value)
+            if self.marks_style:
+                self.mark(value)
             if self.closed < 0:
                 self.nodes[self.open[-1]][_TEXT] = value
             else:
@@ -161,15 +171,11 @@ class _Tree:
         if self.pieces or self.out_done:
             self.flush()
         tag, qname = self.names.get(raw) or self.name(raw)
-        self.events += 1
-        if raw_attrs:
-            attrs = {self.name(key)[0]: value for key, value in raw_attrs.items()}
-            line = qname + "".join([f" {k} {v}" for k, v in raw_attrs.items()])
-        else:
-            attrs, line = raw_attrs, qname
-        if self.styled_scope or "style" in line.lower():
-            self.mark_at.append(self.events)
-            self.mark_is_style.append(True)
+        attrs = raw_attrs and {
+            self.name(key)[0]: value for key, value in raw_attrs.items()
+        }
+        if self.marks_style:
+            self.mark_tag(qname, raw_attrs)
         seq = self.add("element", tag, qname, attrs, None)
         if self.keep is not None:
             self.write_start(seq, qname, raw_attrs)
@@ -216,7 +222,8 @@ class _Tree:
         if not self.open:
             return
         self.flush()
-        self.mark(text if target is None else f"{target} {text}")
+        if self.marks_style:
+            self.mark(text if target is None else f"{target} {text}")
         self.closed = self.add(kind, None, target, {}, text)
         if self.out is not None:
             shapes = {"comment": "<!--{1}-->", "pi": "<?{0} {1}?>", "entity": "{1}"}
@@ -235,11 +242,11 @@ class _Tree:
             )
 
 
-def _read_document(content, keep_xml_under):
+def _read_document(content, keep_xml_under, marks_style):
     """`(nodes, nsmap, None)`; for a document that does not parse, the error."""
     if content is None:
         return None, None, "no content"
-    tree = _Tree(keep_xml_under)
+    tree = _Tree(keep_xml_under, marks_style)
     try:
         tree.read(content)
     except (expat.ExpatError, ValueError, LookupError) as failure:
@@ -287,6 +294,8 @@ def _elements_array(
 def _read_batches(
     content: str, fields: T.StructType, keep_xml_under: str | None
 ):
+    marks_style = "style_first_line" in fields.names
+
     def output(batch, first, documents) -> pa.RecordBatch:
         trees, nsmaps, errors = zip(*documents)
         made = {
@@ -306,7 +315,7 @@ def _read_batches(
             first, documents, elements, chars = 0, [], 0, 0
             for value in batch.column(content):
                 source = value.as_py()
-                documents.append(_read_document(source, keep_xml_under))
+                documents.append(_read_document(source, keep_xml_under, marks_style))
                 elements += len(documents[-1][0] or ())
                 chars += len(source or "")
                 if elements >= _BATCH_ELEMENTS or chars >= _BATCH_CHARS:
