@@ -407,7 +407,9 @@ def q_namespace_normalised(spark, sf_dir):
 
 
 def q_submission_flags(spark, sf_dir):
-    return submission_flags(submissions(_envelopes(spark, sf_dir)))
+    flags = submission_flags(submissions(_envelopes(spark, sf_dir)))
+    flags.createOrReplaceTempView("submission_flags")
+    return spark.sql("SELECT path, irmark, pos, is_ct, is_ix FROM submission_flags")
 
 
 def _taxpayers(spark, sf_dir):

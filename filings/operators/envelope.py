@@ -49,13 +49,15 @@ def parse_envelopes(corpus: DataFrame, content: str = "content") -> DataFrame:
 
 
 def envelope_fields(
-    parsed: DataFrame, required: Sequence[str] = tuple(FIELDS)
+    parsed: DataFrame, required: Sequence[str] = tuple(FIELDS), **more: Column
 ) -> DataFrame:
     """Adds taxpayer, period end and receipt mark: the first of each.
 
-    A document without one of the required elements gets an `error`.
+    A document without one of the required elements gets an `error`. Columns in
+    `more` are computed in the same pass.
     """
-    found = computed(parsed, **{f"_{n}": _first(tag) for n, tag in FIELDS.items()})
+    firsts = {f"_{name}": _first(tag) for name, tag in FIELDS.items()}
+    found = computed(parsed, **firsts, **more)
     lacking = F.concat_ws(
         ", ", *[F.when(F.col(f"_{n}").isNull(), F.lit(n)) for n in required]
     )
@@ -102,9 +104,10 @@ def submissions(
     required: Sequence[str] = tuple(FIELDS),
 ) -> DataFrame:
     """One row per envelope with its fields, `attachments` and `error`."""
-    fields = envelope_fields(parse_envelopes(corpus, content), required)
-    return computed(fields, attachments=attachments_of(kinds)).select(
-        *document_columns(fields), "attachments", "error"
+    parsed = parse_envelopes(corpus, content)
+    made = envelope_fields(parsed, required, attachments=attachments_of(kinds))
+    return made.select(
+        *document_columns(parsed), *FIELDS, "attachments", "error"
     )
 
 

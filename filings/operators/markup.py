@@ -311,6 +311,12 @@ def _read_batches(
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Nodes are many and hold no cycles; scanning them for some is waste.
         gc.disable()
+        try:
+            yield from read_all(batches)
+        finally:
+            gc.enable()
+
+    def read_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first, documents, elements, chars = 0, [], 0, 0
             for value in batch.column(content):
