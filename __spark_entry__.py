@@ -92,7 +92,12 @@ from filings.plans.sample_corpus import (
     order_pages,
 )
 from filings.schemas import FACT_FIELDS, FOOTER_FIELDS, TABLE_FIELDS
-from filings.sinks.export import csv_text, write_cells, write_phrases
+from filings.sinks.export import (
+    csv_text,
+    encode_cp1252,
+    write_cells,
+    write_phrases,
+)
 from filings.sources.corpus import (
     read_cells,
     read_corpus,
@@ -455,6 +460,13 @@ def q_render_tables_csv(spark, sf_dir):
     return rendered.select("doc_id", csv_text(F.col("rendered")).alias("lines"))
 
 
+def q_export_cp1252(spark, sf_dir):
+    encoded = encode_cp1252(F.col("text"), "ignore")
+    return _documents(spark, sf_dir).select(
+        "doc_id", F.length(encoded).alias("n_bytes")
+    )
+
+
 def q_table_job(spark, sf_dir):
     made = table_job(_envelopes(spark, sf_dir), _taxpayers(spark, sf_dir))
     return table_cells(made)
@@ -836,6 +848,9 @@ def oracle_sql() -> dict[str, str]:
         "|| repeat('#---------,', 5) || chr(13) || chr(10) "
         "|| repeat('\"\"' || chr(13) || chr(10), 2) ELSE '' END "
         "|| 'Tax,' || due AS lines FROM o",
+        "export_cp1252": "SELECT doc_id, CAST(length(regexp_replace(text, "
+        "'[^\\x{00}-\\x{7F}\\x{A0}-\\x{FF}€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]', '', 'g')) "
+        "AS INTEGER) AS n_bytes FROM documents",
         "sibling_sections": _ORDER_SQL
         + ", "
         + _SECTION_SQL

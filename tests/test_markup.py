@@ -1,8 +1,12 @@
 """Parser, element rows, style rules, quarantine and footers."""
 
+import random
+from xml.etree import ElementTree
+
 import pytest
 from pyspark.sql import functions as F
 
+from filings.operators import markup
 from filings.operators.markup import (
     footer_subtrees,
     parse_elements,
@@ -160,3 +164,46 @@ def test_footers_emit_nested_anchors_twice_and_skip_comments(spark):
     assert [tuple(r) for r in rows] == [
         (1, "one"), (1, "two"), (1, "three"), (4, "three"),
     ]
+
+
+def random_document(rng, depth=0):
+    words = ["style", "STYLE ", "\n", "t", " ", "a&amp;b", "sty", "le", "<!--style-->", "<!--\nc-->", "<?p style?>"]
+    text = lambda: "".join(rng.choice(words) for _ in range(rng.randint(0, 2)))
+    attribute = rng.choice(["", "", " k='1'", " style='x'", "\nk='a&#10;style'"])
+    children = rng.randint(0, 3) if depth < 4 else 0
+    inner = "".join(random_document(rng, depth + 1) + text() for _ in range(children))
+    name = rng.choice("abc")
+    return f"<{name}{attribute}>{text()}{inner}</{name}>"
+
+
+def test_trees_and_style_flags_agree_with_the_standard_library(spark):
+    rng = random.Random(11)
+    sources = [random_document(rng) for _ in range(200)]
+    rows = sorted(parse(spark, *sources).collect(), key=lambda r: r.doc_id)
+    flagged = 0
+    for source, row in zip(sources, rows):
+        builder = ElementTree.TreeBuilder(insert_comments=True, insert_pis=True)
+        parser = ElementTree.XMLParser(target=builder)
+        root = ElementTree.fromstring(source, parser)
+        wanted = list(root.iter())
+        assert len(wanted) == len(row.elements)
+        for ours, theirs in zip(row.elements, wanted):
+            if ours.kind == "element":
+                assert (ours.tag, ours.attrs) == (theirs.tag, theirs.attrib)
+                assert (ours.text or "") == (theirs.text or "")
+            assert (ours.tail or "") == (theirs.tail or "")
+            assert ours.end_seq - ours.seq == sum(1 for _ in theirs.iter()) - 1
+            line = ElementTree.tostring(theirs, "unicode").split("\n")[0].lower()
+            assert ours.style_first_line == ("style" in line), (source, ours.seq)
+            flagged += ours.style_first_line
+    assert flagged > 100
+
+
+def test_batches_are_split_at_document_bounds(spark, monkeypatch):
+    monkeypatch.setattr(markup, "_BATCH_ELEMENTS", 7)
+    pages = spark.range(500).coalesce(1).select(
+        "id", F.concat(F.lit("<a><b/><c/>"), F.col("id").cast("string"), F.lit("</a>")).alias("page")
+    )
+    rows = parse_markup(pages, "page", fields=("text", "tail")).collect()
+    assert [(r.id, r.elements[2].tail) for r in rows] == [(i, str(i)) for i in range(500)]
+    assert rows[0].elements[0].asDict() == {"text": None, "tail": None}
