@@ -86,13 +86,16 @@ class Clusters:
         return explain_clusters(self.vocabulary, self.documents, self.model, top)
 
 
-def cluster_terms(
+def cluster_tokens(
     fragments: Column, variant: Variant, stopwords: Sequence[str]
 ) -> Column:
     text = join_words(fragments)
     if variant.raw_words:
         return space_tokens(text)
-    tokens = remove_stopwords(word_tokens(text), stopwords)
+    return remove_stopwords(word_tokens(text), stopwords)
+
+
+def cluster_terms(tokens: Column, variant: Variant) -> Column:
     return tokens if variant.ngram is None else ngrams(tokens, variant.ngram)
 
 
@@ -103,17 +106,19 @@ def cluster_texts(
     seed: int = 1,
 ) -> Clusters:
     """Cluster documents that have `fragments`."""
-    terms = cluster_terms(F.col("fragments"), variant, stopwords)
-    kept = computed(documents, terms=terms).drop("fragments")
-    if not variant.raw_words and variant.ngram is None:
-        kept = kept.filter(F.size("terms") > 0)
+    tokens = cluster_tokens(F.col("fragments"), variant, stopwords)
+    kept = computed(documents, tokens=tokens).drop("fragments")
+    kept = kept.filter(F.size("tokens") > 0)
+    terms = cluster_terms(F.col("tokens"), variant)
+    hashed = hashed_tf(kept.withColumn("terms", terms), variant.n_features)
     # Fits read their input many times, so it is stored once, parsed and hashed.
-    hashed = materialise(hashed_tf(kept, variant.n_features), "tf")
-    weighted = idf_weight(hashed)
+    # N-grams repeat each word n times; they are made again where they are read.
+    stored = materialise(hashed.drop("terms"), "tf").withColumn("terms", terms)
+    weighted = idf_weight(stored)
     model = fit_clusters(weighted, variant.k, variant.max_iter, variant.runs, seed)
     return Clusters(
-        cluster_documents(weighted, model),
-        hash_vocabulary(hashed, variant.n_features),
+        cluster_documents(weighted, model).drop("tokens"),
+        hash_vocabulary(stored, variant.n_features),
         model,
     )
 

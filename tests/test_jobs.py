@@ -25,6 +25,7 @@ from filings.plans.jobs import (
     cluster_job,
     cluster_terms,
     cluster_texts,
+    cluster_tokens,
     phrase_job,
     table_job,
     tagcheck_job,
@@ -147,7 +148,7 @@ def test_idf_and_vocabulary(spark):
 def test_variants_of_terms(spark):
     rows = spark.createDataFrame([(["The cat -  sat", "on a b c d mat"],)], "f array<string>")
     terms = {
-        name: rows.select(cluster_terms(F.col("f"), v, ["The", "a"])).first()[0]
+        name: rows.select(cluster_terms(cluster_tokens(F.col("f"), v, ["The", "a"]), v)).first()[0]
         for name, v in VARIANTS.items()
     }
     assert terms["words"] == "The cat -  sat on a b c d mat".split(" ")
