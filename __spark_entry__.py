@@ -7,7 +7,6 @@ the same tables knows the answer.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,7 +53,7 @@ from filings.operators.phrases import (
     phrase_with_irmark,
     with_phrases,
 )
-from filings.operators.storage import shared_folder
+from filings.operators.storage import new_path
 from filings.operators.tables import (
     render_tables,
     select_tables,
@@ -108,6 +107,13 @@ from filings.sources.corpus import (
     spread,
 )
 
+# The operators for training data are a subpackage that may be absent.
+try:
+    import corpus_pipeline
+    from filings.llm import queries as llm
+except ImportError:
+    corpus_pipeline = llm = None
+
 SF_ENTRY = "/root/testdata/sf0.001"
 
 # The stop words of these queries; the operators take any list.
@@ -149,10 +155,6 @@ def _joined(phrases: DataFrame) -> DataFrame:
     return phrases.withColumn("irmarks", F.array_join("irmarks", ","))
 
 
-def _new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # Words and text
 
 
@@ -252,7 +254,7 @@ def q_phrase_total(spark, sf_dir):
 
 
 def q_phrases_stored(spark, sf_dir):
-    path = _new_path(spark, "phrases")
+    path = new_path(spark, "phrases")
     write_phrases(_band(spark, sf_dir), path)
     return _joined(read_phrases(spark, path))
 
@@ -473,7 +475,7 @@ def q_table_job(spark, sf_dir):
 
 
 def q_cells_stored(spark, sf_dir):
-    path = _new_path(spark, "cells")
+    path = new_path(spark, "cells")
     write_cells(
         table_job(_envelopes(spark, sf_dir), _taxpayers(spark, sf_dir)), path
     )
@@ -505,13 +507,13 @@ def q_tagcheck_job(spark, sf_dir):
 
 
 def q_word_count_job(spark, sf_dir):
-    path = _new_path(spark, "lines")
+    path = new_path(spark, "lines")
     _documents(spark, sf_dir).select("text").write.text(path)
     return word_count_job(read_lines(spark, path))
 
 
 def q_corpus_files(spark, sf_dir):
-    path = _new_path(spark, "corpus")
+    path = new_path(spark, "corpus")
     documents = _documents(spark, sf_dir).select("source", "text")
     documents.write.partitionBy("source").text(path)
     files = read_corpus(spark, f"{path}/*")
@@ -522,7 +524,7 @@ def q_corpus_files(spark, sf_dir):
 
 
 def q_key_list_file(spark, sf_dir):
-    path = _new_path(spark, "keys")
+    path = new_path(spark, "keys")
     _table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(
         "c_custkey", "c_name", "c_mktsegment"
     ).write.csv(path)
@@ -534,7 +536,7 @@ def q_key_list_file(spark, sf_dir):
 
 
 def q_index_file(spark, sf_dir):
-    path = _new_path(spark, "index")
+    path = new_path(spark, "index")
     _table(spark, sf_dir, "orders").select(
         F.concat(F.lit("IR"), F.col("o_orderkey").cast("string")).alias("irmark"),
         "o_orderstatus",
@@ -544,11 +546,14 @@ def q_index_file(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name; each takes the session and the table folder."""
-    return {
+    found = {
         name[2:]: query
         for name, query in globals().items()
         if name.startswith("q_") and callable(query)
     }
+    if llm:
+        found |= llm.QUERIES | {"pipeline": corpus_pipeline.run}
+    return found
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -736,7 +741,7 @@ def oracle_sql() -> dict[str, str]:
         "SELECT word, count(*) AS n FROM (SELECT "
         "unnest(regexp_extract_all(text, '\\S+')) AS word FROM documents) GROUP BY word"
     )
-    return {
+    sql = {
         "word_count": word_counts,
         "word_count_job": word_counts,
         "top_words_preview": word_counts + " ORDER BY n DESC, word LIMIT 10",
@@ -868,3 +873,7 @@ def oracle_sql() -> dict[str, str]:
         f"FROM orders WHERE {_BUILDING}",
         "index_file": "SELECT 'IR' || o_orderkey AS irmark FROM orders",
     }
+    if llm:
+        own = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+        sql |= llm.ORACLE_SQL | own
+    return sql
