@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filings.llm.shards import with_shards
+from filings.llm.simhash import with_components
 from filings.llm.urls import RULES, judge_urls, url_parts
 from filings.llm.warc import MIN_SHARED, archived_pages
 
@@ -29,6 +30,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_components(_table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(_table(spark, sf_dir, "pages"))
 
@@ -86,7 +91,7 @@ FROM r
 
 QUERIES = {
     query.__name__: query
-    for query in (op3_sharding, op6_warc, op9_url_filters)
+    for query in (op3_sharding, op4_simhash, op6_warc, op9_url_filters)
 }
 
 ORACLE_SQL = {

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filings.llm.common import parallelism, positions, whole
@@ -161,8 +161,11 @@ def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
 
     `placed` is joined by (doc_id, CRC): repeats of a document go along.
     """
-    place = placed.select("doc_id", "text_crc32", "shard", "slot").dropDuplicates(["doc_id", "text_crc32"])
-    rows = docs.withColumn("text_crc32", F.crc32(whole("text"))).join(place, ["doc_id", "text_crc32"])
+    key = F.struct("doc_id", "text_crc32").alias("_key")
+    place = placed.select(key, F.struct("shard", "slot").alias("_place")).dropDuplicates(["_key"])
+    row = F.struct(*docs.columns).alias("_row")
+    own = F.struct("doc_id", F.crc32(whole("text")).alias("text_crc32")).alias("_key")
+    rows = docs.select(row, own).join(place, "_key").select("_row", "_place", "_place.shard")
     files = parallelism(docs.sparkSession)
-    laid = rows.repartitionByRange(files, "shard", "slot").sortWithinPartitions("shard", "slot")
-    laid.write.partitionBy("shard").parquet(path)
+    laid = rows.repartitionByRange(files, "_place").sortWithinPartitions("_place")
+    laid.select("_row.*", "shard").write.partitionBy("shard").parquet(path)
