@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from filings.llm.shards import with_shards
 from filings.llm.simhash import with_components
+from filings.llm.topk import K, SCALE, top_k, usable_vectors
 from filings.llm.urls import RULES, judge_urls, url_parts
 from filings.llm.warc import MIN_SHARED, archived_pages
 
+# Searches take as queries the rows whose id this divides.
+EVERY = 50
 # Words in the host of pages whose canonical urls make the list of op9.
 LISTED_HOSTS = ("spam", "casino", "pills")
 
@@ -18,6 +21,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = usable_vectors(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    found = top_k(rows.filter(F.col("id") % EVERY == 0), rows)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_shards(_table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -45,6 +54,22 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, listed).drop("listed")
 
 
+_OP1_SQL = f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q, v c WHERE q.vec_id % {EVERY} = 0 AND c.vec_id <> q.vec_id),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n
+  FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= {K}
+"""
+
 _OP6_SQL = f"""
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS payload FROM pages),
@@ -91,10 +116,11 @@ FROM r
 
 QUERIES = {
     query.__name__: query
-    for query in (op3_sharding, op4_simhash, op6_warc, op9_url_filters)
+    for query in (op1_topk, op3_sharding, op4_simhash, op6_warc, op9_url_filters)
 }
 
 ORACLE_SQL = {
+    "op1_topk": _OP1_SQL,
     "op6_warc": _OP6_SQL,
     "op9_url_filters": _op9_sql(),
 }
