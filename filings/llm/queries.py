@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filings.llm.quality import scores
 from filings.llm.shards import with_shards
 from filings.llm.simhash import with_components
 from filings.llm.topk import K, SCALE, top_k, usable_vectors
@@ -47,6 +48,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(_table(spark, sf_dir, "pages"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     bad = F.col("host").rlike("|".join(LISTED_HOSTS))
@@ -116,7 +121,7 @@ FROM r
 
 QUERIES = {
     query.__name__: query
-    for query in (op1_topk, op3_sharding, op4_simhash, op6_warc, op9_url_filters)
+    for query in (op1_topk, op3_sharding, op4_simhash, op6_warc, op7_quality, op9_url_filters)
 }
 
 ORACLE_SQL = {
