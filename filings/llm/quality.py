@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from filings.llm.common import whole
 
@@ -69,7 +70,7 @@ def features(text: str) -> list[float]:
     ]
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def text_features(texts: pd.Series) -> pd.Series:
     return pd.Series([features(text) for text in texts])
 
@@ -160,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classif
 def score(text: str | Column, model: Classifier) -> Column:
     """Score of a text: the higher, the likelier label 1."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def scored(texts: pd.Series) -> pd.Series:
         rows = np.array([features(t) for t in texts], dtype=float)
         return pd.Series(model.score(rows) if len(rows) else [], dtype=float)

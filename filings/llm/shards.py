@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from filings.llm.common import parallelism, positions, whole
 from filings.operators.storage import materialise
@@ -81,7 +82,7 @@ def string_bounds(rows: DataFrame, column: str, cells: int) -> list[str]:
 def curve_index(dims: Sequence[tuple[str, list, str]], bits: int = BITS) -> Column:
     """Column of the Hilbert index of (column, bounds, side) dimensions."""
 
-    @F.pandas_udf("long")
+    @F.pandas_udf(LongType())
     def index(parts: pd.DataFrame) -> pd.Series:
         cells = np.zeros((len(parts), len(dims)), dtype=np.int64)
         for i, (_, bounds, side) in enumerate(dims):
