@@ -11,6 +11,7 @@ from filings.llm.simhash import with_components
 from filings.llm.topk import K, SCALE, top_k, usable_vectors
 from filings.llm.urls import RULES, judge_urls, url_parts
 from filings.llm.warc import MIN_SHARED, archived_pages
+from filings.llm.winnow import compared, printed
 
 # Searches take as queries the rows whose id this divides.
 EVERY = 50
@@ -59,6 +60,18 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, listed).drop("listed")
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compared(_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        printed(F.col("chosen")).alias("fingerprint"),
+        printed(F.col("edited_chosen")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 _OP1_SQL = f"""
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * CAST(x AS DOUBLE))) AS v
@@ -121,7 +134,7 @@ FROM r
 
 QUERIES = {
     query.__name__: query
-    for query in (op1_topk, op3_sharding, op4_simhash, op6_warc, op7_quality, op9_url_filters)
+    for query in (op1_topk, op3_sharding, op4_simhash, op6_warc, op7_quality, op9_url_filters, op10_fingerprints)
 }
 
 ORACLE_SQL = {
