@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filings.llm.mixing import with_taken
 from filings.llm.quality import scores
 from filings.llm.shards import with_shards
 from filings.llm.simhash import with_components
@@ -29,6 +30,12 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_taken(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken"
+    )
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_shards(_table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -134,7 +141,7 @@ FROM r
 
 QUERIES = {
     query.__name__: query
-    for query in (op1_topk, op3_sharding, op4_simhash, op6_warc, op7_quality, op9_url_filters, op10_fingerprints)
+    for query in (op1_topk, op2_mixing, op3_sharding, op4_simhash, op6_warc, op7_quality, op9_url_filters, op10_fingerprints)
 }
 
 ORACLE_SQL = {

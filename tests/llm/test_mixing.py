@@ -1,0 +1,77 @@
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+from filings.llm import mixing
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, source string, target int"
+
+
+def brute_targets(sizes):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    total, capped = sum(sizes.values()), set()
+    while True:
+        rest = total - sum(3 * sizes[s] for s in capped)
+        open_weight = sum(weight[s] for s in order if s not in capped)
+        level = rest / open_weight if open_weight else 0
+        more = {s for s in order if s not in capped and 3 * sizes[s] < level * weight[s]}
+        if not more:
+            return {s: 3 * sizes[s] if s in capped else level * weight[s] for s in order}
+        capped |= more
+
+
+def documents(spark):
+    rows = [(i, "word " * (i * 37 % 90), "hot" if i % 3 == 0 else f"s{i % 11}", 0) for i in range(3000)]
+    rows += [(None, "a b", None, 0), (3, None, None, 0), (4, "", "empty", 0), (5, "x y z", "é", 0)]
+    rows += [(7, "same same", "hot", 0)] * 5 + [(8, "long " * 60_000, "long", 0)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def test_targets_and_taken(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET", 100)
+    docs = documents(spark)
+    rows = mixing.with_taken(docs).collect()
+    given = docs.collect()
+    assert len(rows) == len(given)
+    assert Counter((r.doc_id, r.size) for r in rows) == Counter(
+        (d.doc_id, len(WORD.findall(d.text or ""))) for d in given
+    )
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for r in rows:
+        sizes[r.source] += r.size
+        taken[r.source] += r.taken
+        assert 0 <= r.taken <= 3 * r.size and (r.size == 0 or r.taken % r.size == 0)
+    targets = brute_targets(sizes)
+    for r in rows:
+        assert r.source_size == sizes[r.source] and r.target == pytest.approx(targets[r.source])
+    for source, target in targets.items():
+        largest = max(r.size for r in rows if r.source == source)
+        assert abs(taken[source] - target) <= largest / 2 + 1
+    assert sum(targets.values()) == pytest.approx(sum(sizes.values()))
+    again = mixing.with_taken(docs.repartition(7)).collect()
+    key = lambda r: (r.doc_id or 0, r.source or "", r.size, r.taken)
+    assert sorted(map(key, rows)) == sorted(map(key, again))
+
+
+def test_fraction_prefers_documents_of_higher_weight(spark):
+    rows = [(i, "clean words " * 5 if i % 2 else "# $ % & * | " * 2, "a", 0) for i in range(2000)]
+    rows += [(5000 + i, "other words " * 5, "b", 0) for i in range(20_000)]
+    found = mixing.with_taken(spark.createDataFrame(rows, SCHEMA)).filter("source = 'b' OR doc_id < 5000").collect()
+    assert all(r.times == 3 for r in found if r.source == "a")
+    rest = spark.createDataFrame([(i, t, "z" if s == "a" else s, 0) for i, t, s, _ in rows], SCHEMA)
+    got = mixing.with_taken(rest).filter("source = 'z'").collect()
+    clean = sum(r.times for r in got if r.doc_id % 2) / sum(1 for r in got if r.doc_id % 2)
+    marked = sum(r.times for r in got if not r.doc_id % 2) / sum(1 for r in got if not r.doc_id % 2)
+    assert clean >= marked
+
+
+def test_mixed_rows(spark):
+    docs = documents(spark)
+    taken, mix = mixing.with_taken(docs), mixing.mixed(docs)
+    assert mix.columns == docs.columns
+    words = sum(len(WORD.findall(r.text or "")) for r in mix.collect())
+    assert words == sum(r.taken for r in taken.collect())
+    assert mixing.mixed(docs.limit(0)).count() == 0
