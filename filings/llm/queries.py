@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filings.llm.mixing import with_taken
+from filings.llm.pii import find_pii
 from filings.llm.quality import scores
 from filings.llm.shards import with_shards
 from filings.llm.simhash import with_components
@@ -52,6 +53,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_components(_table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(_table(spark, sf_dir, "pages"))
 
@@ -141,7 +146,7 @@ FROM r
 
 QUERIES = {
     query.__name__: query
-    for query in (op1_topk, op2_mixing, op3_sharding, op4_simhash, op6_warc, op7_quality, op9_url_filters, op10_fingerprints)
+    for query in (op1_topk, op2_mixing, op3_sharding, op4_simhash, op5_pii, op6_warc, op7_quality, op9_url_filters, op10_fingerprints)
 }
 
 ORACLE_SQL = {
