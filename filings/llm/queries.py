@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filings.llm.mixing import with_taken
+from filings.llm.pieces import encoded
 from filings.llm.pii import find_pii
 from filings.llm.quality import scores
 from filings.llm.shards import with_shards
@@ -65,6 +66,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(_table(spark, sf_dir, "documents"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     bad = F.col("host").rlike("|".join(LISTED_HOSTS))
@@ -146,7 +151,18 @@ FROM r
 
 QUERIES = {
     query.__name__: query
-    for query in (op1_topk, op2_mixing, op3_sharding, op4_simhash, op5_pii, op6_warc, op7_quality, op9_url_filters, op10_fingerprints)
+    for query in (
+        op1_topk,
+        op2_mixing,
+        op3_sharding,
+        op4_simhash,
+        op5_pii,
+        op6_warc,
+        op7_quality,
+        op8_sentencepiece,
+        op9_url_filters,
+        op10_fingerprints,
+    )
 }
 
 ORACLE_SQL = {
