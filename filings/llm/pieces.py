@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -40,7 +41,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 # Code points of texts that are encoded together, and lattice nodes remembered.
 CHUNK = 1 << 20
-REMEMBERED = 1_500_000
+REMEMBERED = 2_000_000
 
 # Marks that a vocabulary may keep apart from other characters.
 MARKS = ".,;:!?%&*$#|\"()'-/=+[]{}<>"
@@ -156,6 +157,25 @@ class Vocabulary:
         return [self.first_byte + octet for octet in chr(character).encode("utf-8", "surrogatepass")]
 
 
+class Table:
+    """A column that grows in place, with room to spare."""
+
+    def __init__(self, kind: type):
+        self.room, self.size = np.zeros(1 << 16, dtype=kind), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        end = self.size + len(values)
+        if end > len(self.room):
+            room = np.zeros(max(end, len(self.room) * 3 // 2), dtype=self.room.dtype)
+            room[: self.size] = self.room[: self.size]
+            self.room = room
+        self.room[self.size : end] = values
+        self.size = end
+
+    def __getitem__(self, at):
+        return self.room[at]
+
+
 class Lattices:
     """Lattices of units in flat tables.
 
@@ -169,22 +189,24 @@ class Lattices:
 
     def clear(self) -> None:
         self.start: dict[str, int] = {}
-        self.first = np.zeros(1, dtype=np.int64)  # first edge of each node
-        self.source = np.zeros(0, dtype=np.int32)
-        self.target = np.zeros(0, dtype=np.int32)
-        self.piece = np.zeros(0, dtype=np.int32)  # below zero: a spelled character
-        self.chance = np.zeros(0)  # logarithms
-        self.rest = np.zeros(0)
-        self.cumulative = np.zeros(0)
+        self.first = Table(np.int32)  # first edge of each node, and the end of all
+        self.first.extend(np.zeros(1))
+        self.source, self.target = Table(np.int32), Table(np.int32)
+        self.piece = Table(np.int32)  # below zero: a spelled character
+        self.chance, self.rest = Table(np.float64), Table(np.float64)  # logarithms
+        self.cumulative = Table(np.float32)
 
     def nodes_of(self, units: list[str]) -> np.ndarray:
         """Start nodes of units; the lattices of new ones are built."""
-        if len(self.first) > REMEMBERED:
+        if self.first.size > REMEMBERED:
             self.clear()
-        new = [unit for unit in dict.fromkeys(units) if unit not in self.start]
-        if new:
-            self._build(new)
-        return np.fromiter(map(self.start.__getitem__, units), dtype=np.int64, count=len(units))
+        nodes = np.fromiter(map(self.start.get, units, repeat(-1)), dtype=np.int64, count=len(units))
+        unknown = np.flatnonzero(nodes < 0)
+        if len(unknown):
+            new = list(map(units.__getitem__, unknown.tolist()))
+            self._build(list(dict.fromkeys(new)))
+            nodes[unknown] = list(map(self.start.__getitem__, new))
+        return nodes
 
     def _edges(self, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         """(position, length, piece, score) of all pieces in the units."""
@@ -247,15 +269,16 @@ class Lattices:
         sums = np.cumsum(np.exp(chance))
         sums -= np.r_[0, sums][first[source]]
         sums[first[2:] - 1] = 2.0  # the last edge of each node takes what is left
-        base = len(self.first) - 1
+        base, edges = self.first.size - 1, self.source.size
         begins = np.cumsum(lengths) - lengths
         self.start.update(zip(units, (base + number[begins]).tolist(), strict=True))
-        self.first = np.r_[self.first[:-1], len(self.source) + first]
-        self.source = np.r_[self.source, (base + source).astype(np.int32)]
-        self.target = np.r_[self.target, (base + target).astype(np.int32)]
-        self.piece = np.r_[self.piece, piece.astype(np.int32)]
-        self.chance, self.rest = np.r_[self.chance, chance], np.r_[self.rest, rest]
-        self.cumulative = np.r_[self.cumulative, sums]
+        self.first.size -= 1
+        self.first.extend(edges + first)
+        self.source.extend(base + source)
+        self.target.extend(base + target)
+        for table, values in ((self.piece, piece), (self.chance, chance), (self.rest, rest)):
+            table.extend(values)
+        self.cumulative.extend(sums)
 
     def walk(self, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draw a way from each node to the end of its unit.
@@ -298,9 +321,14 @@ def uniform(keys: np.ndarray) -> np.ndarray:
 
 
 def truncated(place: np.ndarray, bound: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Gumbel values at `place` (a log-mass), given that none is above `bound`."""
-    with np.errstate(divide="ignore"):
-        return -np.logaddexp(-bound, np.log(-np.log(uniform(keys))) - place)
+    """Gumbel values at `place` (a log-mass), given that none is above `bound`.
+
+    Where there is no mass there is no value.
+    """
+    out, some = np.full(len(place), -np.inf), np.flatnonzero(place > -np.inf)
+    bound = np.broadcast_to(bound, len(place))[some]
+    out[some] = -np.logaddexp(-bound, np.log(-np.log(uniform(keys[some]))) - place[some])
+    return out
 
 
 class Path:
@@ -400,14 +428,14 @@ class Sampler:
             unit, tail = int(path.units[step]), edges[a:b]
             units = unit + np.repeat(np.arange(n), counts[high - n : high])
             start = path.before[step]
-            sums = start + t.chance[edge] + np.r_[0, np.cumsum(t.chance[tail])]
+            sums = np.cumsum(np.concatenate([[start + t.chance[edge]], t.chance[tail]]))
             at_branch = truncated(np.array([start + left]), value, key + np.uint64(1))
             later = truncated(sums[:-1] + t.rest[tail], value, noise[a:b])
             paths[r].append(Path(
-                np.r_[path.edges[:step], edge, tail],
-                np.r_[path.units[:step], unit, units],
-                np.r_[path.before[: step + 1], sums[:-1]],
-                np.r_[np.full(step, -np.inf), at_branch, later],
+                np.concatenate([path.edges[:step], [edge], tail]),
+                np.concatenate([path.units[:step], [unit], units]),
+                np.concatenate([path.before[: step + 1], sums[:-1]]),
+                np.concatenate([np.full(step, -np.inf), at_branch, later]),
                 value, step, (*excluded, edge),
             ))
 
