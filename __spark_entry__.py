@@ -20,7 +20,12 @@ from filings.functions.text import (
     space_tokens,
     word_tokens,
 )
-from filings.operators.cluster import cluster_report, hash_vocabulary
+from filings.operators.cluster import (
+    cluster_report,
+    hash_vocabulary,
+    hashed_tf,
+    idf_weight,
+)
 from filings.operators.computed import computed
 from filings.operators.envelope import (
     decode_attachments,
@@ -53,7 +58,7 @@ from filings.operators.phrases import (
     phrase_with_irmark,
     with_phrases,
 )
-from filings.operators.storage import new_path
+from filings.operators.storage import materialise, new_path
 from filings.operators.tables import (
     render_tables,
     select_tables,
@@ -69,6 +74,7 @@ from filings.operators.terms import (
     tfidf_terms,
     word_count,
 )
+from filings.operators.tagging import FUZZY_THRESHOLD
 from filings.plans.jobs import (
     CLUSTER_MIN_WORDS,
     PHRASE_MIN_WORDS,
@@ -77,7 +83,9 @@ from filings.plans.jobs import (
     cluster_job,
     cluster_texts,
     phrase_job,
+    phrase_outcome,
     table_job,
+    table_outcome,
     tagcheck_job,
     word_count_job,
 )
@@ -87,13 +95,19 @@ from filings.plans.sample_corpus import (
     customer_pages,
     footer_envelopes,
     footer_pages,
+    item_envelopes,
+    item_pages,
+    mixed_files,
     order_envelopes,
     order_pages,
+    segment_pages,
+    segment_text,
 )
 from filings.schemas import FACT_FIELDS, FOOTER_FIELDS, TABLE_FIELDS
 from filings.sinks.export import (
     csv_text,
     encode_cp1252,
+    export_tables,
     write_cells,
     write_phrases,
 )
@@ -128,7 +142,12 @@ BAND = (2, 199)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows Python will parse."""
+    return spread(_table(spark, sf_dir, name))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,7 +241,8 @@ def _postings(spark, sf_dir):
 
 
 def _band(spark, sf_dir):
-    return phrase_band(_postings(spark, sf_dir), *BAND)
+    # Counted and then joined, so stored once.
+    return phrase_band(materialise(_postings(spark, sf_dir), "postings"), *BAND)
 
 
 def q_phrase_postings(spark, sf_dir):
@@ -260,11 +280,17 @@ def q_phrases_stored(spark, sf_dir):
 
 
 def q_phrase_job(spark, sf_dir):
-    envelopes = footer_envelopes(_documents(spark, sf_dir))
+    envelopes = footer_envelopes(_spread(spark, sf_dir, "documents"))
     low, high = BAND
     return _joined(phrase_job(envelopes, low=low, high=high))
 
 
+def q_phrase_job_rejects(spark, sf_dir):
+    return phrase_outcome(mixed_files(_spread(spark, sf_dir, "customer")).select(
+        F.col("doc_id").cast("string").alias("path"), "content"
+    )).rejects.select("path", "stage")
+
+
 # Weights and clusters
 
 
@@ -284,69 +310,148 @@ def q_idf_floor(spark, sf_dir):
     )
 
 
+def q_idf_weight(spark, sf_dir):
+    """Weights of documents of one term, of which a few are known."""
+    terms = F.array("c_mktsegment").alias("terms")
+    documents = _table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", terms)
+    weighted = idf_weight(hashed_tf(documents, VARIANTS["words"].n_features))
+    return weighted.select("c_custkey", _only_weight("tfidf").alias("weight"))
+
+
+def _only_weight(vector):
+    """The value of a vector with one: a vector shows as (size,[index],[value])."""
+    value = F.regexp_extract(F.col(vector).cast("string"), r"\],\[(.*)\]\)", 1)
+    return F.round(value.cast("double"), 6)
+
+
+def q_hash_vocabulary(spark, sf_dir):
+    """For each term: is its index set in every document that holds it."""
+    n_features = VARIANTS["words"].n_features
+    terms = word_tokens(F.lower("text"))
+    documents = _documents(spark, sf_dir).select("doc_id", terms.alias("terms"))
+    vocabulary = hash_vocabulary(documents, n_features)
+    shown = F.regexp_extract(F.col("tf").cast("string"), r"^\(\d+,\[(.*?)\]", 1)
+    hashed = hashed_tf(documents, n_features)
+    cells = hashed.select("doc_id", F.explode(F.split(shown, ",").cast("array<int>")).alias("index"))
+    held = documents.select("doc_id", F.explode(F.array_distinct("terms")).alias("term"))
+    found = held.join(vocabulary, "term", "left").join(
+        cells.withColumn("is_set", F.lit(True)), ["doc_id", "index"], "left"
+    )
+    is_set = F.coalesce("is_set", F.lit(False))
+    return found.groupBy("term").agg(F.bool_and(is_set).alias("set_everywhere"))
+
+
 def _clusters(spark, sf_dir, variant):
     lines = _lines(spark, sf_dir, CLUSTER_MIN_WORDS).drop("source")
     return cluster_texts(lines, VARIANTS[variant], STOPWORDS)
 
 
-def q_hash_vocabulary(spark, sf_dir):
-    terms = word_tokens(F.lower("text"))
-    documents = _documents(spark, sf_dir).select(terms.alias("terms"))
-    return hash_vocabulary(documents, VARIANTS["words"].n_features)
+def _in_range(spark, sf_dir, variant):
+    """Documents, and whether their cluster is one of the variant's."""
+    documents = _clusters(spark, sf_dir, variant).documents
+    return documents.select(
+        "doc_id", F.col("cluster").between(0, VARIANTS[variant].k - 1).alias("in_range")
+    )
 
 
 def q_cluster_documents(spark, sf_dir):
-    return _clusters(spark, sf_dir, "words").documents.select("doc_id", "cluster")
+    return _in_range(spark, sf_dir, "words")
 
 
 def q_cluster_stopworded(spark, sf_dir):
-    return _clusters(spark, sf_dir, "stopworded").documents.select(
-        "doc_id", "cluster"
-    )
+    return _in_range(spark, sf_dir, "stopworded")
 
 
 def q_cluster_ngrams(spark, sf_dir):
-    return _clusters(spark, sf_dir, "ngrams").documents.select("doc_id", "cluster")
+    return _in_range(spark, sf_dir, "ngrams")
+
+
+# Customers as documents that say nothing but their segment: clusters are segments.
+
+
+def _segment_clusters(spark, sf_dir, variant, text=None):
+    fragments = F.array(F.lower("c_mktsegment") if text is None else text)
+    rows = _table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("doc_id"), fragments.alias("fragments")
+    )
+    return cluster_texts(rows, VARIANTS[variant], STOPWORDS)
+
+
+def _named(documents, *columns):
+    """Documents with the smallest doc_id of their cluster for its number."""
+    least = documents.groupBy("cluster").agg(F.min("doc_id").alias("cluster_id"))
+    return documents.join(least, "cluster").select("doc_id", "cluster_id", *columns)
+
+
+def q_cluster_segments(spark, sf_dir):
+    return _named(_segment_clusters(spark, sf_dir, "words").documents)
+
+
+def q_cluster_segments_stopworded(spark, sf_dir):
+    return _named(_segment_clusters(spark, sf_dir, "stopworded").documents)
+
+
+def q_cluster_segments_ngrams(spark, sf_dir):
+    clusters = _segment_clusters(spark, sf_dir, "ngrams", segment_text())
+    return _named(clusters.documents)
+
+
+def _explained(clusters, top=None):
+    named = _named(clusters.documents.select("doc_id", "cluster"), "cluster")
+    ids = named.select("cluster", "cluster_id").distinct()
+    rank = ["rank"] if top else []
+    return clusters.explain(top).join(ids, "cluster").select(
+        "cluster_id", "term", F.round("weight", 6).alias("weight"), *rank
+    )
 
 
 def q_explain_clusters(spark, sf_dir):
-    return _clusters(spark, sf_dir, "stopworded").explain()
+    return _explained(_segment_clusters(spark, sf_dir, "words"))
 
 
 def q_explain_clusters_top(spark, sf_dir):
-    return _clusters(spark, sf_dir, "stopworded").explain(top=20)
+    clusters = _segment_clusters(spark, sf_dir, "stopworded", segment_text())
+    return _explained(clusters, top=3)
 
 
 def q_cluster_report(spark, sf_dir):
-    clusters = _clusters(spark, sf_dir, "stopworded")
-    return cluster_report(clusters.documents, "doc_id").withColumn(
-        "tfidf", F.col("tfidf").cast("string")
+    documents = _segment_clusters(spark, sf_dir, "stopworded").documents
+    report = cluster_report(documents, "doc_id")
+    return _named(
+        report, F.array_join("terms", ",").alias("terms"), _only_weight("tfidf").alias("weight")
     )
 
 
 def q_cluster_job(spark, sf_dir):
-    pages = customer_pages(_table(spark, sf_dir, "customer"))
-    clusters = cluster_job(pages, VARIANTS["stopworded"], STOPWORDS)
-    return clusters.documents.select("doc_id", "cluster")
+    pages = segment_pages(_spread(spark, sf_dir, "customer"))
+    return _named(cluster_job(pages, VARIANTS["stopworded"], STOPWORDS).documents)
 
 
 # Markup
 
 
 def _customers(spark, sf_dir, fields=None):
-    pages = customer_pages(_table(spark, sf_dir, "customer"))
+    pages = customer_pages(_spread(spark, sf_dir, "customer"))
     return parse_markup(pages, fields=fields)
 
 
 def _order_pages(spark, sf_dir, fields=TABLE_FIELDS):
-    pages = order_pages(_table(spark, sf_dir, "orders"))
+    pages = order_pages(_spread(spark, sf_dir, "orders"))
     return well_formed(parse_markup(pages, fields=fields))
 
 
 def q_malformed_pages(spark, sf_dir):
-    pages = _table(spark, sf_dir, "pages").select("page_id", "html")
-    return quarantine(parse_markup(pages, "html")).select(
-        "page_id", (F.length("error") > 0).alias("has_reason")
+    """Raw web pages, none of which is well-formed, and files some of which are."""
+    pages = _spread(spark, sf_dir, "pages").select(
+        F.concat(F.lit("page/"), "page_id").alias("name"), F.col("html").cast("binary").alias("content")
+    )
+    files = mixed_files(_spread(spark, sf_dir, "customer")).select(
+        F.concat(F.lit("customer/"), "doc_id").alias("name"), "content"
+    )
+    rejected = quarantine(parse_markup(pages.union(files)))
+    reason = F.when(F.col("error").contains("undefined entity"), "entity").otherwise("other")
+    return rejected.select(
+        "name", F.when(F.col("name").startswith("customer"), reason).alias("reason")
     )
 
 
@@ -375,7 +480,7 @@ def q_facts_resolved(spark, sf_dir):
 
 
 def q_footer_subtrees(spark, sf_dir):
-    pages = footer_pages(_documents(spark, sf_dir), nested=True)
+    pages = footer_pages(_spread(spark, sf_dir, "documents"), nested=True)
     parsed = well_formed(parse_markup(pages, fields=FOOTER_FIELDS))
     found = footer_subtrees(parsed)
     return found.select("doc_id", F.inline("subtrees")).select(
@@ -387,7 +492,7 @@ def q_footer_subtrees(spark, sf_dir):
 
 
 def _envelopes(spark, sf_dir):
-    return order_envelopes(_table(spark, sf_dir, "orders"))
+    return order_envelopes(_spread(spark, sf_dir, "orders"))
 
 
 def q_envelope_fields(spark, sf_dir):
@@ -403,6 +508,12 @@ def q_attachments(spark, sf_dir):
     )
 
 
+def q_attachments_all_kinds(spark, sf_dir):
+    envelopes = submissions(_envelopes(spark, sf_dir), kinds=("Computation", "Accounts"))
+    rows = decode_attachments(explode_attachments(envelopes))
+    return rows.select("path", "pos", F.md5("content").alias("content_md5"))
+
+
 def q_namespace_normalised(spark, sf_dir):
     parsed = parse_markup(
         _envelopes(spark, sf_dir), fields=("qname", "tag", "text", "tail")
@@ -465,13 +576,61 @@ def q_render_tables_csv(spark, sf_dir):
 def q_export_cp1252(spark, sf_dir):
     encoded = encode_cp1252(F.col("text"), "ignore")
     return _documents(spark, sf_dir).select(
-        "doc_id", F.length(encoded).alias("n_bytes")
+        "doc_id", F.hex(encoded).alias("octets")
     )
 
 
 def q_table_job(spark, sf_dir):
-    made = table_job(_envelopes(spark, sf_dir), _taxpayers(spark, sf_dir))
-    return table_cells(made)
+    keys = _taxpayers(spark, sf_dir)
+    return table_cells(table_job(_envelopes(spark, sf_dir), keys, parts=("tables",)))
+
+
+def q_table_job_rejects(spark, sf_dir):
+    outcome = table_outcome(_envelopes(spark, sf_dir), _taxpayers(spark, sf_dir))
+    return outcome.rejects.select("path", "pos", "stage", "reason")
+
+
+# Pages with a row for each line item
+
+
+def _items(spark, sf_dir):
+    orders, lineitem = _spread(spark, sf_dir, "orders"), _table(spark, sf_dir, "lineitem")
+    parsed = well_formed(parse_markup(item_pages(orders, lineitem), fields=TABLE_FIELDS))
+    return with_cells(select_tables(parsed))
+
+
+def q_item_table_cells(spark, sf_dir):
+    return table_cells(_items(spark, sf_dir))
+
+
+def q_item_render_tables(spark, sf_dir):
+    return render_tables(_items(spark, sf_dir))
+
+
+def q_item_table_job(spark, sf_dir):
+    orders, lineitem = _spread(spark, sf_dir, "orders"), _table(spark, sf_dir, "lineitem")
+    made = table_job(
+        item_envelopes(orders, lineitem), _taxpayers(spark, sf_dir), parts=("tables",)
+    )
+    return table_cells(made).select("irmark", "utr", "table_no", "row_no", "col_no", "text")
+
+
+def _exported(spark, sf_dir, sep):
+    """Digest of each written file, by the folder that names its submission."""
+    path = new_path(spark, "export")
+    made = table_job(_envelopes(spark, sf_dir), _taxpayers(spark, sf_dir), parts=("tables",))
+    export_tables(render_tables(made), path, sep)
+    files = read_corpus(spark, f"{path}/*/*/*")
+    mark = F.regexp_extract("path", "/irmark=([^/]*)/", 1)
+    return files.select(mark.alias("irmark"), F.md5("content").alias("md5"))
+
+
+def q_export_tsv_files(spark, sf_dir):
+    return _exported(spark, sf_dir, "\t")
+
+
+def q_export_csv_files(spark, sf_dir):
+    return _exported(spark, sf_dir, ",")
 
 
 def q_cells_stored(spark, sf_dir):
@@ -499,7 +658,7 @@ def q_tag_lookup_fuzzy(spark, sf_dir):
 
 
 def q_tagcheck_job(spark, sf_dir):
-    pages = customer_pages(_table(spark, sf_dir, "customer"))
+    pages = customer_pages(_spread(spark, sf_dir, "customer"))
     return tagcheck_job(pages).select("doc_id", "name", "context", "matched_in")
 
 
@@ -518,8 +677,11 @@ def q_corpus_files(spark, sf_dir):
     documents.write.partitionBy("source").text(path)
     files = read_corpus(spark, f"{path}/*")
     folder = F.regexp_extract("folder", "source=(.*)$", 1)
-    return files.groupBy(folder.alias("folder")).agg(
-        F.sum(F.length("content")).alias("bytes")
+    # Each file is the texts of one source, a line for each of their lines.
+    lines = F.split(F.rtrim(F.decode("content", "UTF-8"), F.lit("\n")), "\n", -1)
+    rows = files.select(folder.alias("folder"), F.explode(lines).alias("line"))
+    return rows.groupBy("folder", F.md5("line").alias("line_md5")).agg(
+        F.count("*").alias("n")
     )
 
 
@@ -541,7 +703,7 @@ def q_index_file(spark, sf_dir):
         F.concat(F.lit("IR"), F.col("o_orderkey").cast("string")).alias("irmark"),
         "o_orderstatus",
     ).write.json(path)
-    return read_index(spark, path, limit=None)
+    return read_index(spark, path)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -728,15 +890,77 @@ _MATCH_SQL = (
 )
 
 
+# Rows of a page with line items. Numbers repeat, so values decide the order.
+_ITEM_SQL = """
+WITH li AS (
+  SELECT l_orderkey AS doc_id, l_linenumber AS no, CAST(l_quantity AS BIGINT) AS q,
+         CAST(round(l_tax * 100) AS BIGINT) AS tax,
+         CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,
+           CAST(l_quantity AS BIGINT), CAST(round(l_tax * 100) AS BIGINT)) AS INTEGER) AS row_no
+  FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
+cells AS (
+  SELECT doc_id, 1 AS table_no, row_no, 1 AS col_no, CAST(no AS VARCHAR) AS text FROM li
+  UNION ALL SELECT doc_id, 1, row_no, 2, CAST(q AS VARCHAR) FROM li
+  UNION ALL SELECT doc_id, 1, row_no, 3, CAST(tax AS VARCHAR) FROM li WHERE tax > 0
+  UNION ALL SELECT doc_id, 1, row_no, CASE WHEN tax > 0 THEN 4 ELSE 3 END, 'see ' || no
+  FROM li WHERE no % 3 = 0)
+"""
+
+_CSV = (
+    "CASE WHEN computed THEN "
+    "'Status,' || o_orderstatus || ' as filed' || chr(13) || chr(10) || 'Price,' "
+    "|| cents || ',' || chr(13) || chr(10) || repeat('\"\"' || chr(13) || chr(10), 2) "
+    "|| repeat('#---------,', 5) || chr(13) || chr(10) "
+    "|| repeat('\"\"' || chr(13) || chr(10), 2) ELSE '' END "
+    "|| 'Tax,' || due"
+)
+
+# Customers by segment: the groups that clusters have to find.
+_SEGMENT_SQL = """
+WITH s AS (
+  SELECT c_custkey AS doc_id, lower(c_mktsegment) AS term,
+         min(c_custkey) OVER (PARTITION BY c_mktsegment) AS cluster_id,
+         round(ln((count(*) OVER () + 1) / (count(*) OVER (PARTITION BY c_mktsegment) + 1)), 6)
+           AS weight
+  FROM customer)
+"""
+
+
+def _clustered_sql(tokens: str) -> str:
+    """Documents that have a token in their long lines."""
+    return (
+        "WITH "
+        + _LINE_SQL.format(min_words=CLUSTER_MIN_WORDS)
+        + ", joined AS (SELECT doc_id, string_agg(fragment, ' ' ORDER BY line_no) AS text "
+        f"FROM lines GROUP BY doc_id) SELECT doc_id, true AS in_range FROM joined "
+        f"WHERE len({tokens}) > 0"
+    )
+
+
+def _cp1252_sql() -> str:
+    """Hexadecimal octets of the characters that code page 1252 has."""
+    high = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+    cases = " ".join(f"WHEN '{c}' THEN '{c.encode('cp1252').hex().upper()}'" for c in high)
+    kept = f"regexp_replace(text, '[^\\x{{00}}-\\x{{7F}}\\x{{A0}}-\\x{{FF}}{high}]', '', 'g')"
+    return (
+        "SELECT doc_id, array_to_string(list_transform("
+        f"regexp_extract_all({kept}, '(?s).'), "
+        f"lambda c: CASE c {cases} ELSE printf('%02X', unicode(c)) END), '') AS octets "
+        "FROM documents"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     """The same results as plain SQL.
 
-    None for hashed and clustered results and for the similarity ratio, which
-    SQL does not have; tests check those against other means.
+    Sampled and learned results of the optional operators have none; tests
+    check those against brute force.
     """
     long_lines = "WITH " + _LINE_SQL.format(min_words=CLUSTER_MIN_WORDS)
     stopwords = ", ".join(f"'{word}'" for word in STOPWORDS)
     alpha = _ALPHA.format(s="lower(text)")
+    # Fragments are in lower case already.
+    kept_words = f"list_filter({_WORDS}, lambda t: t NOT IN ({stopwords}))"
     word_counts = (
         "SELECT word, count(*) AS n FROM (SELECT "
         "unnest(regexp_extract_all(text, '\\S+')) AS word FROM documents) GROUP BY word"
@@ -782,7 +1006,27 @@ def oracle_sql() -> dict[str, str]:
         "idf_floor": _TFIDF_SQL
         + "SELECT term, max(df) AS df, max(weight) AS weight FROM weights "
         "WHERE df < 5 GROUP BY term",
-        "malformed_pages": "SELECT page_id, true AS has_reason FROM pages",
+        "phrase_job_rejects": "SELECT CAST(c_custkey AS VARCHAR) AS path, "
+        "'envelope' AS stage FROM customer",
+        "idf_weight": _SEGMENT_SQL + "SELECT doc_id AS c_custkey, weight FROM s",
+        "hash_vocabulary": "SELECT DISTINCT term, true AS set_everywhere FROM "
+        f"(SELECT unnest({_WORDS}) AS term FROM documents)",
+        "cluster_documents": _clustered_sql("string_split(text, ' ')"),
+        "cluster_stopworded": _clustered_sql(kept_words),
+        "cluster_ngrams": _clustered_sql(kept_words),
+        "cluster_segments": _SEGMENT_SQL + "SELECT doc_id, cluster_id FROM s",
+        "cluster_segments_stopworded": _SEGMENT_SQL + "SELECT doc_id, cluster_id FROM s",
+        "cluster_segments_ngrams": _SEGMENT_SQL + "SELECT doc_id, cluster_id FROM s",
+        "cluster_job": _SEGMENT_SQL + "SELECT doc_id, cluster_id FROM s",
+        "cluster_report": _SEGMENT_SQL
+        + "SELECT doc_id, cluster_id, term AS terms, weight FROM s",
+        "explain_clusters": _SEGMENT_SQL + "SELECT DISTINCT cluster_id, term, weight FROM s",
+        "explain_clusters_top": _SEGMENT_SQL
+        + "SELECT DISTINCT cluster_id, term, weight, 1 AS rank FROM s",
+        "malformed_pages": "SELECT 'page/' || page_id AS name, CAST(NULL AS VARCHAR) AS reason "
+        "FROM pages UNION ALL SELECT 'customer/' || c_custkey, "
+        "CASE c_nationkey % 3 WHEN 1 THEN 'other' ELSE 'entity' END FROM customer "
+        "WHERE c_nationkey % 3 > 0",
         "elements_basic": _CUSTOMER_SQL
         + "SELECT doc_id, seq, end_seq, parent_seq, depth, qname, text, tail FROM page",
         "facts_resolved": _CUSTOMER_SQL
@@ -813,6 +1057,16 @@ def oracle_sql() -> dict[str, str]:
         + _PAGE_SQL
         + ") END AS content_md5 FROM o, (VALUES (0), (2)) v(pos) "
         f"WHERE {_FILED} AND (pos = 0 OR o_orderstatus = 'O')",
+        "attachments_all_kinds": _ORDER_SQL
+        + "SELECT 'order/' || o_orderkey AS path, pos, "
+        "CASE WHEN pos = 2 THEN NULL WHEN o_orderstatus = 'P' THEN md5("
+        + _INLINE_PAGE_SQL
+        + ") ELSE md5("
+        + _PAGE_SQL
+        + ") END AS content_md5 FROM o, (VALUES (0), (2)) v(pos) "
+        f"WHERE {_FILED} AND (pos = 0 OR o_orderstatus = 'O') UNION ALL "
+        f"SELECT 'order/' || o_orderkey, CASE WHEN NOT {_FILED} THEN 0 "
+        "WHEN o_orderstatus = 'O' THEN 3 ELSE 1 END, md5('A') FROM o",
         "namespace_normalised": _ORDER_SQL
         + "SELECT 'order/' || o_orderkey AS path, "
         "'{http://www.govtalk.gov.uk/taxation/CT/' || year || '}IRmark' AS tag, "
@@ -838,6 +1092,25 @@ def oracle_sql() -> dict[str, str]:
         "CAST(o_custkey AS VARCHAR) AS utr, due AS period_to, 0 AS pos, "
         f"{_TABLE_NO} AS table_no, row_no, col_no, text FROM cells "
         f"WHERE {_FILED} AND {_BUILDING}",
+        "table_job_rejects": "SELECT 'order/' || o_orderkey AS path, 2 AS pos, "
+        "'attachment' AS stage, 'not base64' AS reason FROM orders "
+        f"WHERE {_FILED} AND {_BUILDING} AND o_orderstatus = 'O'",
+        "item_table_cells": _ITEM_SQL + "SELECT * FROM cells",
+        "item_render_tables": _ITEM_SQL
+        + "SELECT doc_id, string_agg(line, chr(10) ORDER BY row_no) AS rendered FROM ("
+        "SELECT doc_id, row_no, string_agg(text, chr(9) ORDER BY col_no) AS line "
+        "FROM cells GROUP BY doc_id, row_no) GROUP BY doc_id",
+        "item_table_job": _ITEM_SQL
+        + "SELECT 'IR' || doc_id AS irmark, CAST(o_custkey AS VARCHAR) AS utr, table_no, "
+        "row_no, col_no, text FROM cells JOIN orders ON doc_id = o_orderkey "
+        f"WHERE {_BUILDING}",
+        "export_tsv_files": _ORDER_SQL
+        + "SELECT 'IR' || o_orderkey AS irmark, md5("
+        + _RENDERED.format(gap=_GAP)
+        + f" || chr(10)) AS md5 FROM o WHERE {_FILED} AND {_BUILDING}",
+        "export_csv_files": _ORDER_SQL
+        + f"SELECT 'IR' || o_orderkey AS irmark, md5({_CSV} || chr(13) || chr(10)) AS md5 "
+        f"FROM o WHERE {_FILED} AND {_BUILDING}",
         "cells_stored": _ORDER_SQL
         + "SELECT 'IR' || o_orderkey AS irmark, 0 AS pos, "
         + _RENDERED.format(gap=_GAP)
@@ -846,16 +1119,8 @@ def oracle_sql() -> dict[str, str]:
         + "SELECT o_orderkey AS doc_id, "
         + _RENDERED.format(gap=_GAP)
         + " AS rendered FROM o",
-        "render_tables_csv": _ORDER_SQL
-        + "SELECT o_orderkey AS doc_id, CASE WHEN computed THEN "
-        "'Status,' || o_orderstatus || ' as filed' || chr(13) || chr(10) || 'Price,' "
-        "|| cents || ',' || chr(13) || chr(10) || repeat('\"\"' || chr(13) || chr(10), 2) "
-        "|| repeat('#---------,', 5) || chr(13) || chr(10) "
-        "|| repeat('\"\"' || chr(13) || chr(10), 2) ELSE '' END "
-        "|| 'Tax,' || due AS lines FROM o",
-        "export_cp1252": "SELECT doc_id, CAST(length(regexp_replace(text, "
-        "'[^\\x{00}-\\x{7F}\\x{A0}-\\x{FF}€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]', '', 'g')) "
-        "AS INTEGER) AS n_bytes FROM documents",
+        "render_tables_csv": _ORDER_SQL + f"SELECT o_orderkey AS doc_id, {_CSV} AS lines FROM o",
+        "export_cp1252": _cp1252_sql(),
         "sibling_sections": _ORDER_SQL
         + ", "
         + _SECTION_SQL
@@ -863,12 +1128,23 @@ def oracle_sql() -> dict[str, str]:
         "CAST(generate_subscripts(texts, 1) - 1 AS INTEGER) AS pos, "
         "unnest(texts) AS text FROM sections",
         "tag_lookup": _MATCH_SQL,
+        "tag_lookup_fuzzy": _CUSTOMER_SQL
+        + ", f AS (SELECT doc_id, lower('Statement of ' || who || ' for the period ended') "
+        "AS fragment FROM c), near AS (SELECT doc_id, min(seq) AS seq FROM page JOIN f "
+        "USING (doc_id), LATERAL (VALUES (coalesce(nullif(text, ''), '###')), "
+        "(coalesce(nullif(tail, ''), '###'))) v(t) "
+        "WHERE name NOT IN ('Ukn Conv', 'No attr') AND 1.0 - levenshtein(fragment, t) "
+        f"/ greatest(length(fragment), length(t)) > {FUZZY_THRESHOLD} GROUP BY doc_id) "
+        "SELECT f.doc_id, fragment, CASE WHEN near.seq IS NULL THEN 'untagged' "
+        "ELSE 'tagged' END AS status, page.name, page.context FROM f "
+        "LEFT JOIN near USING (doc_id) "
+        "LEFT JOIN page ON page.doc_id = near.doc_id AND page.seq = near.seq",
         "tagcheck_job": "SELECT doc_id, name, context, matched_in FROM ("
         + _MATCH_SQL
         + ") WHERE status = 'tagged'",
-        "corpus_files": "SELECT source AS folder, "
-        "CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes "
-        "FROM documents GROUP BY source",
+        "corpus_files": "SELECT source AS folder, md5(line) AS line_md5, count(*) AS n FROM "
+        "(SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents) "
+        "GROUP BY ALL",
         "key_list_file": "SELECT CAST(o_custkey AS VARCHAR) AS utr, o_orderkey "
         f"FROM orders WHERE {_BUILDING}",
         "index_file": "SELECT 'IR' || o_orderkey AS irmark FROM orders",

@@ -126,4 +126,4 @@ def term_counts(tokens: Column) -> Column:
             ),
         )
 
-    return let(F.array_sort(tokens), runs)
+    return let(F.sort_array(tokens), runs)

@@ -61,7 +61,7 @@ def ordered_text(texts: Column, tails: Column) -> Column:
         F.filter(tails, lambda x: x["tail"].isNotNull()),
         lambda x: F.struct(x["tail_no"].alias("no"), x["tail"].alias("value")),
     )
-    return F.array_sort(F.concat(own, after))
+    return F.sort_array(F.concat(own, after))
 
 
 def inner_text(elements: Column, node: Column) -> Column:

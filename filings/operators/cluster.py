@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import IDF, HashingTF
 from pyspark.sql import DataFrame
@@ -17,6 +18,10 @@ from filings.operators.computed import computed
 # Centres with more values than this are joined instead of broadcast.
 BROADCAST_CENTRE_VALUES = 2_000_000
 
+# Documents in a partition while centres are fitted, and most partitions.
+FIT_ROWS = 1_000
+FIT_PARTITIONS = 10_000
+
 
 def hashed_tf(documents: DataFrame, n_features: int, terms: str = "terms") -> DataFrame:
     """Adds `tf`: term counts in a hashed space of `n_features`."""
@@ -40,21 +45,35 @@ def fit_clusters(
     `k`: the row solver suits the first and copes with the second.
     """
     best = None
-    for run in range(runs):
-        kmeans = KMeans(
-            k=k,
-            maxIter=max_iter,
-            seed=seed + run,
-            solver="row",
-            featuresCol="tfidf",
-            predictionCol="cluster",
-        )
-        model = kmeans.fit(weighted)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
+    weighted = weighted.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for run in range(runs):
+            kmeans = KMeans(
+                k=k,
+                maxIter=max_iter,
+                seed=seed + run,
+                solver="row",
+                featuresCol="tfidf",
+                predictionCol="cluster",
+            )
+            model = kmeans.fit(weighted)
+            if best is None or model.summary.trainingCost < best.summary.trainingCost:
+                best = model
+    finally:
+        weighted.unpersist()
     return best
 
 
+def in_fixed_layout(documents: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Documents in partitions that depend on their number and keys alone.
+
+    Seeds draw from partitions, so a seed would else give other clusters on a
+    cluster of another size or from files cut elsewhere.
+    """
+    partitions = min(FIT_PARTITIONS, 1 + documents.count() // FIT_ROWS)
+    return documents.repartition(partitions, *key).sortWithinPartitions(*key)
+
+
 def cluster_documents(weighted: DataFrame, model: KMeansModel) -> DataFrame:
     """Adds `cluster`, the nearest centre of each document."""
     return model.transform(weighted)

@@ -145,6 +145,29 @@ def decode_attachments(attachments: DataFrame) -> DataFrame:
     )
 
 
+def attachments_or_reasons(envelopes: DataFrame) -> DataFrame:
+    """Decoded attachments, and what could not be read with `stage` and `reason`.
+
+    An unreadable envelope is one row, with neither `pos` nor `content`; an
+    attachment that is not base64 keeps its row.
+    """
+    kept = [c for c in envelopes.columns if c not in ("attachments", "error")]
+    listed = F.when(F.col("error").isNull(), F.col("attachments"))
+    rows = envelopes.select(
+        *kept, F.col("error").alias("_why"), F.posexplode_outer(listed).alias("pos", "encoded")
+    )
+    is_file = F.col("encoded").isNotNull() & (F.col("encoded") != EMPTY_ATTACHMENT)
+    rows = rows.filter(F.col("_why").isNotNull() | is_file)
+    rows = computed(rows, content=decode_base64(F.col("encoded"))).drop("encoded")
+    no_content = F.col("content").isNull()
+    return rows.withColumns(
+        {
+            "stage": F.when(F.col("_why").isNotNull(), "envelope").when(no_content, "attachment"),
+            "reason": F.coalesce("_why", F.when(no_content, "not base64")),
+        }
+    ).drop("_why")
+
+
 def submission_flags(envelopes: DataFrame) -> DataFrame:
     """Per attachment: does it have a taxpayer (`is_ct`) and content (`is_ix`)."""
     return decode_attachments(explode_attachments(envelopes)).select(

@@ -372,6 +372,18 @@ def well_formed(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("error").isNull()).drop("error")
 
 
+def with_reasons(parsed: DataFrame) -> DataFrame:
+    """The parser's `error` as `stage` and `reason`, unless an earlier stage failed."""
+    failed = F.when(F.col("error").isNotNull(), "document")
+    has = "stage" in parsed.columns
+    return parsed.withColumns(
+        {
+            "stage": F.coalesce("stage", failed) if has else failed,
+            "reason": F.coalesce("reason", "error") if has else F.col("error"),
+        }
+    ).drop("error")
+
+
 def document_columns(parsed: DataFrame) -> list[str]:
     """Columns that came with the document, not from the parser."""
     return [c for c in parsed.columns if c not in ("elements", "nsmap", "error")]

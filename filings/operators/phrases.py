@@ -41,14 +41,15 @@ def phrase_band(postings: DataFrame, low: int = BAND[0], high: int = BAND[1]) ->
     `high`. The most frequent phrases above the band leave before the join.
     """
     counts = phrase_counts(postings)
-    too_many = hottest(counts.filter(F.col("n") > high), "n")
+    total = counts.agg(F.sum("n")).scalar()
+    too_many = hottest(counts.filter(F.col("n") > high), "n", total)
     in_band = counts.filter(F.col("n").between(low, high))
     return (
         drop_hot(postings, too_many, "phrase")
         .join(in_band, "phrase")
         .groupBy("phrase")
         .agg(
-            F.array_sort(F.collect_list("irmark")).alias("irmarks"),
+            F.sort_array(F.collect_list("irmark")).alias("irmarks"),
             F.first("n").alias("n"),
         )
     )

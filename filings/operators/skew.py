@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# At most this many keys are broadcast. A key that is not among the HOT_KEYS
-# most frequent ones holds less than 1/HOT_KEYS of all rows.
-HOT_KEYS = 1000
 
+def hottest(counts: DataFrame, n: str, total: Column | None = None) -> DataFrame:
+    """Keys that hold more rows than an average shuffle partition.
 
-def hottest(counts: DataFrame, n: str) -> DataFrame:
-    return counts.orderBy(F.desc(n)).limit(HOT_KEYS)
+    There are fewer of them than partitions, however many keys there are, so
+    they can be broadcast; and no other key fills more than one partition.
+    `counts` has one row per key; `total` is the number of all rows, where
+    `counts` does not have all keys.
+    """
+    partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if total is None:
+        total = counts.agg(F.sum(n)).scalar()
+    return counts.filter(F.col(n) * F.lit(partitions) > total)
 
 
 def drop_hot(rows: DataFrame, hot: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is none of the (at most HOT_KEYS) hot keys."""
+    """Rows whose key is none of the hot keys."""
     return rows.join(F.broadcast(hot.select(key)), key, "left_anti")
 
 
@@ -24,8 +30,8 @@ def join_counts(
 ) -> DataFrame:
     """Add `n` of `counts` (one row per key) to every row of that key.
 
-    Rows of the most frequent keys take `n` from a broadcast of at most
-    HOT_KEYS rows. In the shuffle join they then have no key and are spread by
+    Rows of the most frequent keys take `n` from a broadcast of fewer rows than
+    there are partitions. In the shuffle join they then have no key and are spread by
     `spread_by`; only the other keys meet `counts` there. Key and spread are
     one struct: as two conditions, the constant side of the second would be
     optimized away, and all rows without a key would go to one task.

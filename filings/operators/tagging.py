@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,14 +54,9 @@ def tag_lookup(documents: DataFrame) -> DataFrame:
     return _result(found, F.col("_match"), where).drop("_match")
 
 
-def _is_alike(a: str, b: str, threshold: float) -> bool:
-    """Ratio of matching characters above the threshold; cheap bounds first."""
-    matcher = SequenceMatcher(None, a, b)
-    return (
-        matcher.real_quick_ratio() > threshold
-        and matcher.quick_ratio() > threshold
-        and matcher.ratio() > threshold
-    )
+def similarity(a: Column, b: Column) -> Column:
+    """1 less the edit distance as a share of the longer text."""
+    return 1.0 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
 
 
 def tag_lookup_fuzzy(
@@ -72,52 +64,31 @@ def tag_lookup_fuzzy(
 ) -> DataFrame:
     """As `tag_lookup`, for a fact text or tail similar to the first fragment.
 
-    Case counts here. Facts too short or too long to pass are dropped before
-    any text reaches Python.
+    Case counts here. The distance is at least the difference in length, so
+    texts too short or too long to pass are not compared.
     """
 
-    @F.pandas_udf("int")
-    def first_alike(fragments: pd.Series, texts: pd.Series, tails: pd.Series) -> pd.Series:
-        def first(fragment, fact_texts, fact_tails):
-            for at, pair in enumerate(zip(fact_texts, fact_tails)):
-                if any(_is_alike(fragment, text, threshold) for text in pair):
-                    return at
-            return None
+    def filled(text: Column, default: str) -> Column:
+        return F.coalesce(F.nullif(text, F.lit("")), F.lit(default))
 
-        found = [first(*row) for row in zip(fragments, texts, tails)]
-        return pd.Series(found, dtype="Int32")
-
-    fragment = F.coalesce(
-        F.nullif(F.get("fragments", F.lit(0)), F.lit("")), F.lit(NO_FRAGMENT)
-    )
-
-    def text_or_default(text: Column) -> Column:
-        return F.coalesce(F.nullif(text, F.lit("")), F.lit(NO_FACT_TEXT))
-
-    def can_pass(text: Column, a: Column) -> Column:
-        b = F.length(text_or_default(text))
-        return 2.0 * F.least(a, b) / (a + b) > threshold
+    def alike(fragment: Column, text: Column) -> Column:
+        return let(
+            filled(text, NO_FACT_TEXT),
+            lambda t: (F.least(F.length(fragment), F.length(t))
+                       > threshold * F.greatest(F.length(fragment), F.length(t)))
+            & (similarity(fragment, t) > threshold),
+        )
 
-    candidates = let(
-        F.length(fragment),
-        lambda size: F.filter(
+    def first_alike(fragment: Column) -> Column:
+        return F.filter(
             "facts",
-            lambda f: is_tagged(f)
-            & (can_pass(f["text"], size) | can_pass(f["tail"], size)),
-        ),
-    )
-    listed = computed(documents, _near=candidates)
-    found = listed.withColumn(
-        "_at",
-        first_alike(
-            fragment,
-            F.transform("_near", lambda f: text_or_default(f["text"])),
-            F.transform("_near", lambda f: text_or_default(f["tail"])),
-        ),
-    )
-    match = F.get("_near", F.col("_at"))
-    return _result(found, match, F.lit(None).cast("string")).drop(
-        "_near", "_at", "matched_in"
+            lambda f: is_tagged(f) & (alike(fragment, f["text"]) | alike(fragment, f["tail"])),
+        )
+
+    fragment = filled(F.get("fragments", F.lit(0)), NO_FRAGMENT)
+    found = computed(documents, _match=F.get(let(fragment, first_alike), F.lit(0)))
+    return _result(found, F.col("_match"), F.lit(None).cast("string")).drop(
+        "_match", "matched_in"
     )
 
 

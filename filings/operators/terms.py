@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from filings.functions.text import term_counts, words
 from filings.operators.skew import join_counts
+from filings.operators.storage import materialise
 
 MIN_DOC_FREQ = 5
 
@@ -45,11 +46,12 @@ def tfidf_terms(
 
     Terms in fewer than `min_doc_freq` documents weigh 0. Term frequencies come
     from the document's own row; only one row per document and term moves.
+    These rows are stored, as they are counted and then joined.
     """
-    rows = documents.select(
-        doc_id, F.inline(term_counts(terms)).alias("term", "tf")
+    rows = materialise(
+        documents.select(doc_id, F.inline(term_counts(terms)).alias("term", "tf")), "tf"
     )
-    frequencies = doc_frequency(documents, terms)
+    frequencies = rows.groupBy("term").agg(F.count("*").alias("df"))
     total = documents.agg(F.count("*")).scalar()
     idf = F.when(
         F.col("df") >= min_doc_freq, F.log((total + F.lit(1)) / (F.col("df") + 1))

@@ -79,6 +79,103 @@ def order_page() -> Column:
     )
 
 
+def item_page() -> Column:
+    """Tax computation of an order with a row for each of its line items.
+
+    Rows are ragged: the tax is left out where there is none, and every third
+    row has a nested table. An order without items has an empty table.
+    """
+
+    def row(item: Column) -> Column:
+        tax = F.when(item["tax"] > 0, _concat("<td>", item["tax"].cast("string"), "</td>"))
+        nested = _concat(
+            "<td>see <table><tr><td>", item["no"].cast("string"), "</td></tr></table></td>"
+        )
+        return _concat(
+            "<tr><td>",
+            item["no"].cast("string"),
+            "</td><td>",
+            item["quantity"].cast("string"),
+            "</td>",
+            F.coalesce(tax, F.lit("")),
+            F.when(item["no"] % 3 == 0, nested).otherwise(""),
+            "</tr>",
+        )
+
+    return _concat(
+        XHTML_ROOT,
+        "<body><p>Tax reconciliation</p><table>",
+        F.array_join(F.transform("items", row), "\n"),
+        "</table></body></html>",
+    )
+
+
+def orders_with_items(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """Orders with `items`, by line number; an order has a handful of them."""
+    item = F.struct(
+        F.col("l_linenumber").alias("no"),
+        F.col("l_quantity").cast("long").alias("quantity"),
+        F.round(F.col("l_tax") * 100).cast("long").alias("tax"),
+    )
+    listed = lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.sort_array(F.collect_list(item)).alias("items")
+    )
+    none = F.array().cast("array<struct<no:int,quantity:bigint,tax:bigint>>")
+    return orders.join(listed, "o_orderkey", "left").withColumn(
+        "items", F.coalesce("items", none)
+    )
+
+
+def item_pages(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    return orders_with_items(orders, lineitem).select(
+        F.col("o_orderkey").alias("doc_id"), F.encode(item_page(), "UTF-8").alias("content")
+    )
+
+
+def item_envelopes(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """Submission of each order, with its item page attached."""
+    encoded = F.base64(F.encode(item_page(), "UTF-8"))
+    envelope = _concat(
+        f'<env:Envelope xmlns:env="{ENVELOPE_NS}"><env:Key>',
+        F.col("o_custkey").cast("string"),
+        '</env:Key><C xmlns="http://www.govtalk.gov.uk/taxation/CT/9"><To>',
+        iso_date("o_orderdate"),
+        "</To><IRmark>IR",
+        F.col("o_orderkey").cast("string"),
+        "</IRmark><Computation><Instance><F>",
+        encoded,
+        "</F></Instance></Computation></C></env:Envelope>",
+    )
+    return orders_with_items(orders, lineitem).select(
+        _concat("order/", F.col("o_orderkey").cast("string")).alias("path"),
+        F.encode(envelope, "UTF-8").alias("content"),
+    )
+
+
+def segment_text() -> Column:
+    """Prose of a customer: a sentence that the market segment decides."""
+    return _concat("all in the ", F.lower("c_mktsegment"), " trade sell their own goods")
+
+
+def segment_pages(customers: DataFrame) -> DataFrame:
+    page = _concat("<html>\n<p>", segment_text(), "</p></html>")
+    return customers.select(
+        F.col("c_custkey").alias("doc_id"), F.encode(page, "UTF-8").alias("content")
+    )
+
+
+def mixed_files(customers: DataFrame) -> DataFrame:
+    """A page of each customer: by nation whole, cut off, or with an unknown entity."""
+    whole = _concat("<html><p>", escaped(F.col("c_name")), "</p></html>")
+    cut = _concat("<html><p>", escaped(F.col("c_name")))
+    unknown = _concat("<html><p>", escaped(F.col("c_name")), "&unknown;</p></html>")
+    by = F.col("c_nationkey") % 3
+    page = F.when(by == 0, whole).when(by == 1, cut).otherwise(unknown)
+    return customers.select(
+        F.col("c_custkey").alias("doc_id"), F.encode(page, "UTF-8").alias("content")
+    )
+
+
 def order_pages(orders: DataFrame) -> DataFrame:
     return orders.select(
         F.col("o_orderkey").alias("doc_id"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filings.operators.storage import materialise, release
+
 # The characters that code page 1252 puts at 0x80 to 0x9f. All
 # others up to 0xff have the place that Latin-1 gives them.
 _CP1252_HIGH = {
@@ -66,14 +68,24 @@ def export_tables(
     rendered: DataFrame,
     path: str,
     sep: str = "\t",
-    key: tuple[str, ...] = ("irmark", "pos"),
+    key: tuple[str, ...] | None = None,
     errors: str | None = None,
 ) -> None:
     """One file per document in a folder per key, in code page 1252.
 
     Meant for the documents of listed taxpayers, not for a whole corpus: it
-    makes one folder per document. `key` has to be unique per document.
+    makes one folder per document. The key is (irmark, pos), and `document`, a
+    hash of the path, where there is one: a submission may be filed twice. Two
+    documents of one key are an error, and nothing is written then.
     """
+    if "path" in rendered.columns and key is None:
+        rendered = rendered.withColumn("document", F.md5("path"))
+        key = ("irmark", "pos", "document")
+    key = key or ("irmark", "pos")
+    rendered = materialise(rendered.select(*key, "rendered"), "rendered")
+    twice = rendered.groupBy(*key).count().filter("count > 1").head()
+    if twice:
+        raise ValueError(f"more than one document has the key {tuple(twice)[:-1]}")
     text = F.col("rendered")
     if sep == ",":
         text, line_end, errors = csv_text(text), "\r\n", errors or "ignore"
@@ -86,3 +98,4 @@ def export_tables(
     rendered.select(*key, encoded.alias("value")).write.partitionBy(*key).option(
         "lineSep", line_end
     ).text(path)
+    release(rendered)

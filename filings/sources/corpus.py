@@ -62,9 +62,16 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CELL_RECORD).parquet(path)
 
 
-def read_index(
-    spark: SparkSession, path: str, limit: int | None = 10
-) -> DataFrame:
-    """`irmark` of the records of a submission index, one record per line."""
-    marks = spark.read.schema("irmark string").json(path)
-    return marks if limit is None else marks.limit(limit)
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """`irmark` of all records of a submission index, one record per line."""
+    return spark.read.schema("irmark string").json(path)
+
+
+def read_stopwords(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Words of a list file, one in a line; lines that begin with # are comments.
+
+    A stop-word list is a parameter of a job and goes into its plan, so it is
+    read to the driver.
+    """
+    words = read_lines(spark, path).filter("value <> '' AND NOT startswith(value, '#')")
+    return tuple(sorted({row.value.strip() for row in words.collect()}))

@@ -1,7 +1,6 @@
 """Facts, fragments and the tag check."""
 
 import random
-from difflib import SequenceMatcher
 
 from filings.operators.facts import (
     resolve_facts,
@@ -94,7 +93,16 @@ def test_fuzzy_lookup_matches_brute_force(spark):
     ]
     prose = with_fragments(with_facts(pages(spark, *sources)), 5)
     got = {r.doc_id: r.name for r in tag_lookup_fuzzy(prose).collect()}
-    alike = lambda a, b: SequenceMatcher(None, a, b or "###").ratio() > 0.6
+
+    def alike(a, b):
+        b = b or "###"
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, start=1):
+            above, row[0] = row[0], i
+            for j, y in enumerate(b, start=1):
+                above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (x != y))
+        return 1 - row[-1] / max(len(a), len(b)) > 0.6
+
     expected = {
         n: next((f"n{i}" for i, pair in enumerate(facts) if any(alike(first, t) for t in pair)), None)
         for n, (first, facts) in enumerate(documents)

@@ -2,12 +2,13 @@
 
 import csv
 import glob
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from filings.operators.phrases import phrase_band
-from filings.operators.storage import materialise, shared_folder
+from filings.operators.storage import materialise, release, shared_folder
 from filings.operators.tables import DIVIDER
 from filings.operators.terms import word_count
 from filings.schemas import CELL_RECORD
@@ -19,6 +20,7 @@ from filings.sources.corpus import (
     read_key_list,
     read_lines,
     read_phrases,
+    read_stopwords,
     spread,
 )
 
@@ -58,8 +60,7 @@ def test_index_lines_as_json_or_single_quoted(spark, tmp_path):
     path = tmp_path / "index.txt"
     lines = [f"{{'irmark': 'M{i}', 'other': {i}}}" for i in range(12)]
     path.write_text("\n".join(lines + ['{"irmark": "M99"}']))
-    assert read_index(spark, str(path)).count() == 10
-    marks = {r.irmark for r in read_index(spark, str(path), limit=None).collect()}
+    marks = {r.irmark for r in read_index(spark, str(path)).collect()}
     assert marks == {f"M{i}" for i in range(12)} | {"M99"}
 
 
@@ -119,12 +120,41 @@ def test_one_file_per_document(spark, tmp_path):
     assert only_file("tsv", "irmark=M2", "pos=0") == b"x\ty\n"
 
 
+def test_documents_of_one_key_are_not_merged(spark, tmp_path):
+    rows = [("a/1", "M1", 0, "x"), ("b/1", "M1", 0, "y")]
+    twice = spark.createDataFrame(rows, "path string, irmark string, pos int, rendered string")
+    export_tables(twice, str(tmp_path / "out"))
+    files = glob.glob(str(tmp_path / "out" / "*" / "*" / "*" / "*.txt"))
+    assert sorted(open(f).read() for f in files) == ["x\n", "y\n"]
+    for bad in (twice.drop("path"), twice.withColumn("path", F.lit("same"))):
+        with pytest.raises(ValueError, match="more than one document"):
+            export_tables(bad, str(tmp_path / "bad"))
+    assert not (tmp_path / "bad").exists()
+
+
+def test_stop_words_are_a_list_file(spark, tmp_path):
+    path = tmp_path / "words.txt"
+    path.write_text("# comment\nthe\n\n and \nthe\n")
+    assert read_stopwords(spark, str(path)) == ("and", "the")
+
+
+def test_released_tables_are_gone(spark):
+    made = materialise(spark.range(5), "five")
+    (folder,) = {f.rsplit("/", 1)[0].removeprefix("file:") for f in made.inputFiles()}
+    assert os.path.isdir(folder)
+    release(made)
+    assert not os.path.exists(folder)
+    elsewhere = spark.read.parquet("/root/testdata/sf0.001/region.parquet")
+    release(elsewhere)
+    assert elsewhere.count() == 5
+
+
 def test_intermediate_tables_go_to_the_shared_folder(spark):
     made = materialise(spark.range(5), "five")
     assert sorted(r.id for r in made.collect()) == list(range(5))
     (path,) = {f.rsplit("/", 2)[1] for f in made.inputFiles()}
     assert path.startswith("five-")
-    assert any(shared_folder(spark) in f for f in made.inputFiles())
+    assert any(shared_folder(spark).split(":")[-1] in f for f in made.inputFiles())
 
 
 def test_only_small_sources_are_spread(spark):

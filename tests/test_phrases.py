@@ -25,8 +25,7 @@ def postings(seed=3):
     return rows
 
 
-def test_band_matches_brute_force_with_a_hot_phrase(spark, monkeypatch):
-    monkeypatch.setattr(skew, "HOT_KEYS", 3)
+def test_band_matches_brute_force_with_a_hot_phrase(spark):
     rows = postings()
     made = spark.createDataFrame(rows, "phrase string, irmark string")
     lists = defaultdict(list)
@@ -43,8 +42,7 @@ def test_band_matches_brute_force_with_a_hot_phrase(spark, monkeypatch):
     assert pairs.count() == sum(len(m) for m in lists.values() if 2 <= len(m) <= 5)
 
 
-def test_join_counts_spreads_hot_keys_and_keeps_every_row(spark, monkeypatch):
-    monkeypatch.setattr(skew, "HOT_KEYS", 2)
+def test_join_counts_spreads_hot_keys_and_keeps_every_row(spark):
     rows = [("hot", i) for i in range(500)] + [(f"k{i % 40}", i) for i in range(400)]
     rows += [("lone", -1)]
     made = spark.createDataFrame(rows, "k string, i int")
@@ -55,8 +53,7 @@ def test_join_counts_spreads_hot_keys_and_keeps_every_row(spark, monkeypatch):
     assert all(r.n == (None if r.k == "lone" else expected[r.k]) for r in got)
 
 
-def test_hot_rows_do_not_meet_in_one_task(spark, monkeypatch):
-    monkeypatch.setattr(skew, "HOT_KEYS", 2)
+def test_hot_rows_do_not_meet_in_one_task(spark):
     rows = spark.range(8000).select(
         F.when(F.col("id") < 5000, "hot").otherwise(F.col("id").cast("string")).alias("k"),
         "id",
@@ -106,3 +103,28 @@ def test_word_count_and_preview(spark):
     counts = word_count(lines)
     assert {r.word: r.n for r in counts.collect()} == {"a": 3, "b": 2, "c": 1}
     assert [r.word for r in preview(counts, 2).collect()] == ["a", "b"]
+
+
+def test_more_than_a_thousand_keys_can_be_hot(spark):
+    rows = spark.range(3600).select((F.col("id") % 1200).cast("string").alias("k"), "id")
+    counts = rows.groupBy("k").agg(F.count("*").alias("n"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1500")
+    try:
+        assert skew.hottest(counts, "n").count() == 1200
+        joined = skew.join_counts(rows, counts, "k", "n", "id")
+        assert joined.filter("n = 3").count() == 3600
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    # With fewer partitions a key fills less than one, so none is hot.
+    assert skew.hottest(counts, "n").count() == 0
+
+
+def test_texts_are_tokenised_once(spark):
+    documents = spark.createDataFrame([(1, "a b a"), (2, "b")], "doc_id int, text string")
+    weights = tfidf_terms(documents, "doc_id", words(F.col("text")), 1)
+    plan = weights._jdf.queryExecution().toString()
+    assert "split(" not in plan
+    assert sorted((r.doc_id, r.term, r.tf, r.df) for r in weights.collect()) == [
+        (1, "a", 2, 1), (1, "b", 1, 2), (2, "b", 1, 2)
+    ]
