@@ -11,6 +11,14 @@ that no task holds more than two chunks; nothing is capped. Tasks return a
 spanning star for each group they find, never all pairs, and distributed star
 contraction joins the stars into components.
 
+`one_of_each`, which removes near-copies, links more: texts of which five-word
+shingles are alike to `ALIKE` or more (Jaccard). Such texts differ in too many
+bits for the keys above, so their shards are by `KEYS` smallest shingle hashes
+under different orders (two texts alike to 0.8 share none of five with a chance
+of 0.0003), their trees hold fingerprints of five-word shingles, searched to the
+radius `NEAR_RADIUS`, and a hit counts if the sketches of both texts agree: for
+`BINS` bins the smallest shingle hash in each, which is all of a short text.
+
 A null or empty text, or one without words, has the fingerprint zero, which
 links like any other. Repeated rows have a row each. A component whose doc_ids
 are all null has a null id. An empty table gives no rows.
@@ -33,21 +41,38 @@ WORDS_IN_SHINGLE = 3
 SEED = 42
 RADIUS = 3
 SHARD = 4096
+# Near-copies: see above.
+NEAR_WORDS = 5
+ALIKE = 0.8
+NEAR_RADIUS = 18
+KEYS = 5
+BINS = 256
+# Pairs of sketches that are compared at a time.
+SKETCHES = 1 << 13
 # Node visits that a search holds in memory at a time.
 VISITS = 2_000_000
 # Hashes that are counted bit by bit at a time.
 HASHES = 1 << 16
 
 
-def fingerprint(text: bytes) -> int:
-    """64-bit fingerprint of a UTF-8 text, as a signed number."""
-    words = text.lower().split()  # both treat ASCII only
-    if len(words) < WORDS_IN_SHINGLE:
+def shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
+    """Hash of every run of n words; of all words where there are fewer."""
+    if len(words) < n:
         shingles = [b" ".join(words)] if words else []
     else:
-        shingles = map(b" ".join, zip(words, words[1:], words[2:], strict=False))
+        shingles = map(b" ".join, zip(*(words[i:] for i in range(n)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), dtype="<u8")
+    return np.fromiter((digest(s, SEED) for s in shingles), dtype="<u8")
+
+
+def fingerprint(text: bytes) -> int:
+    """64-bit fingerprint of a UTF-8 text, as a signed number."""
+    # lower() and split() of bytes treat ASCII only.
+    return majority(shingle_hashes(text.lower().split(), WORDS_IN_SHINGLE))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes, as a signed number."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), HASHES):
         octets = hashes[at : at + HASHES].view(np.uint8).reshape(-1, 8)
@@ -65,18 +90,72 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The smallest of the distinct hashes in each bin, as 16 bits; 0 for none."""
+    # The bin is moved to the highest bits, so that sorting puts bins apart.
+    bits = np.uint64(BINS.bit_length() - 1)
+    turned = np.sort(hashes << (np.uint64(64) - bits) | hashes >> bits)
+    places = (turned >> (np.uint64(64) - bits)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, places[1:] != places[:-1]]) if len(places) else places
+    out = np.zeros(BINS, dtype="<u2")
+    out[places[first]] = (turned[first] & np.uint64(0xFFFF)).astype(np.uint16) | 1
+    return out
+
+
+_ORDERS = (np.arange(1, KEYS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C14)) | np.uint64(1)
+
+
+def smallest_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The smallest hash in each of `KEYS` orders, none where there is no hash."""
+    if not len(hashes):
+        return np.zeros(0, dtype=np.int64)
+    mixed = hashes ^ hashes >> np.uint64(31)
+    return np.array([(mixed * order).min() ^ order for order in _ORDERS]).view(np.int64)
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        codes, nears, keys, sketches = [], [], [], []
+        for text in batch["text"].to_pylist():
+            words = (text or b"").lower().split()
+            codes.append(majority(shingle_hashes(words, WORDS_IN_SHINGLE)))
+            hashes = np.unique(shingle_hashes(words, NEAR_WORDS))
+            nears.append(majority(hashes))
+            keys.append(smallest_hashes(hashes))
+            sketches.append(sketch(hashes).tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch["doc_id"], batch["text_hash"], pa.array(codes, pa.int64()),
+                pa.array(nears, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
+                pa.array(sketches, pa.binary()),
+            ],
+            ["doc_id", "text_hash", "fingerprint", "near", "keys", "sketch"],
+        )
+
+
 def text_key(text: str = "text") -> Column:
     return F.xxhash64(whole(text))
 
 
-def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash and fingerprint of each document."""
-    rows = docs.select(
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         text_key().alias("text_hash"),
         whole("text").cast("binary").alias("text"),
     )
-    return rows.mapInArrow(_fingerprints, "doc_id long, text_hash long, fingerprint long")
+
+
+def with_fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash and fingerprint of each document."""
+    return _texts(docs).mapInArrow(_fingerprints, "doc_id long, text_hash long, fingerprint long")
+
+
+def with_sketches(docs: DataFrame) -> DataFrame:
+    """As `with_fingerprints`, and what near-copies are found by."""
+    return _texts(docs).mapInArrow(
+        _described,
+        "doc_id long, text_hash long, fingerprint long, near long, keys array<long>, sketch binary",
+    )
 
 
 def shard_keys(code: Column) -> Column:
@@ -176,25 +255,95 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield linked(keys, codes)
 
 
-def links(codes: DataFrame, shard: int = SHARD) -> DataFrame:
-    """Star edges (code, first) among distinct fingerprints `code`."""
-    placed = codes.select("code", F.explode(shard_keys(F.col("code"))).alias("key"))
-    sizes = placed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    placed = placed.join(sizes, "key")
-    # Chunks of a large shard meet in pairs; a small shard is one pair.
+def _dealt(placed: DataFrame, by: str, columns: list[str], shard: int) -> DataFrame:
+    """Rows with `key` and `n` (its size) as sorted shards.
+
+    Chunks of a large shard meet in pairs; a small shard is one pair. `by` tells
+    the chunk of a row.
+    """
     chunks = F.ceil(F.col("n") / F.lit(shard)).cast("int")
-    own = F.pmod(F.xxhash64("code"), F.col("chunks")).cast("int")
+    own = F.pmod(F.xxhash64(by), F.col("chunks")).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("chunks") - 1),
         lambda other: F.least(F.col("own"), other) * F.col("chunks") + F.greatest(F.col("own"), other),
     )
     placed = placed.withColumn("chunks", chunks).withColumn("own", own)
-    placed = placed.select("code", "key", F.explode(pairs).alias("pair"))
-    shards = placed.select("code", F.xxhash64("key", "pair").alias("shard"))
-    laid = shards.repartition(parallelism(codes.sparkSession), "shard").sortWithinPartitions("shard", "code")
+    placed = placed.select(*columns, "key", F.explode(pairs).alias("pair"))
+    shards = placed.select(*columns, F.xxhash64("key", "pair").alias("shard"))
+    laid = shards.repartition(parallelism(placed.sparkSession), "shard")
+    return laid.sortWithinPartitions("shard", "code")
+
+
+def links(codes: DataFrame, shard: int = SHARD) -> DataFrame:
+    """Star edges (code, first) among distinct fingerprints `code`."""
+    placed = codes.select("code", F.explode(shard_keys(F.col("code"))).alias("key"))
+    sizes = placed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    laid = _dealt(placed.join(sizes, "key"), "code", ["code"], shard)
     return laid.mapInArrow(_stars, "code long, first long").distinct()
 
 
+def alike(sketches: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard index of pairs of rows."""
+    left, right = sketches[a], sketches[b]
+    same = ((left == right) & (left > 0)).sum(axis=1)
+    return same / np.maximum(((left | right) > 0).sum(axis=1), 1)
+
+
+def _near_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As `_stars`, for near-copies: (code, first) of texts that are alike."""
+
+    def linked(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        codes, near = table["code"].to_numpy(), table["near"].to_numpy()
+        sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype="<u2").reshape(-1, BINS)
+        forest = Forest(near.view(np.uint64), table["shard"].to_numpy())
+        label = np.arange(len(codes))
+        for rows, nodes in forest.search(np.arange(len(codes)), NEAR_RADIUS):
+            # Each pair once, and none whose texts are linked by now.
+            open_ = (rows < nodes) & (label[rows] != label[nodes])
+            rows, nodes = rows[open_], nodes[open_]
+            for at in range(0, len(rows), SKETCHES):
+                a, b = rows[at : at + SKETCHES], nodes[at : at + SKETCHES]
+                apart = label[a] != label[b]
+                a, b = a[apart], b[apart]
+                good = alike(sketches, a, b) >= ALIKE
+                link(label, a[good], b[good])
+        tied = np.flatnonzero(codes != codes[label])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(codes[tied]), pa.array(codes[label[tied]])], ["code", "first"]
+        )
+
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        keys = held["shard"].to_numpy()
+        # The last shard of the batch may go on in the next.
+        done = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+        if done:
+            yield linked(held.slice(0, done))
+            held = held.slice(done)
+    if held is not None and held.num_rows:
+        yield linked(held)
+
+
+def near_links(rows: DataFrame, shard: int = SHARD) -> DataFrame:
+    """Star edges (code, first) between texts that are alike.
+
+    `rows` is a stored table as `with_sketches` makes it. Copies of a text are
+    merged before anything is counted; only texts that share a key with another
+    have their sketches moved.
+    """
+    keyed = rows.select("doc_id", "text_hash", F.explode("keys").alias("key"))
+    texts = keyed.groupBy("key", "text_hash").agg(F.min("doc_id").alias("doc_id"))
+    sizes = texts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    place = F.struct("text_hash", "doc_id").alias("_place")
+    shared = texts.join(sizes, "key").select("key", "n", "text_hash", place)
+    held = rows.select(place, F.col("fingerprint").alias("code"), "near", "sketch")
+    laid = _dealt(shared.join(held, "_place"), "text_hash", ["code", "near", "sketch"], shard)
+    return laid.mapInArrow(_near_stars, "code long, first long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(code, root) of every node of the edges (code, first).
 
@@ -217,14 +366,15 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("u").alias("code"), F.col("v").alias("root"))
 
 
-def near_duplicates(rows: DataFrame) -> DataFrame:
+def near_duplicates(rows: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """fingerprint, root and component_id; one row for each fingerprint.
 
-    `rows` is a stored table of doc_id and fingerprint.
+    `rows` is a stored table of doc_id and fingerprint; `more` has more edges.
     """
     codes = rows.groupBy(F.col("fingerprint").alias("code")).agg(F.min("doc_id").alias("first_id"))
     codes = materialise(codes, "codes")
-    rooted = codes.join(components(links(codes)), "code", "left").withColumn(
+    edges = links(codes) if more is None else links(codes).union(more)
+    rooted = codes.join(components(edges), "code", "left").withColumn(
         "root", F.coalesce("root", "code")
     )
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -245,12 +395,12 @@ def with_components(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each component, unchanged.
+    """The document with the smallest doc_id of each group of near-copies, unchanged.
 
-    Only ids and hashes are grouped; texts move once, keyed by document.
+    Only ids, hashes and sketches are grouped; texts move once, keyed by document.
     """
-    rows = materialise(with_fingerprints(docs), "fingerprints")
-    found = near_duplicates(rows).filter(F.col("first_id").eqNullSafe(F.col("component_id")))
+    rows = materialise(with_sketches(docs), "sketches")
+    found = near_duplicates(rows, near_links(rows)).filter(F.col("first_id").eqNullSafe(F.col("component_id")))
     kept = rows.join(found, "fingerprint").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     place = F.struct("doc_id", "text_hash")
     kept = kept.groupBy("root").agg(F.min(place).alias("_key")).select("_key")

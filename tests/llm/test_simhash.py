@@ -87,3 +87,59 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, "q"), (1, "a b c"), (2, "")]
     assert s.with_components(docs.limit(0)).count() == 0
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def near_texts():
+    """Families around a base whose members differ in some words, and lone texts."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for family in range(12):
+        base = list(rng.choice(words, int(rng.integers(40, 900))))
+        texts.append(" ".join(base))
+        for edit in range(6):
+            text = list(base)
+            for at in rng.integers(0, len(base), 1 + len(base) * edit // 150):
+                text[at] = f"x{rng.integers(0, 10**6)}"
+            texts.append(" ".join(text))
+    common = " ".join(rng.choice(words, 60))
+    texts += [common + " " + " ".join(rng.choice(words, 200)) for _ in range(30)]
+    return texts
+
+
+def test_near_copies_go_and_others_stay(spark):
+    texts = near_texts() + ["", " ", None, "one two"]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, near int")
+    kept = {r.doc_id for r in s.one_of_each(docs).collect()}
+    label = list(range(len(texts)))
+    sure, maybe = [], []
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        x, y = shingles(texts[a] or ""), shingles(texts[b] or "")
+        j = len(x & y) / len(x | y) if x | y else 1.0
+        (sure if j >= 0.85 else maybe if j >= 0.75 else []).append((a, b))
+    # Each sure link joins; what is far from all others stays.
+    for a, b in sure:
+        label = [min(label[a], label[b]) if v in (label[a], label[b]) else v for v in label]
+    for family in {v for v in label}:
+        members = [i for i, v in enumerate(label) if v == family]
+        assert len(kept & set(members)) <= 1
+    linked = {i for pair in sure + maybe for i in pair}
+    lone = set(range(len(texts))) - linked - {len(texts) - 4, len(texts) - 3, len(texts) - 2}
+    assert lone <= kept and 30 < len(lone)
+    assert len(kept & set(range(len(texts) - 4, len(texts) - 1))) == 1
+
+
+def test_sketch_estimates_the_jaccard_index():
+    rng = np.random.default_rng(9)
+    for n, shared in ((20, 18), (150, 130), (2000, 1800), (2000, 0)):
+        every = rng.integers(0, 1 << 63, 2 * n - shared, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 2 * n - shared, dtype=np.uint64)
+        a, b = np.unique(every[:n]), np.unique(every[n - shared :])
+        table = np.array([s.sketch(a), s.sketch(b)])
+        (found,) = s.alike(table, np.array([0]), np.array([1]))
+        assert abs(found - shared / (2 * n - shared)) < 0.1
+    assert s.alike(np.zeros((2, s.BINS), dtype="<u2"), np.array([0]), np.array([1]))[0] == 0
