@@ -71,6 +71,9 @@ class Vocabulary:
         if any(" " in text.lstrip(" ") for text in texts):
             raise ValueError("a piece spans the start of a run of spaces")
         self.unit = self._units(texts)
+        self.flat = np.frombuffer(b"".join(self.octets), dtype=np.uint8)
+        self.lengths = np.array([len(octets) for octets in self.octets], dtype=np.int64)
+        self.begins = np.cumsum(self.lengths) - self.lengths
         rank = np.maximum(np.arange(len(pieces)) - (self.first_byte or 0) - 255, 1)
         self.scores = -np.log(rank + 1.0)
         self.byte_score = -np.log(len(pieces) + 1.0)
@@ -148,10 +151,20 @@ class Vocabulary:
         )
         return cls([model.id_to_piece(i) for i in ids], [kind(i) for i in ids])
 
-    def decode(self, ids: Sequence[int]) -> str:
-        """The text of pieces; their first space is not part of it."""
-        octets = b"".join(map(self.octets.__getitem__, ids))
-        return octets[1:].decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """Texts of piece sequences that lie one after the other in `ids`.
+
+        The first space of each is not part of its text.
+        """
+        length = self.lengths[ids]
+        ends = np.cumsum(length)
+        at = np.repeat(self.begins[ids] - ends + length, length)
+        octets = self.flat[at + np.arange(len(at))].tobytes()
+        stops = np.r_[0, ends][np.cumsum(sizes)].tolist()
+        return [
+            octets[low + 1 : high].decode("utf-8", "replace")
+            for low, high in zip([0, *stops[:-1]], stops, strict=True)
+        ]
 
     def spelled(self, character: int) -> list[int]:
         return [self.first_byte + octet for octet in chr(character).encode("utf-8", "surrogatepass")]
@@ -498,14 +511,16 @@ def _batch(sampler: Sampler, keys: pa.Array, texts: list[str], found: list[list[
     every = [sample for samples in found for sample in samples]
     ids = [sample[0] for sample in every]
     sizes = np.array([len(i) for i in ids])
-    exact = [sampler.vocabulary.decode(i.tolist()) == texts[r] for r, i in zip(row, ids, strict=True)]
+    flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
+    texts_again = sampler.vocabulary.decode(flat, sizes)
+    exact = [again == texts[r] for r, again in zip(row.tolist(), texts_again, strict=True)]
     columns = {
         "doc_id": keys.take(pa.array(row)),
         "sample": pa.array([n for samples in found for n in range(1, len(samples) + 1)], pa.int32()),
         "n_pieces": pa.array(sizes, pa.int64()),
         "ids": pa.ListArray.from_arrays(
             pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()),
-            pa.array(np.concatenate(ids) if ids else [], pa.int32()),
+            pa.array(flat, pa.int32()),
         ),
         "log_prob": pa.array([s[1] for s in every], pa.float64()),
         "perturbed": pa.array([s[2] for s in every], pa.float64()),
@@ -521,7 +536,11 @@ def decoded(docs: DataFrame, ids: Column, model: str = MODEL) -> Column:
 
     @F.pandas_udf(StringType())
     def decode(rows: pd.Series) -> pd.Series:
-        v = vocabulary.value
-        return pd.Series([None if r is None else v.decode([int(i) for i in r]) for r in rows], dtype=object)
+        ids = [np.zeros(0, dtype=np.int64) if r is None else np.asarray(r, dtype=np.int64) for r in rows]
+        sizes = np.array([len(i) for i in ids], dtype=np.int64)
+        texts = vocabulary.value.decode(np.concatenate(ids), sizes) if ids else []
+        return pd.Series(
+            [None if r is None else text for r, text in zip(rows, texts, strict=True)], dtype=object
+        )
 
     return decode(ids)
