@@ -31,22 +31,24 @@ EPOCHS = 3
 # Characters that are rare in prose.
 MARKS = r"[#$%&*|<>{}\[\]=_~^!]"
 # Documents in a bucket of keys, about.
-BUCKET = 2_000
+BUCKET = 1_000
+SPREAD = 0.85
 # Sources whose targets are sent to every executor; beyond, Spark joins.
 BROADCAST_SOURCES = 100_000
 
 
 def quality(text: Column, size: Column) -> Column:
-    """Weight of a document, from 0.5 to 1: the less markup, the higher."""
+    """Weight of a document, from 0.75 to 1: the less markup, the higher."""
     marks = F.regexp_count(text, F.lit(MARKS))
-    return 1 / (1 + F.least(marks / F.greatest(size, F.lit(1)), F.lit(1.0)))
+    return 1 / (1 + F.least(marks / F.greatest(size, F.lit(1)), F.lit(1.0)) / 3)
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, source, text_hash, size and key of every document.
 
     The only pass over the texts. A key is a number from 0 to 1 that grows with
-    the exponential key.
+    the exponential key, and that is spread about evenly for weights from 0.75
+    to 1, so that buckets of it are of about one size.
     """
     text = whole("text")
     rows = docs.select(
@@ -61,7 +63,7 @@ def measured(docs: DataFrame) -> DataFrame:
     bits = F.shiftrightunsigned(F.xxhash64("doc_id", "text_hash", F.lit("mix")), 11)
     u = (bits + 0.5) / float(1 << 53)
     return rows.select(
-        "doc_id", "source", "text_hash", "size", (1 - F.exp(F.log(u) / weight)).alias("key")
+        "doc_id", "source", "text_hash", "size", (1 - F.exp(SPREAD * F.log(u) / weight)).alias("key")
     )
 
 

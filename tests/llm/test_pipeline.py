@@ -1,0 +1,139 @@
+import itertools
+import math
+import re
+import struct
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+
+import corpus_pipeline
+from filings.llm import mixing, pii, quality, simhash
+from filings.llm.crf import train
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def draw(doc_id, text):
+    """The number u of a document, by the definition of the hash."""
+    text_hash = signed(xxhash.xxh64_intdigest(text.encode(), 42))
+    h = xxhash.xxh64_intdigest(struct.pack("<q", doc_id), 42)
+    h = xxhash.xxh64_intdigest(struct.pack("<q", text_hash), h)
+    return ((xxhash.xxh64_intdigest(b"mix", h) >> 11) + 0.5) / (1 << 53)
+
+
+def survivors(rows):
+    """The smallest doc_id of each group of near-copies, over all pairs."""
+    codes, sketches = [], []
+    for _, text, _ in rows:
+        words = text.encode().lower().split()
+        codes.append(simhash.fingerprint(text.encode()) % (1 << 64))
+        sketches.append(simhash.sketch(np.unique(simhash.shingle_hashes(words, 5))))
+    sketches, label = np.array(sketches), list(range(len(rows)))
+    pairs = np.array(list(itertools.combinations(range(len(rows)), 2)))
+    alike = simhash.alike(sketches, pairs[:, 0], pairs[:, 1]) >= simhash.ALIKE
+    for (a, b), near in zip(pairs.tolist(), alike):
+        if (near or (codes[a] ^ codes[b]).bit_count() <= 3) and label[a] != label[b]:
+            low, old = min(label[a], label[b]), (label[a], label[b])
+            label = [low if v in old else v for v in label]
+    best = {}
+    for v, row in zip(label, rows):
+        if v not in best or row[0] < best[v][0]:
+            best[v] = row
+    return list(best.values())
+
+
+def mixture(rows):
+    """How often each document is taken."""
+    size = {i: len(WORD.findall(text)) for i, text, _ in rows}
+    by = defaultdict(list)
+    for row in rows:
+        by[row[2]].append(row)
+    order = sorted(by)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    total = {s: sum(size[i] for i, _, _ in by[s]) for s in order}
+    capped = set()
+    while True:
+        level = (sum(total.values()) - sum(3 * total[s] for s in capped)) / sum(
+            weight[s] for s in order if s not in capped
+        )
+        more = {s for s in order if s not in capped and 3 * total[s] < level * weight[s]}
+        if not more:
+            break
+        capped |= more
+    times = {}
+    for s in order:
+        target = 3.0 * total[s] if s in capped else level * weight[s]
+        epochs = math.floor(target / max(total[s], 1))
+        budget, start, keyed = target - epochs * total[s], 0, []
+        for i, text, _ in by[s]:
+            marks = len(re.findall(mixing.MARKS, text))
+            w = 1 / (1 + min(marks / max(size[i], 1), 1.0) / 3)
+            keyed.append((-math.log(draw(i, text)) / w, i))
+        for _, i in sorted(keyed):
+            times[i] = min(3, epochs + (start + size[i] / 2 <= budget)) if size[i] else 0
+            start += size[i]
+    return times
+
+
+def test_run_like_brute_force(spark):
+    given = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.train(docs, labels)
+    scores = model.score(np.array([quality.features(text) for _, text, _ in given]))
+    rows = survivors([row for row, score in zip(given, scores) if score >= 0.5])
+    finder = pii.Finder(train())
+    spans = finder.spans([text for _, text, _ in rows])
+    rows = [(i, pii.masked(text, every), s) for (i, text, s), (_, every) in zip(rows, spans)]
+    expected = Counter()
+    for i, n in mixture(rows).items():
+        if n:
+            expected[i] += n
+    found = corpus_pipeline.run(spark, SF).collect()
+    assert all(r.exact for r in found)
+    assert Counter(r.doc_id for r in found if r["sample"] == 1) == expected
+    assert 100 < len(expected) < len(given)
+
+
+@pytest.fixture(scope="module")
+def odd_tables(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("odd"))
+    good = "These are some plain words of a text, and they go on for a while. " * 3
+    rows = [
+        (1, good, "en", "a", len(good), 1), (1, good, "en", "a", len(good), 1), (2, good, None, None, None, 2),
+        (3, None, "en", "a", None, 3), (4, "", "en", "b", 0, 4), (None, good + " more", "en", "b", 9, 5),
+        (5, "mail a@b.org or call " + good * 400, "en", "a", 1, 6), (6, "%%% ### " * 50, "en", "c", 1, 7),
+    ]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, `times` int"
+    spark.createDataFrame(rows, kind).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (6, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(
+        f"{folder}/labels.parquet"
+    )
+    return folder
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark, odd_tables):
+    docs = spark.read.parquet(f"{odd_tables}/documents.parquet")
+    for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        for rows in (docs, docs.limit(0)):
+            made = stage(spark, rows, odd_tables)
+            if number < len(corpus_pipeline.STAGES) - 1:
+                assert made.columns == docs.columns, name
+            found = made.collect()
+            assert found or rows is not docs
+    kept = corpus_pipeline.near_duplicates(spark, docs, odd_tables).collect()
+    assert sum(r.doc_id == 1 for r in kept) == 1 and all(r.doc_id != 2 for r in kept)
+    masked = corpus_pipeline.personal_data(spark, docs, odd_tables).collect()
+    assert len(masked) == 8 and next(r for r in masked if r.doc_id == 3).text is None
+    five = next(r for r in masked if r.doc_id == 5)
+    assert five.text.startswith("mail [EMAIL] or") and five.n_chars == len(five.text)
+
+
+def test_registered_stages():
+    assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
