@@ -19,6 +19,7 @@ LABELS = ("O", *(f"{part}-{kind}" for kind in KINDS for part in "BI"))
 STEPS = 400
 RATE = 0.1
 DECAY = 2e-3
+LONG = 200
 _NEVER = -1e4
 
 # Shapes of words, the first that fits; classes are numbered in this order.
@@ -47,6 +48,7 @@ SHAPES = {
 }
 CLASSES = {name: i for i, name in enumerate(("word", *SHAPES))}
 EDGE = len(CLASSES)  # before the first and after the last word of a line
+_DIGIT = re.compile("[0-9]")
 _SHAPES = [(re.compile(pattern), CLASSES[name]) for name, pattern in SHAPES.items()]
 
 # The labelled table: words in {kind ...} belong to that kind.
@@ -103,9 +105,15 @@ TABLE = (
 
 
 def shape_class(word: str) -> int:
-    """The class of a word by its shape; 0 is a plain word."""
+    """The class of a word by its shape; 0 is a plain word.
+
+    A word of more than `LONG` characters is mixed if it has a digit, else plain:
+    no shape is that long, and patterns would look at it again and again.
+    """
     if word.isalpha() and len(word) > 9:
         return 0
+    if len(word) > LONG:
+        return CLASSES["mixed"] if _DIGIT.search(word) else 0
     for pattern, number in _SHAPES:
         if pattern.fullmatch(word):
             return number

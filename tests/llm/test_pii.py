@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 
@@ -100,5 +101,13 @@ def test_rows(spark, tmp_path):
     assert masked[0] == "mail [EMAIL], [IP]" and masked[1] is None and masked[4].endswith("word [IP]")
 
 
+def test_very_long_words_take_no_longer(spark):
+    finder = pii.Finder(crf.train())
+    texts = ["1" * 300_000, "a@" * 100_000, "x1" * 150_000, "(" * 300_000, "a" * 300_000 + "1", "-=" * 150_000]
+    begun = time.process_time()
+    assert [every for _, every in finder.spans(texts)] == [[]] * len(texts)
+    assert time.process_time() - begun < 20
+
+
 def test_masks_overlaps_once():
     assert pii.masked("0123456789", [(1, 4, "card"), (2, 6, "phone"), (7, 8, "ip")]) == "0[CARD]6[IP]89"
