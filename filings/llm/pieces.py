@@ -41,6 +41,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 # Code points of texts that are encoded together, and lattice nodes remembered.
 CHUNK = 1 << 20
+UNIT = 500
 REMEMBERED = 2_000_000
 
 # Marks that a vocabulary may keep apart from other characters.
@@ -94,16 +95,18 @@ class Vocabulary:
 
         They begin at runs of spaces, and between marks and other characters
         where no piece has a mark beside another character. Characters that
-        pieces do join to marks count as marks.
+        pieces do join to marks count as marks. A longer run is cut every `UNIT`
+        code points; pieces across such a cut are not considered.
         """
         marks, words = set(MARKS), [text.lstrip(" ") for text in texts]
         words = [word for word in words if len(word) > 1]
         while more := {c for w in words if marks.intersection(w) for c in w} - marks:
             marks |= more
         if any(mark.isalpha() and mark.isascii() for mark in marks):
-            return re.compile(" +[^ ]*|[^ ]+")
+            return re.compile(f" {{0,{UNIT}}}[^ ]{{1,{UNIT}}}| {{1,{UNIT}}}")
         own = "".join(map(re.escape, sorted(marks)))
-        return re.compile(f" *[^ {own}]+| *[{own}]+| +")
+        word, mark = f"[^ {own}]{{1,{UNIT}}}", f"[{own}]{{1,{UNIT}}}"
+        return re.compile(f" {{0,{UNIT}}}(?:{word}|{mark})| {{1,{UNIT}}}")
 
     def _hash(self, keys: np.ndarray, children: np.ndarray) -> None:
         """Open addressing: a key is in its slot, or in the next free one."""

@@ -97,6 +97,17 @@ def test_query_and_odd_rows(spark, tmp_path):
     assert pieces.encoded(docs.limit(0)).count() == 0
 
 
+def test_long_runs_are_cut(vocabulary):
+    sampler = pieces.Sampler(vocabulary, 2)
+    texts = ["ab" * 200_000, " " * 50_000, "!" * 50_000, "é" * 30_000]
+    # Only the first two have more than one segmentation in this vocabulary.
+    for text, n, found in zip(texts, (2, 2, 1, 1), sampler.encode([1] * 4, texts)):
+        assert len(found) == n
+        for ids, *_ in found:
+            assert vocabulary.decode(ids, np.array([len(ids)])) == [text]
+    assert len(sampler.lattices.start) < 20
+
+
 def test_real_vocabulary_encodes_known_pieces():
     import sentencepiece
 
