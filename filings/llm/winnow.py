@@ -19,6 +19,8 @@ gives no rows. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,9 @@ from filings.llm.common import parallelism, whole
 
 GRAM = 5
 WINDOW = 8
+# Buckets of doc_id for each shuffle partition: several, so that they add up to
+# partitions of about one size.
+BUCKETS = 8
 
 # Hashes are taken modulo this prime, and positions are below 2 ** 31, so that
 # a hash and a position fit one long.
@@ -98,6 +103,21 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(every == 0, 1.0).otherwise(shared / every)
 
 
+def _bucketed(rows: DataFrame, bounds: list[int]) -> DataFrame:
+    """Add `bucket`, the number of bounds above doc_id; null comes after all.
+
+    Every so many bounds are looked at first, and then those between two.
+    """
+    step = 1 + math.isqrt(len(bounds))
+    every = lambda values: F.lit(values).cast("array<bigint>")
+    reached = lambda values: F.size(F.filter(values, lambda bound: bound <= F.col("doc_id")))
+    rows = rows.withColumn("_strides", reached(every(bounds[step - 1 :: step])) * step)
+    near = F.slice(every(bounds), F.col("_strides") + 1, F.lit(step))
+    bucket = len(bounds) - F.col("_strides") - reached(near)
+    last = F.lit(len(bounds) + 1)
+    return rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), last).otherwise(bucket)).drop("_strides")
+
+
 def _in_order(docs: DataFrame) -> DataFrame:
     """Documents dealt to buckets of doc_id, high to low.
 
@@ -107,13 +127,10 @@ def _in_order(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text"))
-    n = parallelism(spark)
-    shares = [i / n for i in range(1, n)] or [0.5]
+    n = BUCKETS * parallelism(spark)
+    shares = [i / n for i in range(1, n)]
     bounds = rows.agg(F.percentile_approx("doc_id", shares, 10_000).alias("b")).head().b or []
-    bounds = sorted(set(bounds))
-    above = F.filter(F.lit(bounds).cast("array<bigint>"), lambda bound: bound > F.col("doc_id"))
-    bucket = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(F.size(above))
-    rows = rows.withColumn("bucket", bucket).withColumn("tie", F.xxhash64("text"))
+    rows = _bucketed(rows, sorted(set(bounds))).withColumn("tie", F.xxhash64("text"))
     firsts = _firsts(spark, rows)
     own = F.struct(F.col("bucket"), F.lit(0).alias("wrap"), F.lit(False).alias("guard"))
     before = F.struct(F.col("to_bucket").alias("bucket"), F.col("to_wrap").alias("wrap"), F.lit(True).alias("guard"))

@@ -95,3 +95,12 @@ def test_few_documents(spark, tmp_path):
     assert winnow.compared(one.limit(0)).count() == 0
     twice = one.union(one).union(one)
     assert [r.edited for r in winnow.compared(twice).collect()] == ["abcdab"] * 3
+
+
+def test_buckets_count_the_bounds_above(spark):
+    ids = [None, -5, 0, 3, 4, 17, 18, 99, 100]
+    rows = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    for bounds in ([], [4], [0, 3, 17, 18], list(range(0, 100, 3))):
+        for row in winnow._bucketed(rows, bounds).collect():
+            above = len(bounds) + 1 if row.doc_id is None else sum(b > row.doc_id for b in bounds)
+            assert row.bucket == above
