@@ -31,6 +31,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -40,9 +41,9 @@ from filings.llm.common import whole
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 # Code points of texts that are encoded together, and lattice nodes remembered.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 UNIT = 500
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 
 # Marks that a vocabulary may keep apart from other characters.
 MARKS = ".,;:!?%&*$#|\"()'-/=+[]{}<>"
@@ -493,14 +494,14 @@ def encoded(docs: DataFrame, k: int = SAMPLES, model: str = MODEL) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(vocabulary.value, k)
         for batch in batches:
-            keys, texts = batch["doc_id"], batch["text"].to_pylist()
-            seeds = batch["seed"].to_pylist()
             low, size = 0, 0
-            for high, text in enumerate(texts, start=1):
-                size += len(text)
-                if size >= CHUNK or high == len(texts):
-                    found = sampler.encode(seeds[low:high], texts[low:high])
-                    yield _batch(sampler, keys.slice(low, high - low), texts[low:high], found)
+            for high, length in enumerate(pc.utf8_length(batch["text"]).to_pylist(), start=1):
+                size += length
+                if size >= CHUNK or high == batch.num_rows:
+                    part = batch.slice(low, high - low)
+                    texts = part["text"].to_pylist()
+                    found = sampler.encode(part["seed"].to_pylist(), texts)
+                    yield _batch(sampler, part["doc_id"], texts, found)
                     low, size = high, 0
 
     rows = docs.select(
