@@ -16,8 +16,10 @@ shingles are alike to `ALIKE` or more (Jaccard). Such texts differ in too many
 bits for the keys above, so their shards are by `KEYS` smallest shingle hashes
 under different orders (two texts alike to 0.8 share none of five with a chance
 of 0.0003), their trees hold fingerprints of five-word shingles, searched to the
-radius `NEAR_RADIUS`, and a hit counts if the sketches of both texts agree: for
-`BINS` bins the smallest shingle hash in each, which is all of a short text.
+radius `NEAR_RADIUS`, and a hit is set aside if the sketches of both texts (for
+`BINS` bins the smallest shingle hash in each) agree in less than `APART`. The
+texts of the groups that are left are moved, each once for every different group,
+and their sets of distinct shingle hashes compared exactly.
 
 A null or empty text, or one without words, has the fingerprint zero, which
 links like any other. Repeated rows have a row each. A component whose doc_ids
@@ -44,11 +46,15 @@ SHARD = 4096
 # Near-copies: see above.
 NEAR_WORDS = 5
 ALIKE = 0.8
+# Sketches that agree in less are clearly apart: six deviations below `ALIKE`.
+APART = 0.65
 NEAR_RADIUS = 18
 KEYS = 5
 BINS = 256
 # Pairs of sketches that are compared at a time.
 SKETCHES = 1 << 13
+# Shingles of a text that count as one text when chunks are cut.
+LOAD = 512
 # Node visits that a search holds in memory at a time.
 VISITS = 2_000_000
 # Hashes that are counted bit by bit at a time.
@@ -115,21 +121,22 @@ def smallest_hashes(hashes: np.ndarray) -> np.ndarray:
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        codes, nears, keys, sketches = [], [], [], []
+        codes, nears, sizes, keys, sketches = [], [], [], [], []
         for text in batch["text"].to_pylist():
             words = (text or b"").lower().split()
             codes.append(majority(shingle_hashes(words, WORDS_IN_SHINGLE)))
             hashes = np.unique(shingle_hashes(words, NEAR_WORDS))
             nears.append(majority(hashes))
+            sizes.append(len(hashes))
             keys.append(smallest_hashes(hashes))
             sketches.append(sketch(hashes).tobytes())
         yield pa.RecordBatch.from_arrays(
             [
                 batch["doc_id"], batch["text_hash"], pa.array(codes, pa.int64()),
-                pa.array(nears, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
-                pa.array(sketches, pa.binary()),
+                pa.array(nears, pa.int64()), pa.array(sizes, pa.int64()),
+                pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()),
             ],
-            ["doc_id", "text_hash", "fingerprint", "near", "keys", "sketch"],
+            ["doc_id", "text_hash", "fingerprint", "near", "size", "keys", "sketch"],
         )
 
 
@@ -154,7 +161,7 @@ def with_sketches(docs: DataFrame) -> DataFrame:
     """As `with_fingerprints`, and what near-copies are found by."""
     return _texts(docs).mapInArrow(
         _described,
-        "doc_id long, text_hash long, fingerprint long, near long, keys array<long>, sketch binary",
+        "doc_id long, text_hash long, fingerprint long, near long, size long, keys array<long>, sketch binary",
     )
 
 
@@ -289,16 +296,35 @@ def alike(sketches: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return same / np.maximum(((left | right) > 0).sum(axis=1), 1)
 
 
-def _near_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """As `_stars`, for near-copies: (code, first) of texts that are alike."""
+def _members(table: pa.Table, label: np.ndarray) -> pa.RecordBatch:
+    """Rows of groups with several texts; `key` is the same for equal groups."""
+    hashes = table["text_hash"].to_numpy()
+    order = np.lexsort((hashes, label))
+    own, texts = label[order], hashes[order]
+    # A repeated row is one text.
+    new = np.r_[True, (own[1:] != own[:-1]) | (texts[1:] != texts[:-1])]
+    order, own, texts = order[new], own[new], texts[new]
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    n = np.diff(np.r_[first, len(own)])
+    key = np.repeat(np.bitwise_xor.reduceat(texts, first), n)
+    several = np.repeat(n > 1, n)
+    rows = pa.array(order[several])
+    columns = [table[name].take(rows).combine_chunks() for name in ("code", "size", "doc_id", "text_hash")]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(key[several]), *columns], ["key", "code", "size", "doc_id", "text_hash"]
+    )
+
+
+def _near_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups of texts in each shard whose sketches are not clearly apart."""
 
     def linked(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
-        codes, near = table["code"].to_numpy(), table["near"].to_numpy()
+        near = table["near"].to_numpy()
         sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype="<u2").reshape(-1, BINS)
         forest = Forest(near.view(np.uint64), table["shard"].to_numpy())
-        label = np.arange(len(codes))
-        for rows, nodes in forest.search(np.arange(len(codes)), NEAR_RADIUS):
+        label = np.arange(len(near))
+        for rows, nodes in forest.search(np.arange(len(near)), NEAR_RADIUS):
             # Each pair once, and none whose texts are linked by now.
             open_ = (rows < nodes) & (label[rows] != label[nodes])
             rows, nodes = rows[open_], nodes[open_]
@@ -306,12 +332,9 @@ def _near_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a, b = rows[at : at + SKETCHES], nodes[at : at + SKETCHES]
                 apart = label[a] != label[b]
                 a, b = a[apart], b[apart]
-                good = alike(sketches, a, b) >= ALIKE
+                good = alike(sketches, a, b) >= APART
                 link(label, a[good], b[good])
-        tied = np.flatnonzero(codes != codes[label])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(codes[tied]), pa.array(codes[label[tied]])], ["code", "first"]
-        )
+        return _members(table, label)
 
     held = None
     for batch in batches:
@@ -327,21 +350,75 @@ def _near_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield linked(held)
 
 
-def near_links(rows: DataFrame, shard: int = SHARD) -> DataFrame:
+def link_alike(hashes: list[np.ndarray]) -> np.ndarray:
+    """Labels of sets of distinct hashes, linked where Jaccard is `ALIKE` or more."""
+    sizes = np.array([len(own) for own in hashes])
+    names, number = np.unique(np.concatenate(hashes), return_inverse=True)
+    order = np.argsort(number, kind="stable")
+    holders = np.repeat(np.arange(len(sizes)), sizes)[order]
+    first = np.searchsorted(number[order], np.arange(len(names) + 1))
+    ends, label = np.cumsum(sizes), np.arange(len(sizes))
+    for i, size in enumerate(sizes):
+        # The smaller size over the larger bounds the index from above.
+        others = (np.minimum(sizes, size) / np.maximum(sizes, size) >= ALIKE) & (label != label[i])
+        if others.any():
+            own = number[ends[i] - size : ends[i]]
+            n = first[own + 1] - first[own]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[own], n)
+            shared = np.bincount(holders[at], minlength=len(sizes))
+            good = np.flatnonzero(others & (shared / (sizes + size - shared) >= ALIKE))
+            link(label, np.full(len(good), i), good)
+    return label
+
+
+def _near_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As `_stars`, for near-copies: (code, first) of texts that are alike."""
+
+    def linked(codes: list[int], hashes: list[np.ndarray]) -> pa.RecordBatch:
+        codes, label = np.array(codes), link_alike(hashes)
+        tied = np.flatnonzero(codes != codes[label])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(codes[tied]), pa.array(codes[label[tied]])], ["code", "first"]
+        )
+
+    shard, codes, hashes = None, [], []
+    for batch in batches:
+        rows = zip(*(batch[name].to_pylist() for name in ("shard", "code", "text")), strict=True)
+        for key, code, text in rows:
+            if key != shard and codes:
+                yield linked(codes, hashes)
+                codes, hashes = [], []
+            shard = key
+            codes.append(code)
+            hashes.append(np.unique(shingle_hashes(text.lower().split(), NEAR_WORDS)))
+    if codes:
+        yield linked(codes, hashes)
+
+
+def near_links(rows: DataFrame, docs: DataFrame, shard: int = SHARD) -> DataFrame:
     """Star edges (code, first) between texts that are alike.
 
-    `rows` is a stored table as `with_sketches` makes it. Copies of a text are
-    merged before anything is counted; only texts that share a key with another
-    have their sketches moved.
+    `rows` is a stored table as `with_sketches` makes it of `docs`. Copies of a
+    text are merged before anything is counted; only texts that share a key with
+    another have their sketches moved, and only those of groups their texts.
     """
     keyed = rows.select("doc_id", "text_hash", F.explode("keys").alias("key"))
     texts = keyed.groupBy("key", "text_hash").agg(F.min("doc_id").alias("doc_id"))
     sizes = texts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     place = F.struct("text_hash", "doc_id").alias("_place")
     shared = texts.join(sizes, "key").select("key", "n", "text_hash", place)
-    held = rows.select(place, F.col("fingerprint").alias("code"), "near", "sketch")
-    laid = _dealt(shared.join(held, "_place"), "text_hash", ["code", "near", "sketch"], shard)
-    return laid.mapInArrow(_near_stars, "code long, first long").distinct()
+    held = rows.select(place, "doc_id", F.col("fingerprint").alias("code"), "near", "size", "sketch")
+    columns = ["code", "near", "size", "sketch", "doc_id", "text_hash"]
+    laid = _dealt(shared.join(held, "_place"), "text_hash", columns, shard)
+    kind = "key long, code long, size long, doc_id long, text_hash long"
+    groups = materialise(laid.mapInArrow(_near_groups, kind).distinct(), "groups")
+    load = F.greatest(F.count("*"), F.ceil(F.sum("size") / F.lit(LOAD)))
+    members = groups.join(groups.groupBy("key").agg(load.alias("n")), "key")
+    members = members.select("key", "n", "code", "text_hash", place)
+    whole_texts = _texts(docs).select(place, "text")
+    whole_texts = whole_texts.join(groups.select(place).distinct(), "_place", "left_semi").dropDuplicates(["_place"])
+    dealt = _dealt(members.join(whole_texts, "_place"), "text_hash", ["code", "text"], shard)
+    return dealt.mapInArrow(_near_stars, "code long, first long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -397,10 +474,11 @@ def with_components(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The document with the smallest doc_id of each group of near-copies, unchanged.
 
-    Only ids, hashes and sketches are grouped; texts move once, keyed by document.
+    Ids, hashes and sketches are grouped; texts move once, keyed by document, and
+    those with a possible near-copy once more for every group of theirs.
     """
     rows = materialise(with_sketches(docs), "sketches")
-    found = near_duplicates(rows, near_links(rows)).filter(F.col("first_id").eqNullSafe(F.col("component_id")))
+    found = near_duplicates(rows, near_links(rows, docs)).filter(F.col("first_id").eqNullSafe(F.col("component_id")))
     kept = rows.join(found, "fingerprint").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     place = F.struct("doc_id", "text_hash")
     kept = kept.groupBy("root").agg(F.min(place).alias("_key")).select("_key")

@@ -143,3 +143,37 @@ def test_sketch_estimates_the_jaccard_index():
         (found,) = s.alike(table, np.array([0]), np.array([1]))
         assert abs(found - shared / (2 * n - shared)) < 0.1
     assert s.alike(np.zeros((2, s.BINS), dtype="<u2"), np.array([0]), np.array([1]))[0] == 0
+
+
+def close_pairs():
+    """Pairs of texts just at, above and below the bound, and their Jaccard index."""
+    rng = np.random.default_rng(10)
+    rows = []
+    for pair in range(150):
+        n = int(rng.integers(30, 500))
+        cut = round(n * float(rng.uniform(0.1, 0.13))) if pair % 5 else (n := n // 9 * 9) // 9
+        a = [f"p{pair}w{i}" for i in range(n + 4)]
+        # The last `cut` shingles differ: Jaccard (n - cut) / (n + cut).
+        rows.append((" ".join(a), " ".join(a[: n + 4 - cut] + [f"p{pair}x{i}" for i in range(cut)])))
+    return rows
+
+
+def test_near_copies_are_those_of_the_exact_index(spark):
+    pairs = close_pairs()
+    docs = spark.createDataFrame(
+        [(2 * i + j, text) for i, pair in enumerate(pairs) for j, text in enumerate(pair)], "doc_id long, text string"
+    )
+    kept = {r.doc_id for r in s.one_of_each(docs).collect()}
+    index = [len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for a, b in pairs]
+    assert sum(j == 0.8 for j in index) >= 30 and 20 < sum(j < 0.8 for j in index) < 130
+    # Fingerprints within the radius link, too.
+    bits = [(brute_fingerprint(a) ^ brute_fingerprint(b)).bit_count() for a, b in pairs]
+    apart = {2 * i + 1 for i, j in enumerate(index) if j < 0.8 and bits[i] > s.RADIUS}
+    assert kept == {2 * i for i in range(len(pairs))} | apart and len(apart) > 20
+
+
+def test_groups_in_chunks_lose_no_near_copy(spark):
+    docs = spark.createDataFrame(list(enumerate(near_texts() * 2)), "doc_id long, text string")
+    rows = s.materialise(s.with_sketches(docs), "sketches")
+    one = {tuple(r) for r in s.components(s.near_links(rows, docs)).collect()}
+    assert one == {tuple(r) for r in s.components(s.near_links(rows, docs, shard=2)).collect()} and one
