@@ -15,11 +15,11 @@ contraction joins the stars into components.
 shingles are alike to `ALIKE` or more (Jaccard). Such texts differ in too many
 bits for the keys above, so their shards are by `KEYS` smallest shingle hashes
 under different orders (two texts alike to 0.8 share none of five with a chance
-of 0.0003), their trees hold fingerprints of five-word shingles, searched to the
-radius `NEAR_RADIUS`, and a hit is set aside if the sketches of both texts (for
-`BINS` bins the smallest shingle hash in each) agree in less than `APART`. The
-texts of the groups that are left are moved, each once for every different group,
-and their sets of distinct shingle hashes compared exactly.
+of 0.0003). All texts of a shard are compared whose numbers of distinct shingles
+allow it: a pair is set aside if the sketches of both (for `BINS` bins the
+smallest shingle hash in each) agree in less than `APART`. The texts of the groups
+that are left are moved, each once for every different group, and their sets of
+distinct shingle hashes compared exactly.
 
 A null or empty text, or one without words, has the fingerprint zero, which
 links like any other. Repeated rows have a row each. A component whose doc_ids
@@ -48,7 +48,6 @@ NEAR_WORDS = 5
 ALIKE = 0.8
 # Sketches that agree in less are clearly apart: six deviations below `ALIKE`.
 APART = 0.65
-NEAR_RADIUS = 18
 KEYS = 5
 BINS = 256
 # Pairs of sketches that are compared at a time.
@@ -108,35 +107,36 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-_ORDERS = (np.arange(1, KEYS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C14)) | np.uint64(1)
+_ORDERS = np.random.default_rng(SEED).integers(0, 1 << 64, KEYS, dtype=np.uint64)
 
 
 def smallest_hashes(hashes: np.ndarray) -> np.ndarray:
     """The smallest hash in each of `KEYS` orders, none where there is no hash."""
     if not len(hashes):
         return np.zeros(0, dtype=np.int64)
-    mixed = hashes ^ hashes >> np.uint64(31)
-    return np.array([(mixed * order).min() ^ order for order in _ORDERS]).view(np.int64)
+    # Orders by one multiplication each are not independent, which loses pairs of short texts.
+    mixed = (hashes ^ _ORDERS[:, None]) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+    return ((mixed ^ mixed >> np.uint64(32)).min(axis=1) ^ _ORDERS).view(np.int64)
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        codes, nears, sizes, keys, sketches = [], [], [], [], []
+        codes, sizes, keys, sketches = [], [], [], []
         for text in batch["text"].to_pylist():
             words = (text or b"").lower().split()
             codes.append(majority(shingle_hashes(words, WORDS_IN_SHINGLE)))
             hashes = np.unique(shingle_hashes(words, NEAR_WORDS))
-            nears.append(majority(hashes))
             sizes.append(len(hashes))
             keys.append(smallest_hashes(hashes))
             sketches.append(sketch(hashes).tobytes())
         yield pa.RecordBatch.from_arrays(
             [
                 batch["doc_id"], batch["text_hash"], pa.array(codes, pa.int64()),
-                pa.array(nears, pa.int64()), pa.array(sizes, pa.int64()),
-                pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()),
+                pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
+                pa.array(sketches, pa.binary()),
             ],
-            ["doc_id", "text_hash", "fingerprint", "near", "size", "keys", "sketch"],
+            ["doc_id", "text_hash", "fingerprint", "size", "keys", "sketch"],
         )
 
 
@@ -161,7 +161,7 @@ def with_sketches(docs: DataFrame) -> DataFrame:
     """As `with_fingerprints`, and what near-copies are found by."""
     return _texts(docs).mapInArrow(
         _described,
-        "doc_id long, text_hash long, fingerprint long, near long, size long, keys array<long>, sketch binary",
+        "doc_id long, text_hash long, fingerprint long, size long, keys array<long>, sketch binary",
     )
 
 
@@ -315,21 +315,35 @@ def _members(table: pa.Table, label: np.ndarray) -> pa.RecordBatch:
     )
 
 
+def pairs_by_size(groups: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of one group whose sizes allow an index of `ALIKE`, in pieces."""
+    order = np.lexsort((sizes, groups))
+    groups, sizes = groups[order], sizes[order]
+    # Groups lie apart by more than any size.
+    base = np.cumsum(np.r_[0, groups[1:] != groups[:-1]]) << 40
+    last = np.searchsorted(base + sizes, base + np.floor(sizes / ALIKE + 1e-6).astype(np.int64), "right")
+    n = last - np.arange(len(order)) - 1
+    ends, low = np.cumsum(n), 0
+    while low < len(n):
+        done = ends[low] - n[low]
+        high = max(low + 1, int(np.searchsorted(ends, done + VISITS, "right")))
+        rows = np.repeat(np.arange(low, high), n[low:high])
+        others = rows + 1 + np.arange(len(rows)) - (ends - n)[rows] + done
+        yield order[rows], order[others]
+        low = high
+
+
 def _near_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups of texts in each shard whose sketches are not clearly apart."""
 
     def linked(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
-        near = table["near"].to_numpy()
         sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype="<u2").reshape(-1, BINS)
-        forest = Forest(near.view(np.uint64), table["shard"].to_numpy())
-        label = np.arange(len(near))
-        for rows, nodes in forest.search(np.arange(len(near)), NEAR_RADIUS):
-            # Each pair once, and none whose texts are linked by now.
-            open_ = (rows < nodes) & (label[rows] != label[nodes])
-            rows, nodes = rows[open_], nodes[open_]
+        label = np.arange(table.num_rows)
+        for rows, others in pairs_by_size(table["shard"].to_numpy(), table["size"].to_numpy()):
+            # None whose texts are linked by now.
             for at in range(0, len(rows), SKETCHES):
-                a, b = rows[at : at + SKETCHES], nodes[at : at + SKETCHES]
+                a, b = rows[at : at + SKETCHES], others[at : at + SKETCHES]
                 apart = label[a] != label[b]
                 a, b = a[apart], b[apart]
                 good = alike(sketches, a, b) >= APART
@@ -407,8 +421,8 @@ def near_links(rows: DataFrame, docs: DataFrame, shard: int = SHARD) -> DataFram
     sizes = texts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     place = F.struct("text_hash", "doc_id").alias("_place")
     shared = texts.join(sizes, "key").select("key", "n", "text_hash", place)
-    held = rows.select(place, "doc_id", F.col("fingerprint").alias("code"), "near", "size", "sketch")
-    columns = ["code", "near", "size", "sketch", "doc_id", "text_hash"]
+    held = rows.select(place, "doc_id", F.col("fingerprint").alias("code"), "size", "sketch")
+    columns = ["code", "size", "sketch", "doc_id", "text_hash"]
     laid = _dealt(shared.join(held, "_place"), "text_hash", columns, shard)
     kind = "key long, code long, size long, doc_id long, text_hash long"
     groups = materialise(laid.mapInArrow(_near_groups, kind).distinct(), "groups")
