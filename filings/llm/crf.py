@@ -48,7 +48,8 @@ SHAPES = {
 }
 CLASSES = {name: i for i, name in enumerate(("word", *SHAPES))}
 EDGE = len(CLASSES)  # before the first and after the last word of a line
-_DIGIT = re.compile("[0-9]")
+_DIGIT, _LETTER, _SPACE, _MARKS = map(re.compile, ("[0-9]", "[A-Za-z]", r"\s", r"\W*+"))
+_BARE, _SHORT = re.compile("[A-Za-z0-9+/_-]++"), re.compile("[A-Za-z0-9_-]++")
 _SHAPES = [(re.compile(pattern), CLASSES[name]) for name, pattern in SHAPES.items()]
 
 # The labelled table: words in {kind ...} belong to that kind.
@@ -104,18 +105,48 @@ TABLE = (
 )
 
 
+def _code(word: str, body: re.Pattern, joints: str, least: int) -> bool:
+    """Whether the word is `body` of at least that length between other marks.
+
+    `joints` are the marks that the body may begin and end with.
+    """
+    low = _MARKS.match(word).end()
+    high = len(word) - _MARKS.match(word[::-1]).end()
+    if low >= high or not body.fullmatch(word, low, high):
+        return False
+    ahead, after = word[:low], word[high:]
+    more = len(ahead) - len(ahead.rstrip(joints)) + len(after) - len(after.lstrip(joints))
+    return high - low + more >= least
+
+
+def _bare_code(word: str) -> bool:
+    digit = _DIGIT.search(word)
+    letter = digit and _LETTER.search(word, digit.end())
+    return bool(letter and _DIGIT.search(word, letter.end())) and _code(word, _BARE, "+/-", 24)
+
+
+def _short_code(word: str) -> bool:
+    return bool(_DIGIT.search(word) and _LETTER.search(word)) and _code(word, _SHORT, "-", 8)
+
+
+def _mixed(word: str) -> bool:
+    return bool(_DIGIT.search(word)) and not _SPACE.search(word)
+
+
+# Shapes whose patterns may look at a long word again and again, in a few passes.
+_PASSES = {CLASSES["bare code"]: _bare_code, CLASSES["short code"]: _short_code, CLASSES["mixed"]: _mixed}
+
+
 def shape_class(word: str) -> int:
     """The class of a word by its shape; 0 is a plain word.
 
-    A word of more than `LONG` characters is mixed if it has a digit, else plain:
-    no shape is that long, and patterns would look at it again and again.
+    A word of more than `LONG` characters has the same shape in linear time.
     """
     if word.isalpha() and len(word) > 9:
         return 0
-    if len(word) > LONG:
-        return CLASSES["mixed"] if _DIGIT.search(word) else 0
+    passes = _PASSES if len(word) > LONG else {}
     for pattern, number in _SHAPES:
-        if pattern.fullmatch(word):
+        if passes[number](word) if number in passes else pattern.fullmatch(word):
             return number
     return 0
 

@@ -111,3 +111,26 @@ def test_very_long_words_take_no_longer(spark):
 
 def test_masks_overlaps_once():
     assert pii.masked("0123456789", [(1, 4, "card"), (2, 6, "phone"), (7, 8, "ip")]) == "0[CARD]6[IP]89"
+
+
+def test_long_words_have_the_shape_of_their_patterns(monkeypatch):
+    rng = random.Random(13)
+    parts = ["a", "Z", "1", "09", "x1y2", "+", "-", "/", "_", "\"", "'", ".", ":", "=", "(", "!", "é", "token", "5,5"]
+    words = ["".join(rng.choice(rng.sample(parts, 4)) for _ in range(rng.randint(1, 30))) for _ in range(40_000)]
+    words += [edge + "a1" * n + edge[::-1] for edge in ("", "-", "+(", "(+", "-(-") for n in range(2, 16)]
+    expected = list(map(crf.shape_class, words))
+    monkeypatch.setattr(crf, "LONG", 0)
+    assert list(map(crf.shape_class, words)) == expected
+    assert set(expected) >= {crf.CLASSES[name] for name in ("quoted code", "bare code", "short code", "number", "mixed")}
+
+
+def test_long_secrets_are_found():
+    finder = pii.Finder(crf.train())
+    key = ("0f1e2d3c4b5a69788796" * 15)[:300]
+    for before, after in (('und "', '" im text'), ('the token = "', '" was left in'), ("password: ", " do not share")):
+        text = before + key + after
+        assert finder.spans([text])[0][1] == [(len(before), len(before) + 300, "secret")]
+    text = 'see "' + "a1" * 150_000 + '" here'
+    begun = time.process_time()
+    assert finder.spans([text])[0][1] == [(5, 300_005, "secret")]
+    assert time.process_time() - begun < 10
