@@ -12,8 +12,11 @@ the end give the exact chance of every step.
 
 No piece crosses the start of a run of spaces, nor, in vocabularies that keep
 marks apart, the place between a word and a mark. So the lattice is a chain of
-the lattices of units between such places, which are built once for many texts. Noise comes from a hash of the row's key, the number of the
-sample, the unit and the step: reruns and other partitions agree.
+the lattices of units between such places, which are built once for many texts. A
+unit of more than `UNIT` code points is cut further, at each place that no piece of
+the vocabulary crosses in it; what is left whole is one lattice, however long, and
+built backwards in windows. Noise comes from a hash of the row's key, the number of
+the sample, the unit and the step: reruns and other partitions agree.
 
 Characters that no piece holds are spelled in byte pieces; decoding restores
 every text exactly. A null or empty text has one segmentation, without pieces.
@@ -26,7 +29,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from itertools import repeat
+from itertools import pairwise, repeat
 
 import numpy as np
 import pandas as pd
@@ -43,6 +46,8 @@ SAMPLES = 2
 # Code points of texts that are encoded together, and lattice nodes remembered.
 CHUNK = 1 << 19
 UNIT = 500
+# Code points of a longer unit that are looked at together.
+WINDOW = 1 << 15
 REMEMBERED = 2_000_000
 
 # Marks that a vocabulary may keep apart from other characters.
@@ -73,6 +78,7 @@ class Vocabulary:
         if any(" " in text.lstrip(" ") for text in texts):
             raise ValueError("a piece spans the start of a run of spaces")
         self.unit = self._units(texts)
+        self.longest = max(map(len, texts), default=1)
         self.flat = np.frombuffer(b"".join(self.octets), dtype=np.uint8)
         self.lengths = np.array([len(octets) for octets in self.octets], dtype=np.int64)
         self.begins = np.cumsum(self.lengths) - self.lengths
@@ -96,18 +102,16 @@ class Vocabulary:
 
         They begin at runs of spaces, and between marks and other characters
         where no piece has a mark beside another character. Characters that
-        pieces do join to marks count as marks. A longer run is cut every `UNIT`
-        code points; pieces across such a cut are not considered.
+        pieces do join to marks count as marks.
         """
         marks, words = set(MARKS), [text.lstrip(" ") for text in texts]
         words = [word for word in words if len(word) > 1]
         while more := {c for w in words if marks.intersection(w) for c in w} - marks:
             marks |= more
         if any(mark.isalpha() and mark.isascii() for mark in marks):
-            return re.compile(f" {{0,{UNIT}}}[^ ]{{1,{UNIT}}}| {{1,{UNIT}}}")
+            return re.compile(" *[^ ]+| +")
         own = "".join(map(re.escape, sorted(marks)))
-        word, mark = f"[^ {own}]{{1,{UNIT}}}", f"[{own}]{{1,{UNIT}}}"
-        return re.compile(f" {{0,{UNIT}}}(?:{word}|{mark})| {{1,{UNIT}}}")
+        return re.compile(f" *(?:[^ {own}]+|[{own}]+)| +")
 
     def _hash(self, keys: np.ndarray, children: np.ndarray) -> None:
         """Open addressing: a key is in its slot, or in the next free one."""
@@ -225,6 +229,29 @@ class Lattices:
             nodes[unknown] = list(map(self.start.__getitem__, new))
         return nodes
 
+    def divided(self, units: list[str]) -> list[str]:
+        """Units of a text, with those of more than `UNIT` code points cut further."""
+        if max(map(len, units), default=0) <= UNIT:
+            return units
+        return [part for unit in units for part in (self._cut(unit) if len(unit) > UNIT else (unit,))]
+
+    def _cut(self, unit: str) -> list[str]:
+        """Parts of a unit between the places that no piece crosses."""
+        codes, crossed = _codes(unit), np.zeros(len(unit) + 1, dtype=np.int64)
+        for low in range(0, len(codes), WINDOW):
+            at, length, _, _ = self._window(codes, low, min(low + WINDOW, len(codes)))
+            np.add.at(crossed, at + 1, 1)
+            np.add.at(crossed, at + length, -1)
+        places = [0, *(np.flatnonzero(np.cumsum(crossed)[1:-1] == 0) + 1).tolist(), len(unit)]
+        return [unit[low:high] for low, high in pairwise(places)]
+
+    def _window(self, codes: np.ndarray, low: int, high: int) -> tuple[np.ndarray, ...]:
+        """`_edges` of one unit that begin in a window of it."""
+        part = codes[low : high + self.vocabulary.longest]
+        at, *others = self._edges(part, np.full(len(part), len(part)))
+        inside = at < high - low
+        return at[inside] + low, *(values[inside] for values in others)
+
     def _edges(self, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         """(position, length, piece, score) of all pieces in the units."""
         v = self.vocabulary
@@ -249,8 +276,14 @@ class Lattices:
         return tuple(np.concatenate(parts) for parts in zip(*found, strict=True))
 
     def _build(self, units: list[str]) -> None:
+        for unit in units:
+            if len(unit) > UNIT:
+                self._build_long(unit)
+        units = [unit for unit in units if len(unit) <= UNIT]
+        if not units:
+            return
         lengths = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
-        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        codes = _codes("".join(units))
         ends = np.repeat(np.cumsum(lengths), lengths)
         at, length, piece, score = self._edges(codes, ends)
         # Nodes by their distance from the end of their unit; ends come first.
@@ -258,25 +291,46 @@ class Lattices:
         order = np.argsort(distance, kind="stable")
         number = np.empty(len(codes), dtype=np.int64)
         number[order] = np.arange(len(codes)) + 1  # one end serves all units
-        source = number[at]
         reached = at + length
         target = np.where(reached == ends[at], 0, number[np.minimum(reached, len(codes) - 1)])
+        cuts = np.searchsorted(distance[order], np.arange(1, distance.max() + 2)) + 1
+        base = self.first.size - 1
+        self._add(base, 0, number[at], target, piece, score, np.zeros(len(codes) + 1), cuts)
+        begins = np.cumsum(lengths) - lengths
+        self.start.update(zip(units, (base + number[begins]).tolist(), strict=True))
+
+    def _build_long(self, unit: str) -> None:
+        """The lattice of one unit, from its end, window by window."""
+        codes, n = _codes(unit), len(unit)
+        base, total = self.first.size - 1, np.zeros(n + 1)
+        for high in range(n, 0, -WINDOW):
+            low = max(high - WINDOW, 0)
+            at, length, piece, score = self._window(codes, low, high)
+            # The end is node 0, and part of the first window.
+            begin = 0 if high == n else n - high + 1
+            cuts = np.arange(n - high + 1, n - low + 2)
+            self._add(base, begin, n - at, n - at - length, piece, score, total[: n - low + 1], cuts)
+        self.start[unit] = base + n
+
+    def _add(self, base, begin, source, target, piece, score, total, cuts) -> None:
+        """Append the nodes from `begin` on to those after `base`, and their edges.
+
+        `total` has the log-sum over all ways to the end for each node, and gets
+        those of the new ones; no edge joins two nodes between the same cuts.
+        """
         by_source = np.argsort(source, kind="stable")
         source, target, piece, score = source[by_source], target[by_source], piece[by_source], score[by_source]
-        n = len(codes) + 1
-        first = np.searchsorted(source, np.arange(n + 1))
-        total = np.zeros(n)  # log-sum over all ways to the end
-        cuts = np.searchsorted(distance[order], np.arange(1, distance.max() + 2)) + 1
+        first = np.searchsorted(source, np.arange(begin, len(total) + 1))
         for low, high in zip(cuts[:-1], cuts[1:], strict=True):
             if low == high:
                 continue
-            a, b = first[low], first[high]
+            a, b = first[low - begin], first[high - begin]
             value = score[a:b] + total[target[a:b]]
-            groups = first[low:high] - a
+            groups = first[low - begin : high - begin] - a
             top = np.maximum.reduceat(value, groups)
             value = np.exp(value - np.repeat(top, np.diff(np.r_[groups, b - a])))
             total[low:high] = top + np.log(np.add.reduceat(value, groups))
-        only = (first[1:] - first[:-1])[source] == 1
+        only = (first[1:] - first[:-1])[source - begin] == 1
         chance = np.where(only, 0.0, np.minimum(score + total[target] - total[source], -1e-16))
         falling = (1 - np.exp(chance)) * ((1 << 20) - 1)
         likeliest = np.argsort(source << 20 | falling.astype(np.int64), kind="stable")
@@ -284,11 +338,10 @@ class Lattices:
         with np.errstate(divide="ignore"):
             rest = np.where(only, -np.inf, np.log(-np.expm1(chance)))
         sums = np.cumsum(np.exp(chance))
-        sums -= np.r_[0, sums][first[source]]
-        sums[first[2:] - 1] = 2.0  # the last edge of each node takes what is left
-        base, edges = self.first.size - 1, self.source.size
-        begins = np.cumsum(lengths) - lengths
-        self.start.update(zip(units, (base + number[begins]).tolist(), strict=True))
+        sums -= np.r_[0, sums][first[source - begin]]
+        # The last edge of each node takes what is left; the end has none.
+        sums[first[1 if begin else 2 :] - 1] = 2.0
+        edges = self.source.size
         self.first.size -= 1
         self.first.extend(edges + first)
         self.source.extend(base + source)
@@ -323,6 +376,10 @@ class Lattices:
         return edges, counts
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+
+
 def mixed_bits(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers without visible pattern."""
     with np.errstate(over="ignore"):
@@ -365,7 +422,7 @@ class Sampler:
     def encode(self, keys: list[int], texts: list[str]) -> list[list[tuple]]:
         """For each row up to k of (ids, log_prob, perturbed, log_inclusion)."""
         find = self.vocabulary.unit.findall
-        units = [find(" " + text) if text else [] for text in texts]
+        units = [self.lattices.divided(find(" " + text)) if text else [] for text in texts]
         flat = [unit for own in units for unit in own]
         nodes = self.lattices.nodes_of(flat)
         starts = np.cumsum([0, *map(len, units)])

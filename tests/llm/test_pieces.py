@@ -117,3 +117,36 @@ def test_real_vocabulary_encodes_known_pieces():
     for samples in pieces.Sampler(v, 4).encode([1, 2, 3], [text] * 3):
         for ids, *_ in samples:
             assert model.decode(ids.tolist()) == text
+
+
+def whole_lattice(v, text):
+    """Log-sum over all segmentations of a text, by definition."""
+    texts = {v.octets[i].decode(): v.scores[i] for i in range(257, len(PIECES))}
+    text, total = " " + text, [0.0]
+    for end in range(1, len(text) + 1):
+        ways = [total[end - len(t)] + s for t, s in texts.items() if text[:end].endswith(t)]
+        if text[end - 1] not in texts:
+            ways.append(total[end - 1] + len(v.spelled(ord(text[end - 1]))) * v.byte_score)
+        total.append(math.log(sum(math.exp(w - max(ways)) for w in ways)) + max(ways))
+    return total[-1]
+
+
+def test_long_runs_have_the_chances_of_the_whole_lattice(vocabulary, monkeypatch):
+    texts = ["b" * 1_501, "a" + " " * 1_200 + "abb", "abbb" * 400, "é" * 600 + "ab" * 500, "b" * 499 + "ab" + "b" * 700]
+    for window in (pieces.WINDOW, 64):
+        monkeypatch.setattr(pieces, "WINDOW", window)
+        for text, found in zip(texts, pieces.Sampler(vocabulary, 3).encode([1, 2, 3, 4, 5], texts)):
+            total = whole_lattice(vocabulary, text)
+            for ids, log_prob, _, inclusion in found:
+                score = sum(vocabulary.scores[i] if i > 256 else vocabulary.byte_score for i in ids.tolist())
+                assert log_prob == pytest.approx(score - total, abs=1e-6) and inclusion <= 0
+                assert vocabulary.decode(ids, np.array([len(ids)])) == [text]
+
+
+def test_pieces_cross_every_place_of_a_long_run(vocabulary):
+    crossed = Counter()
+    for samples in pieces.Sampler(vocabulary, 1).encode(list(range(40)), ["b" * 1_200] * 40):
+        (ids, *_), = samples
+        ends = np.cumsum(vocabulary.lengths[ids])
+        crossed.update(set(range(1, 1_201)) - set(ends.tolist()))
+    assert min(crossed[at] for at in range(2, 1_200)) > 0
