@@ -137,3 +137,21 @@ def test_stages_on_odd_rows_and_empty_tables(spark, odd_tables):
 
 def test_registered_stages():
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_copies_by_the_exact_index(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    codes = [simhash.fingerprint(text.encode()) % (1 << 64) for _, text in rows]
+    sets = [set(simhash.shingle_hashes(text.encode().lower().split(), 5).tolist()) for _, text in rows]
+    label = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        shared = len(sets[a] & sets[b])
+        near = shared and shared / (len(sets[a]) + len(sets[b]) - shared) >= 0.8
+        if (near or (codes[a] ^ codes[b]).bit_count() <= 3) and label[a] != label[b]:
+            low, old = min(label[a], label[b]), (label[a], label[b])
+            label = [low if v in old else v for v in label]
+    best = {}
+    for v, (i, _) in zip(label, rows):
+        best[v] = min(i, best.get(v, i))
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == sorted(best.values())
