@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filings.llm.middle import filled_in, restored
 from filings.llm.mixing import with_taken
 from filings.llm.pieces import encoded
 from filings.llm.pii import find_pii
@@ -89,6 +90,16 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = filled_in(_table(spark, sf_dir, "documents"))
+    back = restored(F.col("output"), F.col("form"))
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
 _OP1_SQL = f"""
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * CAST(x AS DOUBLE))) AS v
@@ -149,6 +160,40 @@ FROM r
 """
 
 
+_OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+         sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+u AS (
+  SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+         CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+         CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+  FROM d),
+c AS (
+  SELECT *, CAST(len(units) AS BIGINT) AS n,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                   OR h3 % 100 >= 50 THEN 'plain'
+              WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM u),
+k AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM c),
+p AS (
+  SELECT *, array_to_string(units[1:a], '') AS prefix,
+         array_to_string(units[a + 1:b], '') AS middle,
+         array_to_string(units[b + 1:n], '') AS suffix
+  FROM k)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t
+                        WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -162,6 +207,7 @@ QUERIES = {
         op8_sentencepiece,
         op9_url_filters,
         op10_fingerprints,
+        op13_middle,
     )
 }
 
@@ -169,4 +215,5 @@ ORACLE_SQL = {
     "op1_topk": _OP1_SQL,
     "op6_warc": _OP6_SQL,
     "op9_url_filters": _op9_sql(),
+    "op13_middle": _OP13_SQL,
 }
