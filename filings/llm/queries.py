@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from filings.llm.middle import filled_in, restored
 from filings.llm.mixing import with_taken
+from filings.llm.negatives import hard_negatives, usable_rows
 from filings.llm.pieces import encoded
 from filings.llm.pii import find_pii
 from filings.llm.quality import scores
@@ -90,6 +91,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = usable_rows(_table(spark, sf_dir, "embeddings"), "vec_id", label, "embedding")
+    return hard_negatives(rows.filter(F.col("id") % EVERY == 0), rows)
+
+
 def op13_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = filled_in(_table(spark, sf_dir, "documents"))
     back = restored(F.col("output"), F.col("form"))
@@ -160,6 +167,33 @@ FROM r
 """
 
 
+_OP12_SQL = f"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor({SCALE} * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike,
+         CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM v a, v c WHERE a.vec_id % {EVERY} = 0 AND c.vec_id <> a.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score,
+         row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place
+  FROM s WHERE alike),
+n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (
+           PARTITION BY p.anchor_id, p.place ORDER BY s.score DESC, s.vec_id) AS n
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike
+    AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+  WHERE place <= 5)
+SELECT anchor_id, positive_id, CAST(n AS INTEGER) AS rank, negative_id,
+       positive_score, negative_score
+FROM n WHERE n <= 3
+"""
+
 _OP13_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
@@ -207,6 +241,7 @@ QUERIES = {
         op8_sentencepiece,
         op9_url_filters,
         op10_fingerprints,
+        op12_negatives,
         op13_middle,
     )
 }
@@ -215,5 +250,6 @@ ORACLE_SQL = {
     "op1_topk": _OP1_SQL,
     "op6_warc": _OP6_SQL,
     "op9_url_filters": _op9_sql(),
+    "op12_negatives": _OP12_SQL,
     "op13_middle": _OP13_SQL,
 }

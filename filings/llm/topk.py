@@ -44,8 +44,16 @@ LOWEST = np.iinfo(np.int64).min
 
 
 def scaled(embedding: str) -> Column:
-    """floor(SCALE * x) of every component, x as double, as whole doubles."""
-    return F.transform(embedding, lambda x: F.floor(x.cast("double") * SCALE).cast("double"))
+    """floor(SCALE * x) of every component, x as double, as whole doubles.
+
+    floor() gives a long; a double of 2^53 or more is whole as it is.
+    """
+
+    def floored(x: Column) -> Column:
+        x = x.cast("double") * SCALE
+        return F.when(F.abs(x) < F.lit(float(1 << 53)), F.floor(x).cast("double")).otherwise(x)
+
+    return F.transform(embedding, floored)
 
 
 def usable_vectors(rows: DataFrame, id_column: str, embedding: str) -> DataFrame:
