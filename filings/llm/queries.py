@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filings.llm.leaks import find_secrets
 from filings.llm.middle import filled_in, restored
 from filings.llm.mixing import with_taken
 from filings.llm.negatives import hard_negatives, usable_rows
@@ -91,6 +92,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = usable_rows(_table(spark, sf_dir, "embeddings"), "vec_id", label, "embedding")
@@ -241,6 +246,7 @@ QUERIES = {
         op8_sentencepiece,
         op9_url_filters,
         op10_fingerprints,
+        op11_secrets,
         op12_negatives,
         op13_middle,
     )
