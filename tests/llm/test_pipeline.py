@@ -29,16 +29,13 @@ def draw(doc_id, text):
 
 
 def survivors(rows):
-    """The smallest doc_id of each group of near-copies, over all pairs."""
-    codes, sketches = [], []
-    for _, text, _ in rows:
-        words = text.encode().lower().split()
-        codes.append(simhash.fingerprint(text.encode()) % (1 << 64))
-        sketches.append(simhash.sketch(np.unique(simhash.shingle_hashes(words, 5))))
-    sketches, label = np.array(sketches), list(range(len(rows)))
-    pairs = np.array(list(itertools.combinations(range(len(rows)), 2)))
-    alike = simhash.alike(sketches, pairs[:, 0], pairs[:, 1]) >= simhash.ALIKE
-    for (a, b), near in zip(pairs.tolist(), alike):
+    """Rows (doc_id, text, ...) with the smallest doc_id of each group of near-copies, over all pairs."""
+    codes = [simhash.fingerprint(text.encode()) % (1 << 64) for _, text, *_ in rows]
+    sets = [set(simhash.shingle_hashes(text.encode().lower().split(), 5).tolist()) for _, text, *_ in rows]
+    label = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        shared = len(sets[a] & sets[b])
+        near = shared and shared / (len(sets[a]) + len(sets[b]) - shared) >= 0.8
         if (near or (codes[a] ^ codes[b]).bit_count() <= 3) and label[a] != label[b]:
             low, old = min(label[a], label[b]), (label[a], label[b])
             label = [low if v in old else v for v in label]
@@ -142,16 +139,5 @@ def test_registered_stages():
 def test_near_copies_by_the_exact_index(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    codes = [simhash.fingerprint(text.encode()) % (1 << 64) for _, text in rows]
-    sets = [set(simhash.shingle_hashes(text.encode().lower().split(), 5).tolist()) for _, text in rows]
-    label = list(range(len(rows)))
-    for a, b in itertools.combinations(range(len(rows)), 2):
-        shared = len(sets[a] & sets[b])
-        near = shared and shared / (len(sets[a]) + len(sets[b]) - shared) >= 0.8
-        if (near or (codes[a] ^ codes[b]).bit_count() <= 3) and label[a] != label[b]:
-            low, old = min(label[a], label[b]), (label[a], label[b])
-            label = [low if v in old else v for v in label]
-    best = {}
-    for v, (i, _) in zip(label, rows):
-        best[v] = min(i, best.get(v, i))
-    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == sorted(best.values())
+    expected = sorted(i for i, _ in survivors(rows))
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == expected

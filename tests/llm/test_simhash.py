@@ -61,6 +61,50 @@ def test_chunks_of_a_large_shard_lose_no_link(spark):
     one = {tuple(r) for r in s.components(s.links(frame)).collect()}
     many = {tuple(r) for r in s.components(s.links(frame, shard=2)).collect()}
     assert one == many and one
+    assert one == {tuple(r) for r in s.components(s.links(frame, broadcast_codes=0)).collect()}
+
+
+def test_trees_hold_codes_and_make_the_links(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    centres = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 64, (6000, 3), dtype=np.uint64)
+    codes = np.unique(centres[rng.integers(0, 900, 6000)] ^ np.bitwise_xor.reduce(flips, axis=1))
+    frame = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "code long")
+    bits = s.prefix_bits(len(codes))
+    sizes = frame.selectExpr("code").select(s.F.explode(s.shard_keys(s.F.col("code"), bits)).alias("k")).groupBy("k").count()
+    assert bits == 2 and sizes.agg(s.F.max("count")).head()[0] > 1000
+    label = np.arange(len(codes))
+    for at in range(len(codes)):
+        near = np.flatnonzero(np.bitwise_count(codes[at] ^ codes) <= 3)
+        s.link(label, np.full(len(near), at), near)
+    expected = {int(codes.view(np.int64)[i]): label[i] for i in range(len(codes))}
+
+    def same(found):
+        root = {r.code: r.root for r in found.collect()}
+        groups = {}
+        for code, own in expected.items():
+            groups.setdefault(own, set()).add(root.get(code, code))
+        return all(len(g) == 1 for g in groups.values()) and len(set().union(*groups.values())) == len(groups)
+
+    assert same(s.components(s.links(frame)))
+    assert same(s.components(s.links(frame, shard=300)))
+    # Without the search of the trees there are no links.
+    monkeypatch.setattr(s.Forest, "find", lambda *given: iter(()))
+    assert s.links(frame).count() == 0
+
+
+def test_keys_of_any_length_lose_no_link(spark):
+    rng = np.random.default_rng(6)
+    a = rng.integers(-(1 << 63), 1 << 63, 300)
+    b = a.copy()
+    for _ in range(3):
+        b ^= np.int64(1) << rng.integers(0, 64, 300)
+    frame = spark.createDataFrame(list(zip(a.tolist(), b.tolist())), "a long, b long")
+    for bits in (0, 3, 16, 17, 25, 28):
+        keys = [s.shard_keys(s.F.col(name), bits) for name in "ab"]
+        assert frame.filter(~s.F.arrays_overlap(*keys)).count() == 0
+        fine = [s.F.flatten(s.F.transform(k, lambda x: s.finer_keys(s.F.col(n), x, bits))) for k, n in zip(keys, "ab")]
+        assert frame.filter(~s.F.arrays_overlap(*fine)).count() == 0
 
 
 def test_forest_finds_what_a_scan_finds():
@@ -179,6 +223,28 @@ def test_groups_in_chunks_lose_no_near_copy(spark):
     assert one == {tuple(r) for r in s.components(s.near_links(rows, docs, shard=2)).collect()} and one
 
 
+def test_a_key_in_thousands_of_texts(spark):
+    """A passage that most texts share is divided by other keys and by size; no near-copy is lost."""
+    rng = np.random.default_rng(14)
+    passage = " ".join(f"common{i}" for i in range(40))
+    texts = [f"{passage} " + " ".join(f"d{i}w{j}" for j in range(int(rng.integers(5, 60)))) for i in range(1500)]
+    texts += [text + " end" for text in texts[:200]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = s.materialise(s.with_sketches(docs), "sketches")
+    sets = [shingles(text) for text in texts]
+    alike = {(i, 1500 + i) for i in range(200)}
+    assert all(len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8 for a, b in alike)
+    hottest = rows.select(s.F.explode("keys").alias("k")).groupBy("k").count().agg(s.F.max("count")).head()[0]
+    assert hottest > 500
+    found = [
+        {tuple(r) for r in s.components(s.near_links(rows, docs, shard=n)).collect()} for n in (s.SHARD, 100)
+    ]
+    assert found[0] == found[1]
+    code = {r.doc_id: r.fingerprint for r in rows.collect()}
+    root = dict(found[0])
+    assert all(root.get(code[a], code[a]) == root.get(code[b], code[b]) for a, b in alike)
+
+
 def test_pairs_by_size_are_all_that_can_be_alike(monkeypatch):
     rng = np.random.default_rng(11)
     groups, sizes = np.sort(rng.integers(-3, 3, 200)), rng.integers(1, 60, 200)
