@@ -12,9 +12,10 @@ Queries and candidates are dealt to blocks; each pair of blocks is one group
 that a task compares, and the best k of each block are merged at the end. Blocks
 are cut by row number, so that no key makes one of them large.
 
-Vectors that are null, that hold a null or non-finite component, or whose
-scaled norm is beyond 2^31 (their products need not fit a long) take no part,
-nor do rows whose id is null. Shorter vectors count as padded with zeros; an
+Vectors that are null or that hold a null or non-finite component take no part,
+nor do rows whose id is null, nor vectors that pass the range of a double once
+scaled. Products that may pass 2^62 are computed in Python's integers; a score
+of the best of a block that does not fit a long is an error. Shorter vectors count as padded with zeros; an
 empty one scores zero. A candidate is any row with another id than the query;
 repeated rows each count. A query id that occurs with several vectors is
 answered once for each. No queries or no candidates: no rows.
@@ -39,8 +40,10 @@ CANDIDATES = 8192
 QUERIES = 1024
 # Queries whose bounds a task holds at a time.
 SLICE = 64
-NORM = 1 << 62
-LOWEST = np.iinfo(np.int64).min
+# Components beyond this have no bounds; products up to EXACT are computed in longs.
+LARGEST = 1e140
+EXACT = 1 << 62
+LONG = 1 << 63
 
 
 def scaled(embedding: str) -> Column:
@@ -58,16 +61,9 @@ def scaled(embedding: str) -> Column:
 
 def usable_vectors(rows: DataFrame, id_column: str, embedding: str) -> DataFrame:
     """`id` and `vector` of the rows that take part."""
-    finite = F.forall(embedding, lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))
-    # Beyond this a square, too, is beyond the norm; floor() must fit a long.
-    small = F.forall(embedding, lambda x: F.abs(x.cast("double")) < F.lit(float(1 << 31) / SCALE))
-    kept = rows.select(F.col(id_column).cast("long").alias("id"), F.col(embedding).alias("e"))
-    kept = kept.filter(F.col("id").isNotNull() & F.col("e").isNotNull()).filter(
-        F.coalesce(finite & small, F.lit(False))
-    )
-    kept = kept.select("id", scaled("e").alias("vector"))
-    norm = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x)
-    return kept.filter(norm < F.lit(float(NORM)))
+    kept = rows.select(F.col(id_column).cast("long").alias("id"), scaled(embedding).alias("vector"))
+    finite = F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))
+    return kept.filter(F.col("id").isNotNull() & F.coalesce(finite, F.lit(False)))
 
 
 class Described:
@@ -75,8 +71,11 @@ class Described:
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
-        self.norm = (vectors * vectors).sum(axis=1, dtype=np.float64)
         self.parts = []
+        if np.abs(vectors).max(initial=0) > LARGEST:
+            # Squares may pass the range of a double: no bounds.
+            return
+        self.norm = (vectors * vectors).sum(axis=1, dtype=np.float64)
         for segments in SEGMENTS:
             cuts = np.linspace(0, vectors.shape[1], segments + 1).astype(int)
             cuts = cuts[np.r_[True, np.diff(cuts) > 0]]
@@ -108,49 +107,69 @@ def best_of_block(
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], vectors[order]
     q, v = Described(queries), Described(vectors)
-    exact = _exact(queries, vectors)
+    levels = min(len(q.parts), len(v.parts))
+    exact, lowest = _exact(queries, vectors)
     out = []
     for start in range(0, len(queries), SLICE):
         rows = np.arange(start, min(start + SLICE, len(queries)))
         own = query_ids[rows][:, None] == ids[None, :]
         # Candidates with the highest coarse bounds give a first threshold.
-        bound = _bounds(q, v, 0, rows) if q.parts else np.zeros(own.shape)
+        bound = _bounds(q, v, 0, rows) if levels else np.full(own.shape, np.inf)
         bound = np.where(own, -np.inf, bound)
         first = min(4 * k, len(ids))
         likely = np.argpartition(-bound, first - 1, axis=1)[:, :first]
         at, to = np.repeat(rows, first), likely.ravel()
-        score = np.where(own[at - start, to], LOWEST, exact(at, to)).reshape(len(rows), first)
-        threshold = np.full(len(rows), LOWEST)
+        score = np.where(own[at - start, to], lowest, exact(at, to)).reshape(len(rows), first)
+        threshold = np.full(len(rows), lowest)
         if first >= k:
             threshold = np.sort(score, axis=1)[:, first - k]
         at, to = np.nonzero((bound >= threshold[:, None]) & ~own)
-        for level in range(1, len(q.parts)):
+        for level in range(1, levels):
             near = _pair_bounds(q, v, level, at + start, to) >= threshold[at]
             at, to = at[near], to[near]
         score = exact(at + start, to)
         good = score >= threshold[at]
         at, to, score = at[good], to[good], score[good]
-        ranked = np.lexsort((to, -score, at))
+        # Integers beyond a long are ranked by their place among all scores.
+        height = np.unique(score, return_inverse=True)[1] if score.dtype == object else score
+        ranked = np.lexsort((to, -height, at))
         at, to, score = at[ranked], to[ranked], score[ranked]
         place = np.arange(len(at)) - np.searchsorted(at, at)
         top = place < k
-        out.append((at[top] + start, order[to[top]], score[top]))
+        out.append((at[top] + start, order[to[top]], _longs(score[top])))
     return tuple(np.concatenate(parts) for parts in zip(*out, strict=True))
 
 
+def _longs(scores: np.ndarray) -> np.ndarray:
+    for score in scores if scores.dtype == object else ():
+        if not -LONG <= score < LONG:
+            raise ArithmeticError(f"the score {score} does not fit a long")
+    return scores.astype(np.int64)
+
+
+def _whole(vectors: np.ndarray) -> np.ndarray:
+    """Whole doubles as Python's integers."""
+    out = np.empty(vectors.shape, dtype=object)
+    out[...] = [[int(x) for x in row] for row in vectors]
+    return out
+
+
 def _exact(queries: np.ndarray, vectors: np.ndarray):
-    """Products of pairs in whole numbers, in pieces of bounded size."""
-    q, v = queries.astype(np.int64), vectors.astype(np.int64)
+    """Products of pairs in whole numbers, in pieces of bounded size, and what is below all."""
+    most = queries.shape[1] * float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0))
+    small = most < EXACT
+    q, v = (x.astype(np.int64) if small else _whole(x) for x in (queries, vectors))
     piece = max(1, (1 << 22) // max(1, q.shape[1]))
 
     def products(at: np.ndarray, to: np.ndarray) -> np.ndarray:
-        found = [
-            np.einsum("ij,ij->i", q[at[s : s + piece]], v[to[s : s + piece]])
-            for s in range(0, len(at), piece)
-        ]
-        return np.concatenate(found) if found else np.arange(0)
-
-    return products
+        pieces = ((q[at[s : s + piece]], v[to[s : s + piece]]) for s in range(0, len(at), piece))
+        if small:
+            found = [np.einsum("ij,ij->i", a, b) for a, b in pieces]
+        else:
+            found = [(a * b).sum(axis=1) if a.shape[1] else np.zeros(len(a), dtype=object) for a, b in pieces]
+        return np.concatenate(found) if found else np.zeros(0, dtype=q.dtype)
+
+    return products, np.iinfo(np.int64).min if small else -math.inf
 
 
 def _slack(total: np.ndarray) -> np.ndarray:

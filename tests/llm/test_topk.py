@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from filings.llm import topk
 
@@ -10,7 +11,6 @@ def brute(rows):
         (i, [math.floor(256 * float(x)) for x in v])
         for i, v in rows
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
-        and all(abs(x) < 1e6 for x in v)
     ]
     out = set()
     for q, a in usable:
@@ -33,7 +33,7 @@ def some_rows():
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
     rows += [
         (450, None), (451, [1.0, None]), (452, [float("nan")]), (453, [float("inf")]),
-        (454, []), (500, []), (550, [0.5, -0.25]), (None, [1.0] * 17), (456, [3e38] * 3),
+        (454, []), (500, []), (550, [0.5, -0.25]), (None, [1.0] * 17), (456, [9e6, 1.0]), (600, [1e7, 1.0]),
     ]
     return rows
 
@@ -64,6 +64,26 @@ def test_pruning_keeps_exact_answers_in_clusters():
         assert [(-s, ids[c]) for s, c in zip(score[own], to[own])] == best
 
 
+def test_large_components(spark):
+    rows = [(0, [9e6, 1.0]), (1, [9e6, 1.0]), (2, [1e7, 1.0]), (50, [1e7, 1.0]), (3, [3e5, -2e6])]
+    assert set(run(spark, rows)) == brute(rows) and len(brute(rows)) == 8
+    # Only a product that is among the best must fit a long.
+    rows = [(50, [0.0, 1.0]), (51, [3e38, 2.0]), (52, [-3e38, 3.0]), (53, [1e30, -1.0])]
+    assert set(run(spark, rows)) == brute(rows)
+    with pytest.raises(Exception, match="does not fit a long"):
+        run(spark, [(50, [3e38]), (51, [3e38])])
+
+
+def test_exact_products_beyond_longs_prune_like_others(monkeypatch):
+    rng = np.random.default_rng(6)
+    vectors, ids = np.floor(rng.normal(0, 1e4, (300, 8))), np.arange(300)
+    expected = topk.best_of_block(ids[:20], vectors[:20], ids, vectors)
+    monkeypatch.setattr(topk, "EXACT", 1)
+    monkeypatch.setattr(topk, "LARGEST", 10.0)
+    found = topk.best_of_block(ids[:20], vectors[:20], ids, vectors)
+    assert all(np.array_equal(a, b) for a, b in zip(expected, found))
+
+
 def test_few_and_no_rows(spark):
     assert run(spark, [(0, [1.0]), (1, [2.0]), (0, [1.0]), (1, [2.0])]) == [
         (0, 1, 1, 512 * 256), (0, 2, 1, 512 * 256)
