@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, AtomicType, DataType, NullType, StructType
 
 from filings.llm.common import WORD, whole
 from filings.operators.storage import materialise
@@ -30,25 +31,25 @@ WEIGHTS = (5, 2, 1)
 EPOCHS = 3
 # Characters that are rare in prose.
 MARKS = r"[#$%&*|<>{}\[\]=_~^!]"
-# Documents in a bucket of keys, about.
+# Documents in a bucket of keys, about; quantiles of each source that buckets divide.
 BUCKET = 1_000
-SPREAD = 0.85
-# Sources whose targets are sent to every executor; beyond, Spark joins.
-BROADCAST_SOURCES = 100_000
+QUANTILES = 32
+ACCURACY = 2_000
+# Sources whose targets or quantiles are sent to every executor; beyond, Spark joins.
+BROADCAST_SOURCES = 50_000
 
 
 def quality(text: Column, size: Column) -> Column:
-    """Weight of a document, from 0.75 to 1: the less markup, the higher."""
+    """Weight of a document, from 0.5 to 1: the less markup, the higher."""
     marks = F.regexp_count(text, F.lit(MARKS))
-    return 1 / (1 + F.least(marks / F.greatest(size, F.lit(1)), F.lit(1.0)) / 3)
+    return 1 / (1 + F.least(marks / F.greatest(size, F.lit(1)), F.lit(1.0)))
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, source, text_hash, size and key of every document.
 
     The only pass over the texts. A key is a number from 0 to 1 that grows with
-    the exponential key, and that is spread about evenly for weights from 0.75
-    to 1, so that buckets of it are of about one size.
+    the exponential key.
     """
     text = whole("text")
     rows = docs.select(
@@ -63,7 +64,7 @@ def measured(docs: DataFrame) -> DataFrame:
     bits = F.shiftrightunsigned(F.xxhash64("doc_id", "text_hash", F.lit("mix")), 11)
     u = (bits + 0.5) / float(1 << 53)
     return rows.select(
-        "doc_id", "source", "text_hash", "size", (1 - F.exp(SPREAD * F.log(u) / weight)).alias("key")
+        "doc_id", "source", "text_hash", "size", (1 - F.exp(F.log(u) / weight)).alias("key")
     )
 
 
@@ -99,29 +100,61 @@ def _key(source: str = "source") -> Column:
     return F.struct(F.col(source).isNull().alias("none"), F.coalesce(source, F.lit("")).alias("name"))
 
 
+def _small(sources: DataFrame) -> DataFrame:
+    """The rows, one for each source, as a broadcast if there are few."""
+    few = sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    return F.broadcast(sources) if few else sources
+
+
+def bucketed(rows: DataFrame) -> DataFrame:
+    """Add `part` and `bucket`, which rise with the key within a source.
+
+    Parts lie between approximate quantiles of the keys of the source, and are
+    divided evenly into as many buckets as its documents need. Where exactly the
+    bounds lie has no effect on what is taken.
+    """
+    shares = F.array(*[F.lit(i / QUANTILES) for i in range(1, QUANTILES)])
+    cuts = rows.groupBy("source_key").agg(
+        F.percentile_approx("key", shares, ACCURACY).alias("cuts"),
+        F.ceil(F.count("*") / F.lit(BUCKET * QUANTILES)).alias("each"),
+    )
+    rows = rows.join(_small(materialise(cuts, "mix-cuts")), "source_key")
+    rows = rows.withColumn("part", F.size(F.filter("cuts", lambda cut: cut <= F.col("key"))))
+    # Counted from 1, bound 1 is zero and the last one.
+    bounds = F.concat(F.array(F.lit(0.0)), "cuts", F.array(F.lit(1.0)))
+    low, high = F.element_at(bounds, F.col("part") + 1), F.element_at(bounds, F.col("part") + 2)
+    within = F.when(high > low, (F.col("key") - low) / (high - low)).otherwise(F.lit(0.0))
+    bucket = F.least(F.floor(within * F.col("each")), F.col("each") - 1)
+    return rows.withColumn("bucket", bucket).drop("cuts", "each")
+
+
 def with_taken(docs: DataFrame) -> DataFrame:
     """doc_id, source, text_hash, size, source_size, target and taken.
 
-    Prefix sums are taken within buckets of keys, and over the sums of buckets;
-    so no task sees more than a bucket of a source, however large that is.
+    Prefix sums are taken within buckets of keys, over the sums of the buckets of
+    a part, and over the sums of parts; so no task sees more than a bucket of a
+    source, however large that is.
     """
-    rows = materialise(measured(docs), "mix-rows")
-    buckets = max(1, rows.count() // BUCKET)
-    rows = rows.withColumn("source_key", _key())
-    rows = rows.withColumn("bucket", F.floor(F.col("key") * buckets))
-    sums = materialise(rows.groupBy("source_key", "source", "bucket").agg(F.sum("size").alias("sum")), "mix-sums")
-    sizes = sums.groupBy("source").agg(F.sum("sum").alias("source_size"))
+    rows = materialise(measured(docs), "mix-rows").withColumn("source_key", _key())
+    rows = bucketed(rows)
+    place = ["source_key", "part", "bucket"]
+    sums = materialise(rows.groupBy(*place, "source").agg(F.sum("size").alias("sum")), "mix-sums")
+    parts = sums.groupBy("source_key", "part", "source").agg(F.sum("sum").alias("part_sum"))
+    sizes = parts.groupBy("source").agg(F.sum("part_sum").alias("source_size"))
     aims = materialise(targets(sizes), "mix-targets")
-    small = aims.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    aims = aims.select(_key().alias("source_key"), "source_size", "target")
-    earlier = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(
-        "source_key", "bucket", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("start")
-    )
-    own = Window.partitionBy("source_key", "bucket").orderBy("key", "doc_id", "text_hash")
+    aims = _small(aims.select(_key().alias("source_key"), "source_size", "target"))
+
+    def before(value: str, group: list[str], order: str) -> Column:
+        earlier = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(value).over(earlier), F.lit(0))
+
+    parts = parts.select("source_key", "part", before("part_sum", ["source_key"], "part").alias("part_start"))
+    starts = sums.withColumn("within", before("sum", ["source_key", "part"], "bucket")).join(parts, ["source_key", "part"])
+    starts = starts.select(*place, (F.col("part_start") + F.col("within")).alias("start"))
+    own = Window.partitionBy(*place).orderBy("key", "doc_id", "text_hash")
     upto = F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("upto", upto).join(starts, ["source_key", "bucket"])
-    rows = rows.join(F.broadcast(aims) if small else aims, "source_key")
+    rows = rows.withColumn("upto", upto).join(starts, place)
+    rows = rows.join(aims, "source_key")
     epochs = F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))
     budget = F.col("target") - epochs * F.col("source_size")
     middle = F.col("start") + F.col("upto") - F.col("size") / 2
@@ -132,6 +165,14 @@ def with_taken(docs: DataFrame) -> DataFrame:
     )
 
 
+def _orderable(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return all(_orderable(f.dataType) for f in kind.fields)
+    if isinstance(kind, ArrayType):
+        return _orderable(kind.elementType)
+    return isinstance(kind, (AtomicType, NullType))
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of the mix: each document as often as it is taken, unchanged.
 
@@ -141,7 +182,9 @@ def mixed(docs: DataFrame) -> DataFrame:
     key = lambda hash_: F.struct(F.col("doc_id"), F.col("source"), hash_.alias("text_hash"))
     # Repeated rows may be taken differently often; they share what they get.
     shares = chosen.groupBy(key(F.col("text_hash")).alias("_key")).agg(F.sum("times").alias("_times"))
-    order = Window.partitionBy("_key").orderBy(F.lit(0))
+    # By what tells repeats apart, so that a repeated task takes the same.
+    apart = [f.name for f in docs.schema.fields if f.name != "text" and _orderable(f.dataType)]
+    order = Window.partitionBy("_key").orderBy(*[F.col("_row")[name] for name in apart])
     shares = materialise(shares, "mix-shares")
     rows = docs.select(F.struct(*docs.columns).alias("_row"), key(F.xxhash64(whole("text"))).alias("_key"))
     rows = rows.join(shares, "_key")

@@ -68,6 +68,26 @@ def test_fraction_prefers_documents_of_higher_weight(spark):
     assert clean >= marked
 
 
+def test_buckets_are_even_and_do_not_matter(spark, monkeypatch):
+    rows = [(i, "plain words here" if i % 3 else "# $ % & * |", "hot" if i % 5 else "s", 0) for i in range(20_000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    key = lambda rows: sorted((r.doc_id, r.taken) for r in rows)
+    whole = key(mixing.with_taken(docs).collect())
+    monkeypatch.setattr(mixing, "BUCKET", 50)
+    keyed = mixing.measured(docs).withColumn("source_key", mixing._key())
+    counts = mixing.bucketed(keyed).groupBy("source", "part", "bucket").count().collect()
+    hot = [r["count"] for r in counts if r.source == "hot"]
+    assert 250 <= len(hot) <= 320 and max(hot) < 150
+    assert key(mixing.with_taken(docs).collect()) == whole
+
+
+def test_repeats_that_differ_are_taken_alike_on_a_rerun(spark):
+    rows = [(1, "one two three", "a", i) for i in range(5)] + [(9 + i, "x y z w", "b", 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    runs = [Counter(mixing.mixed(d).filter("doc_id = 1").collect()) for d in (docs, docs.orderBy("target"), docs.repartition(3))]
+    assert runs[0] == runs[1] == runs[2]
+
+
 def test_mixed_rows(spark):
     docs = documents(spark)
     taken, mix = mixing.with_taken(docs), mixing.mixed(docs)

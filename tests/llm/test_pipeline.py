@@ -71,7 +71,7 @@ def mixture(rows):
         budget, start, keyed = target - epochs * total[s], 0, []
         for i, text, _ in by[s]:
             marks = len(re.findall(mixing.MARKS, text))
-            w = 1 / (1 + min(marks / max(size[i], 1), 1.0) / 3)
+            w = 1 / (1 + min(marks / max(size[i], 1), 1.0))
             keyed.append((-math.log(draw(i, text)) / w, i))
         for _, i in sorted(keyed):
             times[i] = min(3, epochs + (start + size[i] / 2 <= budget)) if size[i] else 0
