@@ -21,8 +21,10 @@ from filings.llm.winnow import compared, printed
 
 # Searches take as queries the rows whose id this divides.
 EVERY = 50
-# Words in the host of pages whose canonical urls make the list of op9.
-LISTED_HOSTS = ("spam", "casino", "pills")
+# The list of op9: canonical urls of pages whose html has a digest that begins
+# with one of the first digits, and for the last digit urls that no page has.
+LISTED_DIGITS, ABSENT_DIGIT = "01", "2"
+ABSENT = "/no-such-page"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,9 +77,16 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    bad = F.col("host").rlike("|".join(LISTED_HOSTS))
-    listed = url_parts(pages).filter(bad).select("canonical").distinct()
-    return judge_urls(pages, listed).drop("listed")
+    return judge_urls(pages, listed_of(pages)).drop("listed")
+
+
+def listed_of(pages: DataFrame) -> DataFrame:
+    """The list of op9, from what pages hold: their urls alone do not tell it."""
+    digit = F.substring(F.sha2(F.coalesce("html", F.lit("")), 256), 1, 1)
+    rows = url_parts(pages.withColumn("page_id", digit)).filter("canonical <> ''")
+    listed = rows.filter(F.col("page_id").isin(*LISTED_DIGITS)).select("canonical")
+    absent = rows.filter(F.col("page_id") == ABSENT_DIGIT).select(F.concat("canonical", F.lit(ABSENT)).alias("canonical"))
+    return listed.union(absent).distinct()
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,17 +161,20 @@ def _op9_sql() -> str:
         for rule in sorted(RULES, key=lambda rule: -len(rule.text))
     )
     verdicts = " ".join(f"WHEN '{rule.text}' THEN '{rule.verdict}'" for rule in RULES)
-    bad = "|".join(LISTED_HOSTS)
+    digits = ", ".join(f"'{digit}'" for digit in LISTED_DIGITS)
     parts = "'(?s)^.*?://([^/?#]*)([^?#]*)'"
     return f"""
 WITH p AS (
   SELECT page_id,
          translate(regexp_extract(coalesce(url, ''), {parts}, 1),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(coalesce(url, ''), {parts}, 2) AS path
+         regexp_extract(coalesce(url, ''), {parts}, 2) AS path,
+         sha256(coalesce(html, ''))[1] AS digit
   FROM pages),
 c AS (SELECT *, host || rtrim(path, '/') AS canonical FROM p),
-listed AS (SELECT DISTINCT canonical FROM c WHERE regexp_matches(host, '{bad}')),
+listed AS (
+  SELECT canonical FROM c WHERE canonical <> '' AND digit IN ({digits})
+  UNION SELECT canonical || '{ABSENT}' FROM c WHERE canonical <> '' AND digit = '{ABSENT_DIGIT}'),
 r AS (SELECT *, CASE {fits} END AS rule FROM c)
 SELECT page_id, host, path, rule,
        coalesce(CASE rule {verdicts} END,

@@ -3,7 +3,9 @@ import zlib
 
 import numpy as np
 
-from filings.llm import shards, urls, warc
+from pyspark.sql import functions as F
+
+from filings.llm import queries, shards, urls, warc
 
 PAGES = [
     (1, "http://A.org/x", "p" * 200, 0),
@@ -48,6 +50,32 @@ def test_archive_reads_back(spark):
     assert warc.archived_pages(pages.limit(0)).count() == 0
 
 
+def test_list_of_the_query_needs_the_filter_and_the_join(spark):
+    """Hosts do not decide; the filter rules most urls out, lets all listed ones pass and some others."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    listed = queries.listed_of(pages)
+    judged = urls.judge_urls(pages, listed).filter("rule IS NULL AND host <> ''")
+    mixed_hosts = judged.groupBy("host").agg(F.countDistinct("verdict").alias("n")).filter("n = 2").count()
+    assert mixed_hosts > 3
+    parts = urls.url_parts(pages)
+    here = {r.canonical for r in listed.join(parts, "canonical", "left_semi").collect()}
+    assert listed.count() > len(here) > 100
+    rows = urls.possible_hits(parts, listed).collect()
+    possible = {r.canonical for r in rows if r.possible}
+    every = {r.canonical for r in rows}
+    assert here <= possible and len(possible - here) < 0.02 * len(every)
+    # A filter of few bits passes others: only the exact join removes them.
+    few = spark.createDataFrame([(f"u{i}",) for i in range(4000)], "canonical string")
+    urls_ = spark.createDataFrame([(i, f"u{i * 2}") for i in range(4000)], "page_id long, canonical string")
+    kept, urls.BITS_PER_URL = urls.BITS_PER_URL, 2
+    try:
+        passed = urls.possible_hits(urls_, few).filter("possible").count()
+        hits = urls.listed_urls(urls_, few).filter("listed").count()
+    finally:
+        urls.BITS_PER_URL = kept
+    assert hits == 2000 < passed
+
+
 def test_urls(spark):
     rows = [
         (1, "HTTP://Sub.Example.ORG/es/1?x#y"), (2, "http://example.org/en/12"),
