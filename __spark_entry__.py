@@ -117,6 +117,7 @@ from filings.sources.corpus import (
     read_index,
     read_key_list,
     read_lines,
+    read_phrase_lines,
     read_phrases,
     spread,
 )
@@ -703,9 +704,38 @@ def q_index_file(spark, sf_dir):
         F.concat(F.lit("IR"), F.col("o_orderkey").cast("string")).alias("irmark"),
         "o_orderstatus",
     ).write.json(path)
+    return read_index(spark, path).select("irmark")
+
+
+def q_index_literals(spark, sf_dir):
+    """Records printed as literals, in the forms such files have, and broken ones."""
+    name, key = F.col("c_name"), F.col("c_custkey").cast("string")
+    forms = (
+        ("{'irmark': '", name, "'}"),
+        ("{'key': ", key, "L, 'irmark': u'", name, "'}"),
+        ("{'x': None, 'irmark': u\"", name, "'s\"}"),
+        ("{'irmark': '", name, "', 'x': True, 'y': [1., .5, -2e3]}"),
+        ("{'irmark': u'", name, r"\'s \\ \xe9 \u20ac', 'x': 'it is \"so\"'}"),
+        ("{'t': (1, ('", name, "', {2: None}),), 'irmark': \"", name, ", {'a': 'b'}\",}"),
+        ('{"irmark": "', name, '", "x": null}'),
+        ("{'irmark': '", name, "}"),
+        ("{'other': '", name, "'}"),
+    )
+    lines = [F.concat(*[F.lit(part) if isinstance(part, str) else part for part in form]) for form in forms]
+    path = new_path(spark, "index")
+    line = F.element_at(F.array(*lines), (F.col("c_custkey") % len(forms) + 1).cast("int"))
+    _table(spark, sf_dir, "customer").select(line.alias("value")).write.text(path)
     return read_index(spark, path)
 
 
+def q_phrase_lines(spark, sf_dir):
+    """The stored phrases once more, by way of printed tuples."""
+    path = new_path(spark, "phrases")
+    phrases = _joined(_band(spark, sf_dir))
+    phrases.select(F.format_string("('%s', ('%s', %d))", "phrase", "irmarks", "n")).write.text(path)
+    return _joined(read_phrase_lines(spark, path).drop("corrupt_record"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name; each takes the session and the table folder."""
     found = {
@@ -1147,6 +1177,16 @@ def oracle_sql() -> dict[str, str]:
         "GROUP BY ALL",
         "key_list_file": "SELECT CAST(o_custkey AS VARCHAR) AS utr, o_orderkey "
         f"FROM orders WHERE {_BUILDING}",
+        "phrase_lines": _BAND_SQL,
+        "index_literals": r"""
+SELECT CASE c_custkey % 9
+         WHEN 2 THEN c_name || '''s' WHEN 4 THEN c_name || '''s \ é €'
+         WHEN 5 THEN c_name || ', {''a'': ''b''}' WHEN 7 THEN NULL WHEN 8 THEN NULL
+         ELSE c_name END AS irmark,
+       CASE c_custkey % 9
+         WHEN 7 THEN '{''irmark'': ''' || c_name || '}'
+         WHEN 8 THEN '{''other'': ''' || c_name || '''}' END AS corrupt_record
+FROM customer""",
         "index_file": "SELECT 'IR' || o_orderkey AS irmark FROM orders",
     }
     if llm:

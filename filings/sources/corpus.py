@@ -7,8 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filings.functions.literals import literal_json
+from filings.operators.computed import computed
 from filings.schemas import CELL_RECORD, PHRASE_RECORD
 
+# Fixed value: stored lines of fewer characters hold no record.
+SHORTEST_LINE = 6
+
 
 def _listed(paths: str | Sequence[str]) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
@@ -62,9 +67,50 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CELL_RECORD).parquet(path)
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """`irmark` of all records of a submission index, one record per line."""
-    return spark.read.schema("irmark string").json(path)
+def _literal_lines(spark: SparkSession, paths: str | Sequence[str], shortest: int) -> DataFrame:
+    """`value` and `json` of the lines of at least so many characters."""
+    lines = read_lines(spark, paths).filter(F.length(F.trim("value")) >= shortest)
+    return computed(lines, json=literal_json(F.col("value")))
+
+
+def read_records(
+    spark: SparkSession, paths: str | Sequence[str], schema: str, required: Sequence[str] = ()
+) -> DataFrame:
+    """Fields of records that are printed one in a line, and `corrupt_record`.
+
+    A record is a dict literal or a JSON object. A line that is neither, or that
+    lacks a required field, has no fields: `corrupt_record` is the line as it
+    stands, and null for all others. Blank lines are left out.
+    """
+    rows = _literal_lines(spark, paths, 1)
+    keys = F.json_object_keys("json")
+    whole = F.size(F.from_json(F.concat(F.lit("["), "json", F.lit("]")), "array<string>")) == 1
+    good = whole & keys.isNotNull()
+    for field in required:
+        good = good & F.array_contains(keys, field)
+    good = F.coalesce(good, F.lit(False))
+    rows = computed(rows, record=F.when(good, F.from_json("json", schema)), corrupt_record=F.when(~good, F.col("value")))
+    return rows.select("record.*", "corrupt_record")
+
+
+def read_index(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """`irmark` of all records of a submission index, and `corrupt_record`."""
+    return read_records(spark, paths, "irmark string", required=("irmark",))
+
+
+def read_phrase_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Phrases that were stored as lines ('phrase', ('irmark,irmark', n)), and `corrupt_record`.
+
+    Lines of up to five characters are left out.
+    """
+    rows = _literal_lines(spark, paths, SHORTEST_LINE)
+    part = lambda path: F.get_json_object("json", path)
+    phrase, irmarks, n = part("$[0]"), F.split(part("$[1][0]"), ","), part("$[1][1]").try_cast("long")
+    good = phrase.isNotNull() & irmarks.isNotNull() & n.isNotNull() & part("$[2]").isNull()
+    good = F.coalesce(good, F.lit(False))
+    fields = F.struct(phrase.alias("phrase"), irmarks.alias("irmarks"), n.alias("n"))
+    rows = computed(rows, record=F.when(good, fields), corrupt_record=F.when(~good, F.col("value")))
+    return rows.select("record.*", "corrupt_record")
 
 
 def read_stopwords(spark: SparkSession, path: str) -> tuple[str, ...]:
