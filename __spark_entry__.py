@@ -41,6 +41,7 @@ from filings.operators.facts import (
     with_facts,
     with_fragments,
 )
+from filings.operators.increments import FolderCounts
 from filings.operators.keys import restrict_to_keys
 from filings.operators.markup import (
     footer_subtrees,
@@ -82,6 +83,7 @@ from filings.plans.jobs import (
     VARIANTS,
     cluster_job,
     cluster_texts,
+    count_folder,
     phrase_job,
     phrase_outcome,
     table_job,
@@ -236,9 +238,9 @@ def q_block15_phrases(spark, sf_dir):
 # Phrases
 
 
-def _postings(spark, sf_dir):
+def _postings(spark, sf_dir, *ids):
     lines = _lines(spark, sf_dir, PHRASE_MIN_WORDS)
-    return phrase_postings(with_phrases(lines), "source")
+    return phrase_postings(with_phrases(lines), "source", *ids)
 
 
 def _band(spark, sf_dir):
@@ -286,6 +288,28 @@ def q_phrase_job(spark, sf_dir):
     return _joined(phrase_job(envelopes, low=low, high=high))
 
 
+def q_folder_counts(spark, sf_dir):
+    """The band of counts that are kept by folder: two merges, and a folder counted anew."""
+    counts = FolderCounts(spark, new_path(spark, "folder-counts"))
+    postings = materialise(_postings(spark, sf_dir, "doc_id"), "postings")
+    of = lambda rest: postings.filter(F.col("doc_id") % 3 == rest).select("phrase", "irmark")
+    counts.add("a", of(0))
+    counts.add("b", of(1).limit(100))
+    counts.add("c", of(2))
+    counts.add("b", of(1))
+    return _joined(counts.band(*BAND))
+
+
+def q_phrase_job_folders(spark, sf_dir):
+    """The phrase job over folders that arrive one by one; the second comes twice."""
+    counts = FolderCounts(spark, new_path(spark, "folder-counts"))
+    envelopes = footer_envelopes(_spread(spark, sf_dir, "documents"))
+    half = F.pmod(F.xxhash64("content"), F.lit(2))
+    for name, rest in (("a", 0), ("b", 1), ("b", 1)):
+        count_folder(counts, name, envelopes.filter(half == rest))
+    return _joined(counts.band(*BAND))
+
+
 def q_phrase_job_rejects(spark, sf_dir):
     return phrase_outcome(mixed_files(_spread(spark, sf_dir, "customer")).select(
         F.col("doc_id").cast("string").alias("path"), "content"
@@ -1024,7 +1048,9 @@ def oracle_sql() -> dict[str, str]:
         + "SELECT phrase, irmark, count(*) AS n FROM postings GROUP BY ALL",
         "phrase_band": _BAND_SQL,
         "phrases_stored": _BAND_SQL,
+        "folder_counts": _BAND_SQL,
         "phrase_job": _BAND_SQL,
+        "phrase_job_folders": _BAND_SQL,
         "phrase_histogram": _POSTING_SQL
         + "SELECT n, count(*) AS phrases FROM counts GROUP BY n",
         "phrase_counts": _POSTING_SQL + "SELECT phrase, n FROM band",

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filings.functions.text import alpha_tokens, block_ngrams, join_words
+from filings.operators.bloom import Filter
 from filings.operators.computed import computed
 from filings.operators.skew import drop_hot, hottest
+from filings.operators.storage import materialise
 
 # Words in a phrase and the range of counts that is of interest.
 PHRASE_WORDS = 15
@@ -20,11 +22,11 @@ def with_phrases(documents: DataFrame, n: int = PHRASE_WORDS) -> DataFrame:
     return computed(documents, phrases=block_ngrams(tokens, n))
 
 
-def phrase_postings(documents: DataFrame, irmark: str = "irmark") -> DataFrame:
-    """One row (phrase, irmark) per document and phrase in it."""
+def phrase_postings(documents: DataFrame, irmark: str = "irmark", *ids: str) -> DataFrame:
+    """One row (phrase, irmark) per document and phrase in it, with other columns."""
     # Stated here, so that counting and joining read the same plan.
     return documents.select(
-        F.explode("phrases").alias("phrase"), F.col(irmark).alias("irmark")
+        F.explode("phrases").alias("phrase"), F.col(irmark).alias("irmark"), *ids
     ).filter(F.col("phrase").isNotNull())
 
 
@@ -36,17 +38,24 @@ def phrase_counts(postings: DataFrame) -> DataFrame:
 def phrase_band(postings: DataFrame, low: int = BAND[0], high: int = BAND[1]) -> DataFrame:
     """Phrases in `low` to `high` documents, with their submissions and count.
 
-    Counting comes first, with partial counts before the shuffle. Lists are
-    then collected only for phrases within the band, so none is longer than
-    `high`. The most frequent phrases above the band leave before the join.
+    Counting comes first, with partial counts before the shuffle, and the
+    phrases within the band are stored. Of the postings only those that a filter
+    made of these lets pass are shuffled again: most phrases are in one document,
+    and neither they nor the ones above the band meet the join. Lists are
+    collected within the band alone, so none is longer than `high`.
     """
     counts = phrase_counts(postings)
-    total = counts.agg(F.sum("n")).scalar()
-    too_many = hottest(counts.filter(F.col("n") > high), "n", total)
-    in_band = counts.filter(F.col("n").between(low, high))
+    in_band = materialise(counts.filter(F.col("n").between(low, high)), "in-band")
+    bloom = Filter(in_band, "phrase")
+    if bloom.table is None:
+        # Too many phrases for a filter: the most frequent ones above the band leave.
+        total = counts.agg(F.sum("n")).scalar()
+        too_many = hottest(counts.filter(F.col("n") > high), "n", total)
+        reduced = drop_hot(postings, too_many, "phrase")
+    else:
+        reduced = bloom.possible(postings)
     return (
-        drop_hot(postings, too_many, "phrase")
-        .join(in_band, "phrase")
+        reduced.join(in_band, "phrase")
         .groupBy("phrase")
         .agg(
             F.sort_array(F.collect_list("irmark")).alias("irmarks"),

@@ -42,6 +42,7 @@ from filings.operators.phrases import (
     phrase_postings,
     with_phrases,
 )
+from filings.operators.increments import FolderCounts
 from filings.operators.storage import materialise, release
 from filings.operators.tables import select_tables, with_cells, with_sections
 from filings.operators.tagging import keep_tagged, tag_lookup
@@ -237,6 +238,20 @@ def phrase_job(
     return phrase_outcome(corpus, n, low, high, kinds).rows
 
 
+def count_folder(
+    counts: FolderCounts,
+    folder: str,
+    corpus: DataFrame,
+    n: int = PHRASE_WORDS,
+    kinds: Sequence[str] = KINDS,
+) -> None:
+    """Add the footer phrases of one folder to counts that are kept by folder.
+
+    `counts.band()` is then what `phrase_job` gives for all folders added so far.
+    """
+    counts.add(folder, footer_phrases(corpus, n, kinds))
+
+
 def _table_rows(
     corpus: DataFrame,
     keys: DataFrame | None,

@@ -7,13 +7,15 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from filings.functions.text import words
-from filings.operators import skew
+from filings.operators import bloom, phrases, skew
+from filings.operators.bloom import possible
 from filings.operators.phrases import (
     phrase_band,
     phrase_count_histogram,
     phrase_counts,
     phrase_with_irmark,
 )
+from filings.operators.storage import materialise
 from filings.operators.terms import preview, tfidf_terms, word_count
 
 
@@ -42,6 +44,33 @@ def test_band_matches_brute_force_with_a_hot_phrase(spark):
     assert pairs.count() == sum(len(m) for m in lists.values() if 2 <= len(m) <= 5)
 
 
+def test_one_off_phrases_do_not_reach_the_join(spark):
+    rows = postings() + [(f"lone{i}", "m") for i in range(5000)]
+    made = materialise(spark.createDataFrame(rows, "phrase string, irmark string"), "test")
+    band = phrase_band(made, 2, 5)
+    sizes = Counter(phrase for phrase, _ in rows)
+    in_band = {p for p, n in sizes.items() if 2 <= n <= 5}
+    # Under the first exchange of the postings stands the semi-join with the filter.
+    lines = band._jdf.queryExecution().sparkPlan().toString().splitlines()
+    semi = next(i for i, line in enumerate(lines) if "BroadcastHashJoin" in line and "LeftSemi" in line)
+    joins = [i for i, line in enumerate(lines) if "Join" in line and "Inner" in line]
+    assert joins and all(i < semi for i in joins)
+    passed = {r.phrase for r in possible(made, spark.createDataFrame([(p,) for p in in_band], "phrase string"), "phrase").collect()}
+    assert in_band <= passed and len(passed - in_band) < 60
+    found = {r.phrase for r in band.collect()}
+    assert found == in_band
+
+
+def test_the_band_without_a_filter_is_the_same(spark, monkeypatch):
+    made = spark.createDataFrame(postings(), "phrase string, irmark string")
+    expected = sorted(map(tuple, phrase_band(made, 2, 5).collect()))
+    class Without(bloom.Filter):
+        def __init__(self, members, key):
+            super().__init__(members, key, most=0)
+    monkeypatch.setattr(phrases, "Filter", Without)
+    assert sorted(map(tuple, phrase_band(made, 2, 5).collect())) == expected
+
+
 def test_join_counts_spreads_hot_keys_and_keeps_every_row(spark):
     rows = [("hot", i) for i in range(500)] + [(f"k{i % 40}", i) for i in range(400)]
     rows += [("lone", -1)]
