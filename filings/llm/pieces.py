@@ -44,7 +44,7 @@ from filings.llm.common import whole
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 # Code points of texts that are encoded together, and lattice nodes remembered.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 UNIT = 500
 # Code points of a longer unit that are looked at together.
 WINDOW = 1 << 15
