@@ -1186,11 +1186,20 @@ def oracle_sql() -> dict[str, str]:
         "tag_lookup": _MATCH_SQL,
         "tag_lookup_fuzzy": _CUSTOMER_SQL
         + ", f AS (SELECT doc_id, lower('Statement of ' || who || ' for the period ended') "
-        "AS fragment FROM c), near AS (SELECT doc_id, min(seq) AS seq FROM page JOIN f "
+        "AS fragment FROM c), pairs AS (SELECT doc_id, seq, fragment, t, "
+        "CASE WHEN length(fragment) <= length(t) THEN fragment ELSE t END AS short, "
+        "CASE WHEN length(fragment) <= length(t) THEN t ELSE fragment END AS long, "
+        "length(fragment) + length(t) AS total FROM page JOIN f "
         "USING (doc_id), LATERAL (VALUES (coalesce(nullif(text, ''), '###')), "
-        "(coalesce(nullif(tail, ''), '###'))) v(t) "
-        "WHERE name NOT IN ('Ukn Conv', 'No attr') AND 1.0 - levenshtein(fragment, t) "
-        f"/ greatest(length(fragment), length(t)) > {FUZZY_THRESHOLD} GROUP BY doc_id) "
+        "(coalesce(nullif(tail, ''), '###'))) v(t) WHERE name NOT IN ('Ukn Conv', 'No attr')), "
+        # The fewest edits to any part of the longer text, of all lengths that pass.
+        f"fits AS (SELECT DISTINCT short, long, total, CAST(floor(length(short) - {FUZZY_THRESHOLD / 2} "
+        f"* total) AS BIGINT) AS edits FROM pairs WHERE 2 * length(short) > {FUZZY_THRESHOLD} * total), "
+        "parts AS (SELECT *, unnest(range(greatest(length(short) - edits, 1), length(short) + edits + 1)) "
+        "AS n FROM fits), starts AS (SELECT *, unnest(range(1, greatest(length(long) - n + 1, 1) + 1)) AS i FROM parts), "
+        "near_pairs AS (SELECT short, long FROM starts GROUP BY short, long, total HAVING "
+        f"2 * (length(short) - min(levenshtein(short, substr(long, i, n)))) > {FUZZY_THRESHOLD} * total), "
+        "near AS (SELECT doc_id, min(seq) AS seq FROM pairs JOIN near_pairs USING (short, long) GROUP BY doc_id) "
         "SELECT f.doc_id, fragment, CASE WHEN near.seq IS NULL THEN 'untagged' "
         "ELSE 'tagged' END AS status, page.name, page.context FROM f "
         "LEFT JOIN near USING (doc_id) "

@@ -8,6 +8,7 @@ from filings.operators.facts import (
     with_fragments,
 )
 from filings.operators.markup import parse_markup, well_formed
+from tests.test_fuzzy import brute as distance
 from filings.operators.tagging import keep_tagged, tag_lookup, tag_lookup_fuzzy
 
 
@@ -69,6 +70,17 @@ def test_tag_lookup_takes_the_first_match_of_the_first_fragment(spark):
     assert sorted(r.doc_id for r in keep_tagged(tag_lookup(prose)).collect()) == [0, 1]
 
 
+def test_a_fragment_within_a_longer_fact_matches(spark):
+    fragment = "a fragment of thirty letters x"
+    within = "this fact: " + fragment + " plus words"
+    assert len(fragment) == 30 and len(within) == 52
+    texts = (within, within + " and more of them than can match", fragment[:12], "")
+    sources = [f"<a>\n<p>{fragment}</p><f name='n'>{text}</f></a>" for text in texts]
+    prose = with_fragments(with_facts(pages(spark, *sources)), 5)
+    found = {r.doc_id: r.status for r in tag_lookup_fuzzy(prose).collect()}
+    assert found == {0: "tagged", 1: "untagged", 2: "untagged", 3: "untagged"}
+
+
 def test_fuzzy_lookup_matches_brute_force(spark):
     rng = random.Random(8)
     vocabulary = "alpha beta gamma delta epsilon zeta eta theta".split()
@@ -96,12 +108,8 @@ def test_fuzzy_lookup_matches_brute_force(spark):
 
     def alike(a, b):
         b = b or "###"
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, start=1):
-            above, row[0] = row[0], i
-            for j, y in enumerate(b, start=1):
-                above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (x != y))
-        return 1 - row[-1] / max(len(a), len(b)) > 0.6
+        short, long = sorted((a, b), key=len)
+        return 2 * (len(short) - distance(short, long)) / (len(a) + len(b)) > 0.6
 
     expected = {
         n: next((f"n{i}" for i, pair in enumerate(facts) if any(alike(first, t) for t in pair)), None)
