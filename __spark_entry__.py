@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filings.functions.text import (
@@ -21,10 +21,14 @@ from filings.functions.text import (
     word_tokens,
 )
 from filings.operators.cluster import (
+    cluster_means,
     cluster_report,
     hash_vocabulary,
     hashed_tf,
     idf_weight,
+    nearest_centres,
+    term_weights,
+    vector_entries,
 )
 from filings.operators.computed import computed
 from filings.operators.envelope import (
@@ -76,6 +80,7 @@ from filings.operators.terms import (
     word_count,
 )
 from filings.operators.tagging import FUZZY_THRESHOLD
+from filings.operators.vocabulary import id_vectors, term_ids, term_rows
 from filings.plans.jobs import (
     CLUSTER_MIN_WORDS,
     PHRASE_MIN_WORDS,
@@ -102,6 +107,7 @@ from filings.plans.sample_corpus import (
     mixed_files,
     order_envelopes,
     order_pages,
+    prose_pages,
     segment_pages,
     segment_text,
 )
@@ -344,9 +350,8 @@ def q_idf_weight(spark, sf_dir):
 
 
 def _only_weight(vector):
-    """The value of a vector with one: a vector shows as (size,[index],[value])."""
-    value = F.regexp_extract(F.col(vector).cast("string"), r"\],\[(.*)\]\)", 1)
-    return F.round(value.cast("double"), 6)
+    """The value of a vector with one."""
+    return F.round(F.get(F.unwrap_udt(vector)["values"], F.lit(0)), 6)
 
 
 def q_hash_vocabulary(spark, sf_dir):
@@ -355,9 +360,7 @@ def q_hash_vocabulary(spark, sf_dir):
     terms = word_tokens(F.lower("text"))
     documents = _documents(spark, sf_dir).select("doc_id", terms.alias("terms"))
     vocabulary = hash_vocabulary(documents, n_features)
-    shown = F.regexp_extract(F.col("tf").cast("string"), r"^\(\d+,\[(.*?)\]", 1)
-    hashed = hashed_tf(documents, n_features)
-    cells = hashed.select("doc_id", F.explode(F.split(shown, ",").cast("array<int>")).alias("index"))
+    cells = vector_entries(hashed_tf(documents, n_features), ["doc_id"], "tf").drop("value")
     held = documents.select("doc_id", F.explode(F.array_distinct("terms")).alias("term"))
     found = held.join(vocabulary, "term", "left").join(
         cells.withColumn("is_set", F.lit(True)), ["doc_id", "index"], "left"
@@ -366,29 +369,91 @@ def q_hash_vocabulary(spark, sf_dir):
     return found.groupBy("term").agg(F.bool_and(is_set).alias("set_everywhere"))
 
 
+def q_term_ids(spark, sf_dir):
+    """Every term with its gapless number by falling document frequency."""
+    rows = term_rows(_documents(spark, sf_dir), "doc_id", word_tokens(F.lower("text")))
+    return term_ids(rows)
+
+
+def q_id_vectors(spark, sf_dir):
+    """Every document as counts by term ids, of terms in five documents or more."""
+    rows = term_rows(_documents(spark, sf_dir), "doc_id", word_tokens(F.lower("text")))
+    vectors = id_vectors(rows, materialise(term_ids(rows, 5), "ids"), "doc_id")
+    joined = lambda name: F.array_join(F.col(name).cast("array<string>"), ",").alias(name)
+    return vectors.select("doc_id", joined("ids"), joined("counts"))
+
+
 def _clusters(spark, sf_dir, variant):
     lines = _lines(spark, sf_dir, CLUSTER_MIN_WORDS).drop("source")
     return cluster_texts(lines, VARIANTS[variant], STOPWORDS)
 
 
-def _in_range(spark, sf_dir, variant):
-    """Documents, and whether their cluster is one of the variant's."""
-    documents = _clusters(spark, sf_dir, variant).documents
-    return documents.select(
-        "doc_id", F.col("cluster").between(0, VARIANTS[variant].k - 1).alias("in_range")
-    )
+def _nearest(clusters):
+    """Documents, and whether their centre is the nearest by the weights of its terms."""
+    centres = clusters.explain().select("cluster", "index", "weight").distinct()
+    k = len(clusters.model.clusterCenters())
+    return nearest_centres(clusters.documents, ["doc_id"], centres, k).select("doc_id", "nearest")
 
 
 def q_cluster_documents(spark, sf_dir):
-    return _in_range(spark, sf_dir, "words")
+    return _nearest(_clusters(spark, sf_dir, "words"))
 
 
 def q_cluster_stopworded(spark, sf_dir):
-    return _in_range(spark, sf_dir, "stopworded")
+    return _nearest(_clusters(spark, sf_dir, "stopworded"))
 
 
 def q_cluster_ngrams(spark, sf_dir):
-    return _in_range(spark, sf_dir, "ngrams")
+    return _nearest(_clusters(spark, sf_dir, "ngrams"))
+
+
+def _same(one, other):
+    zero = lambda name: F.coalesce(F.col(name), F.lit(0.0))
+    return F.abs(zero(one) - zero(other)) <= 1e-6 * (1 + F.abs(zero(other)))
+
+
+def _with_means(clusters):
+    """The clusters with the means of their documents' weights, made from their terms."""
+    weights = term_weights(clusters.documents, clusters.vocabulary, ["doc_id"])
+    return materialise(cluster_means(clusters.documents, weights, ["doc_id"]), "means")
+
+
+def q_explain_clusters(spark, sf_dir):
+    """For each term: is its weight in every centre the mean of the documents there."""
+    clusters = _clusters(spark, sf_dir, "stopworded")
+    centres = clusters.explain().select("cluster", "index", "weight").distinct()
+    compared = centres.join(_with_means(clusters), ["cluster", "index"], "full")
+    wrong = compared.filter(~_same("weight", "mean")).select("index").distinct().withColumn("wrong", F.lit(True))
+    named = clusters.vocabulary.join(wrong, "index", "left")
+    return named.select("term", F.col("wrong").isNull().alias("is_mean"))
+
+
+def q_explain_clusters_top(spark, sf_dir):
+    """For each of the first 20 ranks: is the weight there that of the mean of this rank."""
+    clusters = _clusters(spark, sf_dir, "stopworded")
+    ranked = Window.partitionBy("cluster").orderBy(F.desc("mean"), "term")
+    means = _with_means(clusters).join(clusters.vocabulary, "index")
+    means = means.withColumn("rank", F.row_number().over(ranked)).filter("rank <= 20").select("cluster", "rank", "mean")
+    top = clusters.explain(20).select("cluster", "rank", "weight")
+    both = means.join(top, ["cluster", "rank"], "full")
+    return both.groupBy("rank").agg(F.bool_and(_same("weight", "mean")).alias("is_largest"))
+
+
+def q_cluster_report(spark, sf_dir):
+    """For each document: its terms, and whether its vector holds their weights."""
+    clusters = _clusters(spark, sf_dir, "stopworded")
+    report = cluster_report(clusters.documents, "doc_id")
+    weights = term_weights(clusters.documents, clusters.vocabulary, ["doc_id"])
+    entries = vector_entries(report, ["doc_id"], "tfidf").withColumnRenamed("value", "shown")
+    wrong = entries.join(weights, ["doc_id", "index"], "full").filter(~_same("shown", "value"))
+    wrong = wrong.select("doc_id").distinct().withColumn("wrong", F.lit(True))
+    terms = F.array_join(F.sort_array("terms"), ",").alias("terms")
+    return report.join(wrong, "doc_id", "left").select("doc_id", terms, F.col("wrong").isNull().alias("has_weights"))
+
+
+def q_cluster_job(spark, sf_dir):
+    pages = prose_pages(_spread(spark, sf_dir, "documents"))
+    return _nearest(cluster_job(pages, VARIANTS["stopworded"], STOPWORDS))
 
 
 # Customers as documents that say nothing but their segment: clusters are segments.
@@ -430,16 +495,16 @@ def _explained(clusters, top=None):
     )
 
 
-def q_explain_clusters(spark, sf_dir):
+def q_explain_clusters_segments(spark, sf_dir):
     return _explained(_segment_clusters(spark, sf_dir, "words"))
 
 
-def q_explain_clusters_top(spark, sf_dir):
+def q_explain_clusters_top_segments(spark, sf_dir):
     clusters = _segment_clusters(spark, sf_dir, "stopworded", segment_text())
     return _explained(clusters, top=3)
 
 
-def q_cluster_report(spark, sf_dir):
+def q_cluster_report_segments(spark, sf_dir):
     documents = _segment_clusters(spark, sf_dir, "stopworded").documents
     report = cluster_report(documents, "doc_id")
     return _named(
@@ -447,7 +512,7 @@ def q_cluster_report(spark, sf_dir):
     )
 
 
-def q_cluster_job(spark, sf_dir):
+def q_cluster_job_segments(spark, sf_dir):
     pages = segment_pages(_spread(spark, sf_dir, "customer"))
     return _named(cluster_job(pages, VARIANTS["stopworded"], STOPWORDS).documents)
 
@@ -980,13 +1045,13 @@ WITH s AS (
 """
 
 
-def _clustered_sql(tokens: str) -> str:
+def _clustered_sql(tokens: str, columns: str = "true AS nearest") -> str:
     """Documents that have a token in their long lines."""
     return (
         "WITH "
         + _LINE_SQL.format(min_words=CLUSTER_MIN_WORDS)
         + ", joined AS (SELECT doc_id, string_agg(fragment, ' ' ORDER BY line_no) AS text "
-        f"FROM lines GROUP BY doc_id) SELECT doc_id, true AS in_range FROM joined "
+        f"FROM lines GROUP BY doc_id) SELECT doc_id, {columns} FROM joined "
         f"WHERE len({tokens}) > 0"
     )
 
@@ -1067,17 +1132,33 @@ def oracle_sql() -> dict[str, str]:
         "idf_weight": _SEGMENT_SQL + "SELECT doc_id AS c_custkey, weight FROM s",
         "hash_vocabulary": "SELECT DISTINCT term, true AS set_everywhere FROM "
         f"(SELECT unnest({_WORDS}) AS term FROM documents)",
+        "term_ids": _TFIDF_SQL
+        + "SELECT term, df, row_number() OVER (ORDER BY df DESC, term) - 1 AS term_id FROM df",
+        "id_vectors": _TFIDF_SQL
+        + ", ids AS (SELECT term, row_number() OVER (ORDER BY df DESC, term) - 1 AS id FROM df WHERE df >= 5) "
+        "SELECT doc_id, string_agg(id, ',' ORDER BY id) AS ids, string_agg(tf, ',' ORDER BY id) AS counts "
+        "FROM tf JOIN ids USING (term) GROUP BY doc_id",
         "cluster_documents": _clustered_sql("string_split(text, ' ')"),
         "cluster_stopworded": _clustered_sql(kept_words),
         "cluster_ngrams": _clustered_sql(kept_words),
+        "cluster_job": _clustered_sql(kept_words),
+        "cluster_report": _clustered_sql(
+            kept_words, f"array_to_string(list_sort(list_distinct({kept_words})), ',') AS terms, true AS has_weights"
+        ),
+        "explain_clusters": "SELECT DISTINCT unnest(terms) AS term, true AS is_mean FROM ("
+        + _clustered_sql(kept_words, f"{kept_words} AS terms")
+        + ")",
+        "explain_clusters_top": "SELECT DISTINCT CAST(unnest(range(1, least(20, (SELECT count(DISTINCT term) FROM ("
+        + _clustered_sql(kept_words, f"unnest({kept_words}) AS term")
+        + "))) + 1)) AS INTEGER) AS rank, true AS is_largest",
         "cluster_segments": _SEGMENT_SQL + "SELECT doc_id, cluster_id FROM s",
         "cluster_segments_stopworded": _SEGMENT_SQL + "SELECT doc_id, cluster_id FROM s",
         "cluster_segments_ngrams": _SEGMENT_SQL + "SELECT doc_id, cluster_id FROM s",
-        "cluster_job": _SEGMENT_SQL + "SELECT doc_id, cluster_id FROM s",
-        "cluster_report": _SEGMENT_SQL
+        "cluster_job_segments": _SEGMENT_SQL + "SELECT doc_id, cluster_id FROM s",
+        "cluster_report_segments": _SEGMENT_SQL
         + "SELECT doc_id, cluster_id, term AS terms, weight FROM s",
-        "explain_clusters": _SEGMENT_SQL + "SELECT DISTINCT cluster_id, term, weight FROM s",
-        "explain_clusters_top": _SEGMENT_SQL
+        "explain_clusters_segments": _SEGMENT_SQL + "SELECT DISTINCT cluster_id, term, weight FROM s",
+        "explain_clusters_top_segments": _SEGMENT_SQL
         + "SELECT DISTINCT cluster_id, term, weight, 1 AS rank FROM s",
         "malformed_pages": "SELECT 'page/' || page_id AS name, CAST(NULL AS VARCHAR) AS reason "
         "FROM pages UNION ALL SELECT 'customer/' || c_custkey, "

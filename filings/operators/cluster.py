@@ -86,10 +86,73 @@ def hash_vocabulary(
     listed = documents.select(F.explode(F.array_distinct(terms)).alias("term"))
     distinct = listed.distinct()
     alone = hashed_tf(distinct.withColumn("one", F.array("term")), n_features, "one")
-    # A vector shows as (size,[index],[1.0]). A later join on the index must not
-    # hash terms before they are distinct.
-    index = F.regexp_extract(F.col("tf").cast("string"), r",\[(\d+)\]", 1)
-    return computed(alone, index=index.cast("int")).select("index", "term")
+    # The one index of its vector. A later join on the index must not hash terms
+    # before they are distinct.
+    index = F.get(F.unwrap_udt("tf")["indices"], F.lit(0))
+    return computed(alone, index=index).select("index", "term")
+
+
+def vector_entries(documents: DataFrame, key: Sequence[str], vector: str) -> DataFrame:
+    """Rows (key, index, value) of the values of a vector that are not zero."""
+    raw = computed(documents.select(*key, F.unwrap_udt(vector).alias("raw")), values=F.col("raw.values"))
+    # A dense vector lists no indices.
+    places = F.transform("values", lambda value, at: at)
+    pairs = F.arrays_zip(F.coalesce("raw.indices", places).alias("index"), F.col("values").alias("value"))
+    return raw.select(*key, F.inline(pairs).alias("index", "value")).filter("value <> 0")
+
+
+def term_weights(
+    documents: DataFrame, vocabulary: DataFrame, key: Sequence[str], min_doc_freq: int = 5
+) -> DataFrame:
+    """As `vector_entries` of `tfidf`, from the terms themselves.
+
+    `documents` has `terms`. It is what vectors, weights and centres can be
+    checked by, as no vector is read.
+    """
+    rows = documents.select(*key, F.explode("terms").alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
+    rows = rows.join(vocabulary, "term").groupBy(*key, "index").agg(F.sum("tf").alias("tf"))
+    total = documents.count()
+    df = rows.groupBy("index").agg(F.count("*").alias("df")).filter(F.col("df") >= min_doc_freq)
+    value = F.col("tf") * F.log((F.lit(total) + 1) / (F.col("df") + 1))
+    return rows.join(df, "index").select(*key, "index", value.alias("value")).filter("value <> 0")
+
+
+def nearest_centres(
+    documents: DataFrame, key: Sequence[str], centres: DataFrame, k: int
+) -> DataFrame:
+    """key, cluster, distance, and whether no other of the k centres is nearer.
+
+    `centres` has rows (cluster, index, weight); what it lacks is zero. Distances
+    are squared, from the products of entries that both sides have.
+    """
+    entries = vector_entries(documents, key, "tfidf")
+    weights = F.broadcast(centres) if k * centres.count() <= BROADCAST_CENTRE_VALUES else centres
+    products = entries.join(weights, "index").groupBy(*key, F.col("cluster").alias("other"))
+    products = products.agg(F.sum(F.col("value") * F.col("weight")).alias("product"))
+    own = entries.groupBy(*key).agg(F.sum(F.col("value") * F.col("value")).alias("own_norm"))
+    # One row for each of the k centres.
+    norms = centres.groupBy(F.col("cluster").alias("other"))
+    norms = F.broadcast(norms.agg(F.sum(F.col("weight") * F.col("weight")).alias("norm")))
+    pairs = documents.select(*key, "cluster", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("other"))
+    pairs = pairs.join(norms, "other", "left").join(products, [*key, "other"], "left").join(own, [*key], "left")
+    zero = lambda name: F.coalesce(F.col(name), F.lit(0.0))
+    pairs = pairs.withColumn("to_other", zero("own_norm") + zero("norm") - 2 * zero("product"))
+    mine = F.max(F.when(F.col("other") == F.col("cluster"), F.col("to_other")))
+    found = pairs.groupBy(*key, "cluster").agg(
+        mine.alias("distance"), F.min("to_other").alias("least"), F.max(zero("own_norm") + zero("norm")).alias("size")
+    )
+    # Sums of many products agree to their rounding.
+    nearest = F.col("distance") <= F.col("least") + 1e-9 * (1 + F.col("size"))
+    return found.select(*key, "cluster", "distance", nearest.alias("nearest"))
+
+
+def cluster_means(documents: DataFrame, entries: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows (cluster, index, mean): the mean of the entries of each cluster's documents."""
+    # One row for each cluster.
+    sizes = F.broadcast(documents.groupBy("cluster").agg(F.count("*").alias("n")))
+    rows = entries.join(documents.select(*key, "cluster"), [*key])
+    sums = rows.groupBy("cluster", "index").agg(F.sum("value").alias("sum"))
+    return sums.join(sizes, "cluster").select("cluster", "index", (F.col("sum") / F.col("n")).alias("mean"))
 
 
 def centre_weights(

@@ -26,18 +26,19 @@ def drop_hot(rows: DataFrame, hot: DataFrame, key: str) -> DataFrame:
 
 
 def join_counts(
-    rows: DataFrame, counts: DataFrame, key: str, n: str, spread_by: str
+    rows: DataFrame, counts: DataFrame, key: str, n: str, spread_by: str, value: str | None = None
 ) -> DataFrame:
-    """Add `n` of `counts` (one row per key) to every row of that key.
+    """Add `n`, or another `value`, of `counts` (one row per key) to every row of that key.
 
-    Rows of the most frequent keys take `n` from a broadcast of fewer rows than
+    Rows of the most frequent keys take it from a broadcast of fewer rows than
     there are partitions. In the shuffle join they then have no key and are spread by
     `spread_by`; only the other keys meet `counts` there. Key and spread are
     one struct: as two conditions, the constant side of the second would be
     optimized away, and all rows without a key would go to one task.
     """
-    hot = hottest(counts, n).select(F.col(key), F.col(n).alias("_hot_n"))
-    is_hot = F.col("_hot_n").isNotNull()
+    value = value or n
+    hot = hottest(counts, n).select(F.col(key), F.col(value).alias("_hot"))
+    is_hot = F.col("_hot").isNotNull()
     spread = F.when(is_hot, F.xxhash64(spread_by)).otherwise(F.lit(0).cast("long"))
     marked = rows.join(F.broadcast(hot), key, "left").withColumn(
         "_place",
@@ -47,10 +48,10 @@ def join_counts(
         F.struct(F.col(key).alias("key"), F.lit(0).cast("long").alias("spread")).alias(
             "_place"
         ),
-        F.col(n).alias("_n"),
+        F.col(value).alias("_cold"),
     )
     return (
         marked.join(cold, "_place", "left")
-        .withColumn(n, F.coalesce("_hot_n", "_n"))
-        .drop("_place", "_hot_n", "_n")
+        .withColumn(value, F.coalesce("_hot", "_cold"))
+        .drop("_place", "_hot", "_cold")
     )

@@ -278,6 +278,15 @@ def footer_page(text: Column, nested: bool = False) -> Column:
     )
 
 
+def prose_pages(documents: DataFrame) -> DataFrame:
+    """Page of every document with a paragraph for each line."""
+    paragraphs = F.transform(
+        F.split("text", "\n"), lambda line: _concat("<p>", escaped(line), "</p>")
+    )
+    page = _concat(XHTML_ROOT, "<body>\n", F.array_join(paragraphs, "\n"), "\n</body></html>")
+    return documents.select("doc_id", F.encode(page, "UTF-8").alias("content"))
+
+
 def footer_pages(documents: DataFrame, nested: bool = False) -> DataFrame:
     return documents.select(
         "doc_id",
