@@ -72,8 +72,9 @@ SKETCHES = 1 << 13
 LOAD = 512
 # Node visits that a search holds in memory at a time.
 VISITS = 2_000_000
-# Hashes that are counted bit by bit at a time.
+# Hashes that are counted bit by bit, and that are put in all orders, at a time.
 HASHES = 1 << 16
+PIECE = 1 << 14
 
 
 def shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
@@ -131,9 +132,12 @@ def smallest_hashes(hashes: np.ndarray) -> np.ndarray:
     if not len(hashes):
         return np.zeros(0, dtype=np.int64)
     # Orders by one multiplication each are not independent, which loses pairs of short texts.
-    mixed = (hashes ^ _ORDERS[:, None]) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
-    return ((mixed ^ mixed >> np.uint64(32)).min(axis=1) ^ _ORDERS).view(np.int64)
+    least = np.full((len(_ORDERS), 1), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), PIECE):
+        mixed = (hashes[at : at + PIECE] ^ _ORDERS[:, None]) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+        np.minimum(least, (mixed ^ mixed >> np.uint64(32)).min(axis=1, keepdims=True), out=least)
+    return (least[:, 0] ^ _ORDERS).view(np.int64)
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -269,6 +269,13 @@ def test_keys_and_sketches_lose_few_short_texts():
     assert lost < 0.0008 * n
 
 
+def test_smallest_hashes_in_pieces(monkeypatch):
+    hashes = np.random.default_rng(3).integers(0, 1 << 64, 1000, dtype=np.uint64)
+    expected = s.smallest_hashes(hashes)
+    monkeypatch.setattr(s, "PIECE", 7)
+    assert np.array_equal(s.smallest_hashes(hashes), expected) and len(expected) == s.KEYS + s.MORE
+
+
 def test_short_near_copies_of_distant_fingerprints_go(spark):
     rows = []
     for i in itertools.count():
