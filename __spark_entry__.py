@@ -51,6 +51,7 @@ from filings.operators.markup import (
     footer_subtrees,
     parse_elements,
     parse_markup,
+    parse_rows,
     quarantine,
     well_formed,
 )
@@ -64,6 +65,7 @@ from filings.operators.phrases import (
     with_phrases,
 )
 from filings.operators.storage import materialise, new_path
+from filings.operators.structure import cell_rows, footer_rows, section_rows
 from filings.operators.tables import (
     render_tables,
     select_tables,
@@ -578,6 +580,30 @@ def q_footer_subtrees(spark, sf_dir):
     )
 
 
+# Documents whose nodes are rows
+
+
+def _node_rows(pages, fields):
+    """Stored: every axis reads the nodes again."""
+    rows = parse_rows(spread(pages), fields=fields).filter("error IS NULL").drop("error")
+    return materialise(rows, "nodes")
+
+
+def q_footer_rows(spark, sf_dir):
+    pages = footer_pages(_table(spark, sf_dir, "documents"), nested=True)
+    return footer_rows(_node_rows(pages, FOOTER_FIELDS), ["doc_id"])
+
+
+def q_item_cell_rows(spark, sf_dir):
+    pages = item_pages(_table(spark, sf_dir, "orders"), _table(spark, sf_dir, "lineitem"))
+    return cell_rows(_node_rows(pages, TABLE_FIELDS), ["doc_id"])
+
+
+def q_section_rows(spark, sf_dir):
+    pages = order_pages(_table(spark, sf_dir, "orders"))
+    return section_rows(_node_rows(pages, TABLE_FIELDS), ["doc_id"])
+
+
 # Envelopes
 
 
@@ -1182,6 +1208,13 @@ def oracle_sql() -> dict[str, str]:
         "nullif(line, '') AS text FROM l, (VALUES (5), (6)) a(anchor_seq) UNION ALL "
         "SELECT doc_id, anchor_seq, seq, NULL FROM documents, "
         "(VALUES (5, 5), (5, 6), (6, 6)) a(anchor_seq, seq)",
+        "footer_rows": "WITH l AS (SELECT doc_id, "
+        "unnest(string_split(text, chr(10))) AS line, "
+        "generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents) "
+        "SELECT doc_id, anchor_seq, CAST(6 + line_no AS INTEGER) AS seq, "
+        "nullif(line, '') AS text FROM l, (VALUES (5), (6)) a(anchor_seq) UNION ALL "
+        "SELECT doc_id, anchor_seq, seq, NULL FROM documents, "
+        "(VALUES (5, 5), (5, 6), (6, 6)) a(anchor_seq, seq)",
         "envelope_fields": _ORDER_SQL
         + "SELECT 'order/' || o_orderkey AS path, CAST(o_custkey AS VARCHAR) AS utr, "
         "due AS period_to, 'IR' || o_orderkey AS irmark, CAST(NULL AS VARCHAR) AS error "
@@ -1233,6 +1266,7 @@ def oracle_sql() -> dict[str, str]:
         "'attachment' AS stage, 'not base64' AS reason FROM orders "
         f"WHERE {_FILED} AND {_BUILDING} AND o_orderstatus = 'O'",
         "item_table_cells": _ITEM_SQL + "SELECT * FROM cells",
+        "item_cell_rows": _ITEM_SQL + "SELECT * FROM cells",
         "item_render_tables": _ITEM_SQL
         + "SELECT doc_id, string_agg(line, chr(10) ORDER BY row_no) AS rendered FROM ("
         "SELECT doc_id, row_no, string_agg(text, chr(9) ORDER BY col_no) AS line "
@@ -1264,6 +1298,12 @@ def oracle_sql() -> dict[str, str]:
         + "SELECT doc_id, section_no, "
         "CAST(generate_subscripts(texts, 1) - 1 AS INTEGER) AS pos, "
         "unnest(texts) AS text FROM sections",
+        "section_rows": _ORDER_SQL
+        + ", "
+        + _SECTION_SQL
+        + "SELECT doc_id, section_no, "
+        "CAST(generate_subscripts(texts, 1) - 1 AS INTEGER) AS pos, "
+        "unnest(texts) AS text FROM sections",
         "tag_lookup": _MATCH_SQL,
         "tag_lookup_fuzzy": _CUSTOMER_SQL
         + ", f AS (SELECT doc_id, lower('Statement of ' || who || ' for the period ended') "

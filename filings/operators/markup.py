@@ -363,6 +363,48 @@ def parse_markup(
     )
 
 
+def _read_rows(content: str, fields: T.StructType, others: Sequence[str], most: int):
+    """Nodes of each document as rows, in batches of at most so many."""
+    marks_style = "style_first_line" in fields.names
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, value in enumerate(batch.column(content)):
+                nodes, _, error = _read_document(value.as_py(), None, marks_style)
+                for first in range(0, len(nodes or ()) or 1, most):
+                    part = (nodes or [])[first : first + most]
+                    made = _elements_array([part], fields).flatten()
+                    columns = dict(zip(fields.names, made.flatten(), strict=True))
+                    if error is not None:
+                        # A document that does not parse is one row without a node.
+                        columns = {f.name: pa.nulls(1, columns[f.name].type) for f in fields}
+                    n = 1 if error is not None else len(part)
+                    at = pa.array([row] * n, pa.int32())
+                    kept = {name: batch.column(name).take(at) for name in others}
+                    yield pa.RecordBatch.from_pydict(
+                        kept | columns | {"error": pa.array([error] * n, pa.string())}
+                    )
+
+    return read
+
+
+def parse_rows(
+    documents: DataFrame,
+    content: str = "content",
+    fields: Sequence[str] | None = None,
+) -> DataFrame:
+    """As `parse_markup`, but one row for each node, with its fields as columns.
+
+    For documents whose nodes would not fit a row: `structure` has the axes of
+    such rows. A document that does not parse has one row, with `error` alone.
+    """
+    kept = [f for f in documents.schema.fields if f.name != content]
+    element = T.StructType([f for f in ELEMENT if fields is None or f.name in fields])
+    schema = T.StructType([*kept, *element.fields, T.StructField("error", T.StringType())])
+    names = [f.name for f in kept]
+    return documents.mapInArrow(_read_rows(content, element, names, _BATCH_ELEMENTS), schema)
+
+
 def quarantine(parsed: DataFrame) -> DataFrame:
     """Documents that did not parse, with the reason."""
     return parsed.filter(F.col("error").isNotNull()).drop("elements", "nsmap")
