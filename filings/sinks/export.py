@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filings.operators.storage import materialise, release
+from filings.sinks.named import part_of_name, write_named
 
 # The characters that code page 1252 puts at 0x80 to 0x9f. All
 # others up to 0xff have the place that Latin-1 gives them.
@@ -71,12 +72,13 @@ def export_tables(
     key: tuple[str, ...] | None = None,
     errors: str | None = None,
 ) -> None:
-    """One file per document in a folder per key, in code page 1252.
+    """One file per document, named by its key, in code page 1252.
 
     Meant for the documents of listed taxpayers, not for a whole corpus: it
-    makes one folder per document. The key is (irmark, pos), and `document`, a
-    hash of the path, where there is one: a submission may be filed twice. Two
-    documents of one key are an error, and nothing is written then.
+    makes one file per document. The key is (irmark, pos), and `document`, a
+    hash of the path, where there is one: a submission may be filed twice. The
+    last part of the key names the file, the others its folders. Two documents
+    of one key are an error; after any error no file is left (`named`).
     """
     if "path" in rendered.columns and key is None:
         rendered = rendered.withColumn("document", F.md5("path"))
@@ -93,9 +95,8 @@ def export_tables(
         line_end, errors = "\n", errors or "strict"
     else:
         raise ValueError("sep is a tab or a comma")
-    # The text writer copies bytes, so a string may carry any encoding.
-    encoded = encode_cp1252(text, errors).cast("string")
-    rendered.select(*key, encoded.alias("value")).write.partitionBy(*key).option(
-        "lineSep", line_end
-    ).text(path)
+    content = F.concat(encode_cp1252(text, errors), F.lit(line_end.encode()))
+    parts = [F.concat(F.lit(f"{name}="), part_of_name(F.col(name))) for name in key]
+    name = F.concat(F.concat_ws("/", *parts), F.lit(".txt"))
+    write_named(rendered.select(name.alias("name"), content.alias("content")), path)
     release(rendered)
