@@ -48,7 +48,7 @@ CHUNK = 1 << 18
 UNIT = 500
 # Code points of a longer unit that are looked at together.
 WINDOW = 1 << 15
-REMEMBERED = 2_000_000
+REMEMBERED = 700_000
 
 # Marks that a vocabulary may keep apart from other characters.
 MARKS = ".,;:!?%&*$#|\"()'-/=+[]{}<>"
