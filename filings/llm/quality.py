@@ -92,6 +92,28 @@ def _expanded(rows: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.nda
     return np.hstack([x, x * x / 4, np.ones((len(x), 1))])
 
 
+def loss(w: np.ndarray, x: np.ndarray, sign: int) -> tuple[float, np.ndarray]:
+    """Mean logistic loss of rows that should have the sign, and its gradient."""
+    margin = np.clip(sign * (x @ w), -30, 30)
+    slope = -sign / (1 + np.exp(margin))
+    return np.log1p(np.exp(-margin)).mean(), x.T @ slope / len(x)
+
+
+def direction(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """What to descend along: the gradient of the unbiased risk.
+
+    The risk of the negatives is that of unlabelled rows less that of the
+    positives among them. Where this estimate is below zero, the step goes back
+    along its gradient instead.
+    """
+    _, up = loss(w, p, 1)
+    loss_p, down_p = loss(w, p, -1)
+    loss_u, down_u = loss(w, u, -1)
+    if loss_u - prior * loss_p >= 0:
+        return prior * up + down_u - prior * down_p
+    return prior * down_p - down_u
+
+
 def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float) -> Classifier:
     """Gradient steps on the non-negative unbiased risk."""
     width = max(positives.shape[-1], unlabelled.shape[-1])
@@ -105,20 +127,8 @@ def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float) -> Classifi
     w, m, v = np.zeros(p.shape[1]), 0.0, 0.0
     w[-1] = np.log(prior / max(1e-6, 1 - prior)) if prior < 1 else 5.0
 
-    def gradient(x: np.ndarray, sign: int) -> tuple[float, np.ndarray]:
-        """Mean logistic loss of rows that should have the sign."""
-        margin = np.clip(sign * (x @ w), -30, 30)
-        slope = -sign / (1 + np.exp(margin))
-        return np.log1p(np.exp(-margin)).mean(), x.T @ slope / len(x)
-
     for step in range(1, STEPS + 1):
-        _, up = gradient(p, 1)
-        loss_p, down_p = gradient(p, -1)
-        loss_u, down_u = gradient(u, -1)
-        if loss_u - prior * loss_p >= 0:
-            g = prior * up + down_u - prior * down_p
-        else:  # the estimate fell below zero: step back
-            g = prior * down_p - down_u
+        g = direction(w, p, u, prior)
         g = g + DECAY * np.r_[w[:-1], 0]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)

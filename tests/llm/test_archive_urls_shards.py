@@ -148,3 +148,75 @@ def test_shards_by_rows_and_bytes(spark, tmp_path):
     path = str(tmp_path / "shards")
     shards.write_shards(docs, shards.with_shards(docs), path)
     assert spark.read.parquet(path).count() == 503
+
+
+def cell_of_index(index, dims, bits):
+    """The cell of an index of the Hilbert curve, bit by bit (Skilling's inverse transform)."""
+    x = [0] * dims
+    for at in range(dims * bits):
+        bit = index >> (dims * bits - 1 - at) & 1
+        x[at % dims] |= bit << (bits - 1 - at // dims)
+    t = x[-1] >> 1
+    for i in range(dims - 1, 0, -1):
+        x[i] ^= x[i - 1]
+    x[0] ^= t
+    q = 2
+    while q != 1 << bits:
+        for i in range(dims - 1, -1, -1):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0] ^= t
+                x[i] ^= t
+        q <<= 1
+    return x
+
+
+def test_curve_like_its_inverse():
+    rng = np.random.default_rng(4)
+    for dims, bits in ((2, 5), (3, 4), (4, 6)):
+        cells = rng.integers(0, 1 << bits, (400, dims))
+        for cell, index in zip(cells.tolist(), shards.hilbert_index(cells, bits).tolist()):
+            assert cell_of_index(index, dims, bits) == cell
+
+
+def test_shards_like_brute_force(spark):
+    rng = np.random.default_rng(12)
+    rows = [
+        (None if i % 41 == 0 else int(rng.integers(0, 900)), "t" * int(rng.integers(0, 200)) if i % 29 else None,
+         None if i % 17 == 0 else f"l{rng.integers(0, 3)}", None if i % 23 == 0 else f"s{rng.integers(0, 90):02}")
+        for i in range(700)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = shards.with_shards(docs).collect()
+    cells = 1 << shards.BITS
+
+    def string_firsts(values):
+        values = sorted({v for v in values if v is not None})
+        by = {}
+        for at, value in enumerate(values):
+            by.setdefault(at * cells // len(values), value)
+        return [first for cell, first in sorted(by.items()) if cell > 0]
+
+    def quantiles(values):
+        values = sorted(v for v in values if v is not None)
+        return sorted({values[max(0, -(-i * len(values) // cells) - 1)] for i in range(1, cells)})
+
+    size = [len((t or "").encode()) + 8 for _, t, _, _ in rows]
+    sources, langs = string_firsts(r[3] for r in rows), string_firsts(r[2] for r in rows)
+    sizes, ids = quantiles(size), quantiles(r[0] for r in rows)
+    upto = lambda bounds, v: 0 if v is None else sum(b <= v for b in bounds)
+    below = lambda bounds, v: 0 if v is None else sum(b < v for b in bounds)
+    keyed = []
+    for (doc_id, text, lang, source), n in zip(rows, size):
+        cell = np.array([[upto(sources, source), upto(langs, lang), below(sizes, n), below(ids, doc_id)]])
+        index = int(shards.hilbert_index(cell, shards.BITS)[0])
+        assert cell_of_index(index, 4, shards.BITS) == cell[0].tolist()
+        # Nulls come first.
+        keyed.append((index, doc_id is not None, doc_id or 0, zlib.crc32((text or "").encode()), n))
+    expected, starts = [], {}
+    for at, (index, known, doc_id, crc, n) in enumerate(sorted(keyed)):
+        shard = at * 24 // len(rows)
+        expected.append((doc_id if known else None, crc, n, shard, at - starts.setdefault(shard, at)))
+    assert sorted(map(repr, expected)) == sorted(repr((r.doc_id, r.text_crc32, r.size, r.shard, r.slot)) for r in found)
