@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from filings.functions.lateral import register_parse_elements
+from filings.functions.sql import register_functions
 from filings.functions.text import (
     alpha_tokens,
     block_ngrams,
@@ -121,6 +123,7 @@ from filings.sinks.export import (
     write_cells,
     write_phrases,
 )
+from filings.sinks.named import write_named
 from filings.sources.corpus import (
     read_cells,
     read_corpus,
@@ -132,11 +135,16 @@ from filings.sources.corpus import (
     spread,
 )
 
-# The operators for training data are a subpackage that may be absent.
+from filings.sources.packed import PackedCorpus
+
+# The operators for training data are a subpackage that may be absent; what they
+# themselves fail to import is an error.
 try:
     import corpus_pipeline
     from filings.llm import queries as llm
-except ImportError:
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "filings.llm", "filings.llm.queries"):
+        raise
     corpus_pipeline = llm = None
 
 SF_ENTRY = "/root/testdata/sf0.001"
@@ -236,6 +244,26 @@ def q_ngram15_distinct(spark, sf_dir):
     )
 
 
+def q_ngram5_sql(spark, sf_dir):
+    """The document frequencies of 5-grams in SQL alone."""
+    register_functions(spark)
+    _documents(spark, sf_dir).createOrReplaceTempView("documents")
+    return spark.sql(
+        "WITH grams AS (SELECT array_distinct(ngrams(word_tokens(lower(text)), 5)) AS terms FROM documents) "
+        "SELECT term, count(*) AS df FROM (SELECT explode(terms) AS term FROM grams) "
+        "WHERE term IS NOT NULL GROUP BY term HAVING df >= 5"
+    )
+
+
+def q_block15_sql(spark, sf_dir):
+    register_functions(spark)
+    _documents(spark, sf_dir).createOrReplaceTempView("documents")
+    return spark.sql(
+        "WITH blocks AS (SELECT doc_id, block_ngrams(alpha_tokens(lower(text)), 15) AS phrases FROM documents) "
+        "SELECT doc_id, explode(phrases) AS phrase FROM blocks"
+    )
+
+
 def q_block15_phrases(spark, sf_dir):
     phrases = block_ngrams(alpha_tokens(F.lower("text")), 15)
     return _documents(spark, sf_dir).select(
@@ -580,6 +608,16 @@ def q_footer_subtrees(spark, sf_dir):
     )
 
 
+def q_elements_lateral(spark, sf_dir):
+    """The elements once more, by a table function in SQL."""
+    register_parse_elements(spark)
+    customer_pages(_spread(spark, sf_dir, "customer")).createOrReplaceTempView("customer_pages")
+    return spark.sql(
+        "SELECT doc_id, e.* FROM customer_pages, LATERAL parse_elements(content, "
+        "'seq, end_seq, parent_seq, depth, qname, text, tail') e"
+    )
+
+
 # Documents whose nodes are rows
 
 
@@ -646,6 +684,15 @@ def q_submission_flags(spark, sf_dir):
     return spark.sql("SELECT path, irmark, pos, is_ct, is_ix FROM submission_flags")
 
 
+def q_submission_flags_sql(spark, sf_dir):
+    """The flags query in SQL alone, over decoded attachments."""
+    rows = decode_attachments(explode_attachments(submissions(_envelopes(spark, sf_dir))))
+    rows.createOrReplaceTempView("decoded_attachments")
+    return spark.sql(
+        "SELECT path, irmark, pos, utr IS NOT NULL AS is_ct, content IS NOT NULL AS is_ix FROM decoded_attachments"
+    )
+
+
 def _taxpayers(spark, sf_dir):
     customers = _table(spark, sf_dir, "customer")
     return customers.filter("c_mktsegment = 'BUILDING'").select(
@@ -801,6 +848,23 @@ def q_corpus_files(spark, sf_dir):
     )
 
 
+def q_corpus_packed(spark, sf_dir):
+    """A file for each document, packed in two runs; a third finds nothing new."""
+    path, packed = new_path(spark, "corpus"), PackedCorpus(spark, new_path(spark, "packed"), 1 << 20)
+    rows = _documents(spark, sf_dir).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    name = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    files = rows.select("doc_id", name.alias("name"), F.encode("text", "UTF-8").alias("content"))
+    added = []
+    for rest in (0, 1):
+        write_named(files.filter(F.col("doc_id") % 2 == rest).drop("doc_id"), f"{path}/{rest}")
+        added.append(packed.add([f"{path}/{run}/*/*" for run in range(rest + 1)]))
+    again = packed.add([f"{path}/0/*/*", f"{path}/1/*/*"])
+    found = packed.corpus().select(
+        F.regexp_extract("path", "/([0-9]+)[.]txt$", 1).cast("long").alias("doc_id"), F.md5("content").alias("md5")
+    )
+    return found.withColumn("added_again", F.lit(again))
+
+
 def q_key_list_file(spark, sf_dir):
     path = new_path(spark, "keys")
     _table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(
@@ -1129,12 +1193,19 @@ def oracle_sql() -> dict[str, str]:
         "lambda i: array_to_string(t[i + 1 : i + 5], ' ')))) AS term "
         f"FROM (SELECT doc_id, {_WORDS} AS t FROM documents)) "
         "GROUP BY term HAVING count(*) >= 5",
+        "ngram5_sql": "SELECT term, count(*) AS df FROM (SELECT doc_id, "
+        "unnest(list_distinct(list_transform(range(0, len(t) - 4), "
+        "lambda i: array_to_string(t[i + 1 : i + 5], ' ')))) AS term "
+        f"FROM (SELECT doc_id, {_WORDS} AS t FROM documents)) "
+        "GROUP BY term HAVING count(*) >= 5",
         "ngram15_distinct": "SELECT doc_id, "
         "unnest(list_distinct(list_transform(range(0, len(t) - 14), "
         "lambda i: array_to_string(t[i + 1 : i + 15], ' ')))) AS phrase "
         f"FROM (SELECT doc_id, {alpha} AS t FROM documents)",
         "block15_phrases": f"SELECT doc_id, unnest({_BLOCKS.format(t='t')}) AS phrase "
         f"FROM (SELECT doc_id, {alpha} AS t FROM documents)",
+        "block15_sql": f"SELECT doc_id, unnest({_BLOCKS.format(t='t')}) AS phrase "
+        f"FROM (SELECT doc_id, {alpha} AS t FROM documents)",
         "phrase_postings": _POSTING_SQL
         + "SELECT phrase, irmark, count(*) AS n FROM postings GROUP BY ALL",
         "phrase_band": _BAND_SQL,
@@ -1192,6 +1263,8 @@ def oracle_sql() -> dict[str, str]:
         "WHERE c_nationkey % 3 > 0",
         "elements_basic": _CUSTOMER_SQL
         + "SELECT doc_id, seq, end_seq, parent_seq, depth, qname, text, tail FROM page",
+        "elements_lateral": _CUSTOMER_SQL
+        + "SELECT doc_id, seq, end_seq, parent_seq, depth, qname, text, tail FROM page",
         "facts_resolved": _CUSTOMER_SQL
         + "SELECT doc_id, seq, name, context, text, tail, "
         "name NOT IN ('Ukn Conv', 'No attr') AS is_tagged FROM page",
@@ -1245,6 +1318,10 @@ def oracle_sql() -> dict[str, str]:
         "'IR' || o_orderkey AS irmark, pos, true AS is_ct, pos = 0 AS is_ix "
         f"FROM orders, (VALUES (0), (2)) v(pos) WHERE {_FILED} "
         "AND (pos = 0 OR o_orderstatus = 'O')",
+        "submission_flags_sql": "SELECT 'order/' || o_orderkey AS path, "
+        "'IR' || o_orderkey AS irmark, pos, true AS is_ct, pos = 0 AS is_ix "
+        f"FROM orders, (VALUES (0), (2)) v(pos) WHERE {_FILED} "
+        "AND (pos = 0 OR o_orderstatus = 'O')",
         "restrict_to_keys": "SELECT 'order/' || o_orderkey AS path, "
         f"CAST(o_custkey AS VARCHAR) AS utr FROM orders WHERE {_BUILDING}",
         "table_selected": _ORDER_SQL
@@ -1331,6 +1408,8 @@ def oracle_sql() -> dict[str, str]:
         "corpus_files": "SELECT source AS folder, md5(line) AS line_md5, count(*) AS n FROM "
         "(SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents) "
         "GROUP BY ALL",
+        "corpus_packed": "SELECT doc_id, md5(text) AS md5, 0 AS added_again FROM documents "
+        "WHERE doc_id IS NOT NULL AND text IS NOT NULL",
         "key_list_file": "SELECT CAST(o_custkey AS VARCHAR) AS utr, o_orderkey "
         f"FROM orders WHERE {_BUILDING}",
         "phrase_lines": _BAND_SQL,
