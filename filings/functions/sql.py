@@ -17,10 +17,12 @@ def _text(value: str) -> str:
     return "'" + "".join(f"\\u{ord(c):04x}" for c in value) + "'"
 
 
-# Name and parameters, type and body. A body sees its parameters once bound.
+# Name and parameters, type and body. The optimizer puts an argument wherever its
+# parameter stands, so one that is used for every item is bound by a lambda first.
 _RUNS = (
-    "CASE WHEN size(tokens) >= n THEN transform(sequence(1, size(tokens) - (n - 1), {step}), "
-    "i -> array_join(slice(tokens, i, n), ' ')) ELSE cast(array() AS array<string>) END"
+    "get(transform(array(tokens), bound -> CASE WHEN size(bound) >= n THEN "
+    "transform(sequence(1, size(bound) - (n - 1), {step}), i -> array_join(slice(bound, i, n), ' ')) "
+    "ELSE cast(array() AS array<string>) END), 0)"
 )
 FUNCTIONS = {
     "strip_text(s STRING)": ("STRING", f"trim(BOTH {_text(SPACE_CHARS)} FROM s)"),
