@@ -7,13 +7,14 @@ cut into splits of `SPLIT`; an anchor is carried to every split that its range
 reaches, which is one more row for each `SPLIT` places that it holds. Within a
 split places are sorted, so those of an anchor are one run of them, found by two
 binary searches. A document of any size is then joined by many tasks, and none
-holds more than a split and the anchors over it.
+holds more than a few splits and the anchors over them.
 
 Results are the rows of the operators of `markup` and `tables` of like names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -62,19 +63,27 @@ def within(
     # A split without an anchor has nothing to give.
     laid = laid.join(reached.select(*keys, "_split").distinct(), [*keys, "_split"], "left_semi")
     group = [*keys, "_split"]
+    # Splits of small documents share a task, about `split` places in all.
+    tasks = max(1, math.ceil(places.count() / split))
+    task = F.pmod(F.xxhash64(*group), F.lit(tasks)).alias("_task")
+    reached, laid = reached.select("*", task), laid.select("*", task)
     schema = T.StructType([*(places.schema[k] for k in keys), *carried, places.schema["at"], *own])
 
     def held(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("at", kind="stable")
-        at = right["at"].to_numpy()
-        low = np.searchsorted(at, left["low"].to_numpy(), "right")
-        n = np.maximum(np.searchsorted(at, left["high"].to_numpy(), "right") - low, 0)
+        # Places of one split lie apart from those of others.
+        every = pd.concat([left[group], right[group]], ignore_index=True)
+        number = every.groupby(group, sort=False).ngroup().to_numpy(dtype=np.int64) << 40
+        bases, at = number[: len(left)], number[len(left) :] + right["at"].to_numpy(dtype=np.int64)
+        order = np.argsort(at, kind="stable")
+        right, at = right.iloc[order], at[order]
+        low = np.searchsorted(at, bases + left["low"].to_numpy(dtype=np.int64), "right")
+        n = np.maximum(np.searchsorted(at, bases + left["high"].to_numpy(dtype=np.int64), "right") - low, 0)
         rows = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
         found = left[[f.name for f in carried]].iloc[np.repeat(np.arange(len(left)), n)].reset_index(drop=True)
         right = right[[*keys, "at", *(f.name for f in own)]].iloc[rows].reset_index(drop=True)
         return pd.concat([right[list(keys)], found, right.drop(columns=list(keys))], axis=1)[schema.names]
 
-    return reached.groupBy(*group).cogroup(laid.groupBy(*group)).applyInPandas(held, schema)
+    return reached.groupBy("_task").cogroup(laid.groupBy("_task")).applyInPandas(held, schema)
 
 
 def descendants(
