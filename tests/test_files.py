@@ -162,3 +162,10 @@ def test_only_small_sources_are_spread(spark):
     assert spread(small).count() == 100
     large = spark.range(0, 100, 1, 9)
     assert spread(large) is large
+
+
+def test_partitions_of_spread_rows_do_not_grow_with_the_table(spark):
+    rows = spark.range(0, 200_000, 1, 2)
+    spread_rows = spread(rows)
+    assert spread_rows.rdd.getNumPartitions() == 10 and spread_rows.count() == 200_000
+    assert max(len(part) for part in spread_rows.rdd.glom().collect()) <= 20_100
