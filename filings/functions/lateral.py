@@ -14,7 +14,7 @@ from pyspark.sql.types import BinaryType, StringType, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from filings.functions.text import SPACE_CHARS
-from filings.operators.markup import _FIELDS, _read_document
+from filings.operators.markup import read_nodes
 from filings.schemas import ELEMENT
 
 NAME = "parse_elements"
@@ -42,14 +42,12 @@ class ParseElements:
     def eval(self, content, fields: str | None = None) -> Iterator[tuple]:
         names = [name.strip() for name in fields.split(",")] if fields else [f.name for f in _OFFERED]
         content = content.encode() if isinstance(content, str) else content
-        nodes, _, _ = _read_document(content, None, True)
-        places = [_FIELDS.index(name) for name in names]
-        text, tail, style = (_FIELDS.index(name) for name in ("text", "tail", "style_first_line"))
-        for node in nodes or ():
-            if (node[text] is None and node[tail] is None) or node[style]:
+        for node in read_nodes(content):
+            if (node["text"] is None and node["tail"] is None) or node["style_first_line"]:
                 continue
             yield tuple(
-                node[at].strip(SPACE_CHARS) if at in (text, tail) and node[at] is not None else node[at] for at in places
+                node[name].strip(SPACE_CHARS) if name in ("text", "tail") and node[name] is not None else node[name]
+                for name in names
             )
 
 

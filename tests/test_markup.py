@@ -207,3 +207,17 @@ def test_batches_are_split_at_document_bounds(spark, monkeypatch):
     rows = parse_markup(pages, "page", fields=("text", "tail")).collect()
     assert [(r.id, r.elements[2].tail) for r in rows] == [(i, str(i)) for i in range(500)]
     assert rows[0].elements[0].asDict() == {"text": None, "tail": None}
+
+
+def test_documents_of_a_batch_share_names_and_a_broken_one_leaves_no_node(spark):
+    pages = [
+        b"<a x='1'><b>t</b>u<!--c--><?p q?></a>", b"<a><b>lost<", None, b"<n:a xmlns:n='N'><b n:x='2'/></n:a>",
+        b"<a><style>s</style></a>",
+    ]
+    rows = spark.createDataFrame(list(enumerate(pages)), "doc_id int, content binary").coalesce(1)
+    parsed = {r.doc_id: r for r in parse_markup(rows).collect()}
+    alone = {r.doc_id: r for i in range(len(pages)) for r in parse_markup(rows.filter(f"doc_id = {i}")).collect()}
+    assert parsed == alone and parsed[2].error == "no content" and parsed[1].elements is not None
+    assert [len(parsed[i].elements) for i in range(5)] == [4, 0, 0, 2, 2]
+    assert [e.tag for e in parsed[3].elements] == ["{N}a", "b"] and parsed[3].elements[1].attrs == {"{N}x": "2"}
+    assert [e.seq for e in parsed[0].elements] == [0, 1, 2, 3] and parsed[4].elements[1].style_first_line
