@@ -18,7 +18,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +27,7 @@ from filings.functions.text import SPACE_CHARS, strip
 from filings.functions.tree import XHTML, is_element
 from filings.operators.computed import computed
 from filings.operators.markup import is_footer
+from filings.operators.storage import materialise
 from filings.operators.tables import (
     CONTENTS_WORD,
     HEADING_TERMS,
@@ -60,30 +61,41 @@ def within(
     # Aliases, as both sides may come from one table.
     laid = places.select(*[F.col(name).alias(name) for name in places.columns])
     laid = laid.withColumn("_split", F.floor(F.col("at") / split))
-    # A split without an anchor has nothing to give.
-    laid = laid.join(reached.select(*keys, "_split").distinct(), [*keys, "_split"], "left_semi")
     group = [*keys, "_split"]
     # Splits of small documents share a task, about `split` places in all.
     tasks = max(1, math.ceil(places.count() / split))
     task = F.pmod(F.xxhash64(*group), F.lit(tasks)).alias("_task")
     reached, laid = reached.select("*", task), laid.select("*", task)
     schema = T.StructType([*(places.schema[k] for k in keys), *carried, places.schema["at"], *own])
+    mine, theirs = [f.name for f in carried], [*keys, "at", *(f.name for f in own)]
 
-    def held(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def held(left: pa.Table, right: pa.Table) -> pa.Table:
         # Places of one split lie apart from those of others.
-        every = pd.concat([left[group], right[group]], ignore_index=True)
-        number = every.groupby(group, sort=False).ngroup().to_numpy(dtype=np.int64) << 40
-        bases, at = number[: len(left)], number[len(left) :] + right["at"].to_numpy(dtype=np.int64)
+        every = pa.concat_tables([left.select(group), right.select(group)])
+        number = _numbers(every, group) << 40
+        ints = lambda table, name: table[name].to_numpy().astype(np.int64)
+        bases, at = number[: len(left)], number[len(left) :] + ints(right, "at")
         order = np.argsort(at, kind="stable")
-        right, at = right.iloc[order], at[order]
-        low = np.searchsorted(at, bases + left["low"].to_numpy(dtype=np.int64), "right")
-        n = np.maximum(np.searchsorted(at, bases + left["high"].to_numpy(dtype=np.int64), "right") - low, 0)
+        at = at[order]
+        low = np.searchsorted(at, bases + ints(left, "low"), "right")
+        n = np.maximum(np.searchsorted(at, bases + ints(left, "high"), "right") - low, 0)
         rows = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-        found = left[[f.name for f in carried]].iloc[np.repeat(np.arange(len(left)), n)].reset_index(drop=True)
-        right = right[[*keys, "at", *(f.name for f in own)]].iloc[rows].reset_index(drop=True)
-        return pd.concat([right[list(keys)], found, right.drop(columns=list(keys))], axis=1)[schema.names]
+        found = left.select(mine).take(pa.array(np.repeat(np.arange(len(left)), n)))
+        right = right.select(theirs).take(pa.array(order[rows]))
+        columns = dict(zip(mine, found.columns, strict=True)) | dict(zip(theirs, right.columns, strict=True))
+        return pa.table({name: columns[name] for name in schema.names})
 
-    return reached.groupBy("_task").cogroup(laid.groupBy("_task")).applyInPandas(held, schema)
+    return reached.groupBy("_task").cogroup(laid.groupBy("_task")).applyInArrow(held, schema)
+
+
+def _numbers(rows: pa.Table, names: Sequence[str]) -> np.ndarray:
+    """A number for each row, equal where all the named columns are."""
+    out = np.zeros(len(rows), dtype=np.int64)
+    for name in names:
+        codes = rows[name].combine_chunks().dictionary_encode().indices
+        codes = codes.to_numpy(zero_copy_only=False).astype(np.int64)
+        out = np.unique(out * (int(codes.max(initial=0)) + 1) + codes, return_inverse=True)[1]
+    return out
 
 
 def descendants(
@@ -177,6 +189,8 @@ def cell_rows(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     number = F.row_number().over(Window.partitionBy(*keys, "table_no", "row_no").orderBy("seq"))
     marks = ["table_no", "row_no", "col_no"]
     cells = cells.select(*keys, "seq", "end_seq", "table_no", "row_no", number.alias("col_no"))
+    # Read for their texts and joined with them: stored, as tables are not to be selected twice.
+    cells = materialise(cells, "cells")
     texts = inner_texts(cells, nodes, keys, marks)
     found = cells.join(texts, [*keys, *marks], "left")
     return found.select(*keys, *marks, F.coalesce("inner", F.lit("")).alias("text"))

@@ -71,3 +71,25 @@ def test_no_anchor_and_no_place(spark):
     assert within(ranges, nodes, ["doc"]).count() == 0
     assert within(ranges.limit(0), nodes, ["doc"]).count() == 0
     assert within(ranges, nodes.limit(0), ["doc"]).count() == 0
+
+
+def test_splits_that_share_a_task_keep_their_keys_apart(spark):
+    nodes = spark.range(3000).select(
+        F.concat(F.lit("d"), (F.col("id") % 30).cast("string")).alias("doc"), (F.col("id") % 2).alias("part"),
+        F.col("id").alias("at"), F.concat(F.lit("é"), "id").alias("v"),
+    )
+    ranges = spark.createDataFrame(
+        [(f"d{i}", i % 2, low, low + 1500, ("x", i)) for i in range(0, 40) for low in (-1, 700)],
+        "doc string, part long, low long, high long, mark struct<a:string,b:int>",
+    )
+    expected = ranges.join(nodes, ["doc", "part"]).filter("low < at AND at <= high")
+    columns = ["doc", "part", "mark", "at", "v"]
+    found = within(ranges, nodes, ["doc", "part"], 100)
+    assert rows_of(found.select(columns)) == rows_of(expected.select(columns)) and found.count() > 0
+
+
+def test_cells_select_their_tables_once(spark):
+    pages = spark.createDataFrame([(i, p.encode()) for i, p in enumerate(PAGES)], "doc_id int, content binary")
+    nodes = parse_rows(pages).filter("error IS NULL").drop("error")
+    plan = cell_rows(nodes, ["doc_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroups") == 1 and "adjustment of profit" not in plan
