@@ -6,7 +6,15 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from filings.operators.cluster import cluster_means, hash_vocabulary, nearest_centres, term_weights, vector_entries
+from filings.operators.cluster import (
+    cluster_means,
+    hash_vocabulary,
+    hashed_tf,
+    in_fixed_layout,
+    nearest_centres,
+    term_weights,
+    vector_entries,
+)
 from filings.operators.vocabulary import id_vectors, numbered, term_ids, term_rows
 from filings.plans.jobs import VARIANTS, cluster_texts
 
@@ -82,3 +90,10 @@ def test_numbers_have_no_gap_and_ties_keep_their_order(spark):
     expected = sorted(((i % 7, i) for i in range(500)), key=lambda r: (-r[0], r[1]))
     assert {(r.a, r.id): r.position for r in found} == {row: at for at, row in enumerate(expected)}
     assert numbered(rows.limit(0), F.col("id")).count() == 0
+
+
+def test_short_documents_are_fitted_in_few_partitions(spark):
+    short = spark.range(60_000).select("id", F.array(F.lit("w")).alias("terms"))
+    long = spark.range(3_000).select("id", F.transform(F.sequence(F.lit(1), F.lit(250)), lambda i: i.cast("string")).alias("terms"))
+    parts = lambda rows: in_fixed_layout(hashed_tf(rows, 1 << 20), ["id"], "tf").rdd.getNumPartitions()
+    assert parts(short) == 2 and parts(long) in (3, 4)
