@@ -71,14 +71,15 @@ def export_tables(
     sep: str = "\t",
     key: tuple[str, ...] | None = None,
     errors: str | None = None,
-) -> None:
+) -> DataFrame:
     """One file per document, named by its key, in code page 1252.
 
     Meant for the documents of listed taxpayers, not for a whole corpus: it
     makes one file per document. The key is (irmark, pos), and `document`, a
     hash of the path, where there is one: a submission may be filed twice. The
     last part of the key names the file, the others its folders. Two documents
-    of one key are an error; after any error no file is left (`named`).
+    of one key are an error; after any error no file is left (`named`). Returns the
+    stored `path` of each file, for `read_corpus`.
     """
     if "path" in rendered.columns and key is None:
         rendered = rendered.withColumn("document", F.md5("path"))
@@ -98,5 +99,6 @@ def export_tables(
     content = F.concat(encode_cp1252(text, errors), F.lit(line_end.encode()))
     parts = [F.concat(F.lit(f"{name}="), part_of_name(F.col(name))) for name in key]
     name = F.concat(F.concat_ws("/", *parts), F.lit(".txt"))
-    write_named(rendered.select(name.alias("name"), content.alias("content")), path)
+    written = write_named(rendered.select(name.alias("name"), content.alias("content")), path)
     release(rendered)
+    return written

@@ -1,10 +1,11 @@
-"""A data source that writes each row as a file of its own name.
-
-Tasks write below a staging folder of the job and report what they wrote; only
-when all have ended does the driver move the files to their names. A task that
-fails, or runs twice, leaves nothing but staged files, which go with the folder.
-Names are relative paths and must differ; a file that exists is never replaced,
-and then no file is moved. A `_SUCCESS` file follows the last one.
+"""Writes each row as a file of its own name.
+
+Tasks write below a staging folder of the job and tell what they wrote in a stored
+table. Only when all have ended and the names are found to differ, and to be free,
+do tasks move the files to their names; no name passes the driver. What fails
+before leaves nothing but staged files, which go with the folder; if a move fails,
+files moved before are deleted. Names are relative paths; a file that exists is
+never replaced. A `_SUCCESS` file follows the last one.
 """
 
 from __future__ import annotations
@@ -12,111 +13,166 @@ from __future__ import annotations
 import posixpath
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-FORMAT = "named_files"
+from filings.operators.storage import materialise, release
+
 DONE = "_SUCCESS"
 
+_STAGED = "staged string, name string"
+
 
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path, and the path within it."""
-    if path.startswith("file:") and not path.startswith("file://"):
-        path = "file://" + path.removeprefix("file:")
-    return fs.FileSystem.from_uri(path)
+    """The file system of an absolute path, which is not escaped, and the path within it."""
+    if path.startswith("/"):
+        return fs.LocalFileSystem(), path
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    scheme, rest = path.split("://", 1)
+    authority, _, inner = rest.partition("/")
+    system, root = fs.FileSystem.from_uri(f"{scheme}://{authority}/")
+    return system, f"{root.rstrip('/')}/{inner}"
 
 
-@dataclass
-class Written(WriterCommitMessage):
-    files: list[tuple[str, str]]  # staged path, name
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as scans of Spark name it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(where).toString()
 
 
-class NamedFileWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path, self.staging = path.rstrip("/"), f"_staging-{uuid.uuid4().hex}"
+def checked(name: str | None) -> None:
+    """A name is a relative path that stays below the folder."""
+    parts = (name or "").split("/")
+    if any(part in ("", ".", "..") for part in parts) or parts[0].startswith("_staging-"):
+        raise ValueError(f"no name for a file: {name}")
+
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        system, root = file_system(self.path)
+def part_of_name(value: Column) -> Column:
+    """A value as part of a file's name."""
+    return F.coalesce(F.url_encode(value.cast("string")), F.lit("__null__"))
+
+
+def _is_file(system: fs.FileSystem, path: str) -> bool:
+    return system.get_file_info(path).type == fs.FileType.File
+
+
+def _staged(path: str, staging: str):
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = file_system(path)
         # Attempts of one task do not share a folder.
-        folder, files = f"{root}/{self.staging}/{uuid.uuid4().hex}", []
-        system.create_dir(folder, recursive=True)
-        for batch in iterator:
-            for name, content in zip(*(batch.column(c).to_pylist() for c in ("name", "content")), strict=True):
-                checked(name)
-                staged = f"{folder}/{len(files)}"
-                with system.open_output_stream(staged) as out:
-                    out.write(content or b"")
-                files.append((staged, name))
-        return Written(files)
-
-    def commit(self, messages: list[Written]) -> None:
-        system, root = file_system(self.path)
-        files = [pair for message in messages if message is not None for pair in message.files]
-        names = [name for _, name in files]
-        try:
-            if len(set(names)) < len(names):
-                twice = next(name for name in names if names.count(name) > 1)
-                raise ValueError(f"more than one row has the name {twice}")
-            there = {info.path for info in system.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True)) if info.type == fs.FileType.File}
-            for name in names:
-                if f"{root}/{name}" in there:
-                    raise FileExistsError(f"{root}/{name}")
-            for folder in sorted({posixpath.dirname(f"{root}/{name}") for name in names}):
+        folder, written = f"{root}/{staging}/{uuid.uuid4().hex}", 0
+        for batch in batches:
+            if not written:
                 system.create_dir(folder, recursive=True)
-            for staged, name in files:
-                system.move(staged, f"{root}/{name}")
-        finally:
-            self._clear(system, root)
-        with system.open_output_stream(f"{root}/{DONE}"):
-            pass
+            names, staged = batch.column("name").to_pylist(), []
+            for name, content in zip(names, batch.column("content"), strict=True):
+                checked(name)
+                staged.append(f"{folder}/{written}")
+                written += 1
+                with system.open_output_stream(staged[-1]) as out:
+                    if content.is_valid:
+                        out.write(content.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array(staged, pa.string()), pa.array(names, pa.string())], ["staged", "name"])
 
-    def abort(self, messages: list[Written | None]) -> None:
-        self._clear(*file_system(self.path))
+    return stage
 
-    def _clear(self, system: fs.FileSystem, root: str) -> None:
-        if system.get_file_info(f"{root}/{self.staging}").type == fs.FileType.Directory:
-            system.delete_dir(f"{root}/{self.staging}")
-        # A folder that held nothing but the staging one was made by this job.
-        if not system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
-            if system.get_file_info(root).type == fs.FileType.Directory:
-                system.delete_dir(root)
 
+def _taken(path: str):
+    """Rows whose name a file has."""
 
-def checked(name: str | None) -> None:
-    """A name is a relative path that stays below the folder."""
-    parts = (name or "").split("/")
-    if any(part in ("", ".", "..") for part in parts) or parts[0].startswith("_staging-"):
-        raise ValueError(f"no name for a file: {name}")
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = file_system(path)
+        for batch in batches:
+            infos = system.get_file_info([f"{root}/{name}" for name in batch.column("name").to_pylist()])
+            yield batch.filter(pa.array([info.type == fs.FileType.File for info in infos], pa.bool_()))
 
+    return taken
 
-class NamedFiles(DataSource):
-    """Writes rows (name string, content binary) below the option `path`."""
 
-    @classmethod
-    def name(cls) -> str:
-        return FORMAT
+def _moved(path: str):
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = file_system(path)
+        made = None
+        for batch in batches:
+            for staged, name in zip(batch.column("staged").to_pylist(), batch.column("name").to_pylist(), strict=True):
+                target = f"{root}/{name}"
+                if posixpath.dirname(target) != made:
+                    made = posixpath.dirname(target)
+                    system.create_dir(made, recursive=True)
+                try:
+                    system.move(staged, target)
+                except OSError:
+                    # An earlier attempt of the task has moved it.
+                    if _is_file(system, staged) or not _is_file(system, target):
+                        raise
+            yield batch
 
-    def writer(self, schema, overwrite: bool) -> NamedFileWriter:
-        if schema.fieldNames() != ["name", "content"]:
-            raise ValueError(f"columns must be name and content, not {schema.fieldNames()}")
-        if overwrite:
-            raise ValueError("named files are never replaced")
-        return NamedFileWriter(self.options["path"])
+    return move
 
 
-def part_of_name(value: Column) -> Column:
-    """A value as part of a file's name."""
-    return F.coalesce(F.url_encode(value.cast("string")), F.lit("__null__"))
+def _undone(path: str):
+    def undo(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = file_system(path)
+        for batch in batches:
+            for staged, name in zip(batch.column("staged").to_pylist(), batch.column("name").to_pylist(), strict=True):
+                if not _is_file(system, staged) and _is_file(system, f"{root}/{name}"):
+                    system.delete_file(f"{root}/{name}")
+            yield batch
+
+    return undo
+
+
+def _clear(path: str, staging: str) -> None:
+    system, root = file_system(path)
+    if system.get_file_info(f"{root}/{staging}").type == fs.FileType.Directory:
+        system.delete_dir(f"{root}/{staging}")
 
 
-def write_named(files: DataFrame, path: str) -> None:
-    """Write rows (name, content) as files below `path`."""
-    spark = files.sparkSession
-    spark.dataSource.register(NamedFiles)
+def _clear_if_empty(path: str) -> None:
+    # A folder that held nothing but the staging one was made by this job.
+    system, root = file_system(path)
+    if system.get_file_info(root).type == fs.FileType.Directory and not system.get_file_info(fs.FileSelector(root)):
+        system.delete_dir(root)
+
+
+def write_named(files: DataFrame, path: str) -> DataFrame:
+    """Write rows (name, content) as files below `path`; returns the stored `path` of each.
+
+    The stored rows can be given to `read_corpus`, which then lists nothing, and to
+    `release`.
+    """
+    path, staging = qualified(files.sparkSession, path).rstrip("/"), f"_staging-{uuid.uuid4().hex}"
     rows = files.select("name", F.col("content").cast("binary").alias("content"))
-    rows.write.format(FORMAT).mode("append").option("path", path).save()
+    staged = None
+    try:
+        staged = materialise(rows.mapInArrow(_staged(path, staging), _STAGED), "staged")
+        twice = staged.groupBy("name").count().filter("count > 1").head()
+        if twice:
+            raise ValueError(f"more than one row has the name {twice.name}")
+        there = staged.mapInArrow(_taken(path), _STAGED).head()
+        if there:
+            raise FileExistsError(f"{path}/{there.name}")
+        try:
+            moved = staged.mapInArrow(_moved(path), _STAGED)
+            written = materialise(moved.select(F.concat(F.lit(f"{path}/"), "name").alias("path")), "written")
+        except Exception:
+            staged.mapInArrow(_undone(path), _STAGED).write.format("noop").mode("overwrite").save()
+            raise
+    except Exception:
+        _clear(path, staging)
+        _clear_if_empty(path)
+        raise
+    finally:
+        if staged is not None:
+            release(staged)
+    _clear(path, staging)
+    system, root = file_system(path)
+    system.create_dir(root, recursive=True)
+    with system.open_output_stream(f"{root}/{DONE}"):
+        pass
+    return written
