@@ -1,38 +1,98 @@
 """Many small files stored as a few large ones, and only new files read again.
 
-Files are listed without their contents, what the manifest does not list yet is
-dealt to splits of about equal bytes, and the contents are written once, one
-Parquet file for each split. The manifest has a row for each file (path, length,
+Files are listed without their contents, folders in tasks; what the manifest does
+not list yet is dealt to splits of about equal bytes, and each split is read and
+written by one task, as one Parquet file: contents are not shuffled. The manifest has a row for each file (path, length,
 time of change, digest and table), so a second run reads what is new or changed.
 Empty files are left out, as by every scan of Spark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filings.operators.manifest import Manifest
 from filings.operators.storage import materialise, release
+from filings.sinks.named import file_system
+from filings.sources.corpus import with_contents
 
 SPLIT_BYTES = 128 << 20
-# New files that are named to one scan, when others need not be read.
-NAMED = 20_000
+# Files that a task lists before it hands them on.
+LISTED = 10_000
 
 _FILES = "path string, length long, modified timestamp, digest string, `table` string, current boolean"
 
 
-def _escaped(path: str) -> str:
-    """A path that holds characters of a pattern, as one that matches itself."""
-    return "".join(f"\\{c}" if c in "[]{}*?\\" else c for c in path)
+def _hidden(name: str) -> bool:
+    """Names that scans of Spark leave out."""
+    partition = name.startswith("_") and "=" in name
+    return name.startswith((".", "_")) and not partition or name.endswith("._COPYING_")
+
+
+def _roots(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
+    """Paths to list in tasks, and whether the folders in them are listed as well.
+
+    Of `folder/*` the driver sees the folder, not what is in it.
+    """
+    every = path.endswith("/*")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.removesuffix("/*") if every else path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = system.globStatus(system.makeQualified(where)) or []
+    roots = [(status.getPath().toString(), every) for status in found if status.isDirectory() or not every]
+    if not roots:
+        raise FileNotFoundError(path)
+    return roots
+
+
+def _in_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """path, length and microseconds of change of the files of each root."""
+
+    def below(system: fs.FileSystem, root: str, inner: str, every: bool) -> Iterator[tuple[str, int, int]]:
+        own = system.get_file_info(inner)
+        infos = system.get_file_info(fs.FileSelector(inner)) if own.type == fs.FileType.Directory else [own]
+        for info in infos:
+            # Scans leave out empty files.
+            if _hidden(info.base_name) or info.type == fs.FileType.File and not info.size:
+                continue
+            path = root if info is own else f"{root}/{info.base_name}"
+            if info.type == fs.FileType.File:
+                # Milliseconds, as scans have them.
+                yield path, info.size, info.mtime_ns // 1_000_000 * 1_000
+            elif every or "=" in info.base_name:
+                yield from below(system, path, info.path, False)
+
+    def batch_of(rows: list[tuple[str, int, int]]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True)
+        kinds = (pa.string(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "length", "micros"])
+
+    for batch in batches:
+        for root, every in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            system, inner = file_system(root)
+            rows = []
+            for row in below(system, root, inner, every):
+                rows.append(row)
+                if len(rows) == LISTED:
+                    yield batch_of(rows)
+                    rows = []
+            if rows:
+                yield batch_of(rows)
 
 
 def listed(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """path, length and modified of all files; contents are not read."""
-    files = spark.read.format("binaryFile").load([paths] if isinstance(paths, str) else list(paths))
-    return files.select("path", "length", F.col("modificationTime").alias("modified"))
+    """path, length and modified of all files that are not empty; contents are not read.
+
+    Paths and patterns are those of a scan. A task lists a folder.
+    """
+    roots = [root for path in ([paths] if isinstance(paths, str) else paths) for root in _roots(spark, path)]
+    rows = spark.createDataFrame(roots, "root string, every boolean").repartition(min(len(roots), 1_000))
+    files = rows.mapInArrow(_in_folders, "path string, length long, micros long")
+    return files.select("path", "length", F.timestamp_micros("micros").alias("modified"))
 
 
 def in_splits(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
@@ -70,15 +130,14 @@ class PackedCorpus:
         """Pack the files that are new or changed; returns how many."""
         before = self.manifest.version()
         known = self.manifest.rows(before)
-        every = listed(self.spark, paths)
         same = known.filter("current").select("path", "length", "modified")
-        fresh = materialise(every.join(same, ["path", "length", "modified"], "left_anti"), "fresh")
+        files = listed(self.spark, paths)
+        fresh = materialise(files.join(same, ["path", "length", "modified"], "left_anti"), "fresh")
         n = fresh.count()
         if n:
-            whole = n == every.count()
             table = self.manifest.new_table()
             placed = materialise(in_splits(fresh, self.split_bytes), "splits")
-            self._write(placed, paths if whole else None, table)
+            self._write(placed, table)
             made = self.spark.read.parquet(table)
             name = F.lit(table.rsplit("/", 1)[-1])
             rows = made.select("path", "length", "modified", "digest", name.alias("table"), F.lit(True).alias("current"))
@@ -90,28 +149,12 @@ class PackedCorpus:
         release(fresh)
         return n
 
-    def _write(self, placed: DataFrame, paths, table: str) -> None:
-        """Contents by split, each read once: from whole folders, or from named files."""
-        if paths is not None:
-            self._write_part(placed, [paths] if isinstance(paths, str) else list(paths), table)
-            return
-        # Spark lists the files of a scan on the driver: it gets so many names at a time.
-        parts = -(-placed.count() // NAMED)
-        marked = materialise(placed.withColumn("_part", F.pmod(F.xxhash64("split"), F.lit(parts))), "named")
-        for part in range(parts):
-            own = marked.filter(F.col("_part") == part).drop("_part")
-            names = [_escaped(row.path) for row in own.select("path").collect()]
-            if names:
-                self._write_part(own, names, table)
-        release(marked)
-
-    def _write_part(self, placed: DataFrame, paths: list[str], table: str) -> None:
-        files = self.spark.read.format("binaryFile").load(paths).select("path", "content")
+    def _write(self, placed: DataFrame, table: str) -> None:
+        """Contents by split: a task and a file for each."""
         splits = placed.agg(F.max("split")).head()[0] + 1
-        rows = files.join(placed, "path").withColumn("digest", F.sha2("content", 256))
-        # A task and a file for each split.
-        dealt = rows.repartitionById(splits, F.col("split")).sortWithinPartitions("path")
-        dealt.drop("split").write.mode("append").parquet(table)
+        dealt = placed.repartitionById(splits, F.col("split")).sortWithinPartitions("path")
+        rows = with_contents(dealt).withColumn("digest", F.sha2("content", 256))
+        rows.drop("split").write.parquet(table)
 
     def corpus(self) -> DataFrame:
         """`path`, `folder` and `content` of every file as it is now, as `read_corpus` has them."""

@@ -63,3 +63,27 @@ def test_digests_tell_contents(spark, tmp_path):
     packed.add(str(tmp_path / "in"))
     digests = {r.path[-1]: r.digest for r in packed.files().collect()}
     assert digests["a"] == digests["b"] != digests["c"]
+
+
+def test_a_list_is_made_in_tasks_and_is_that_of_a_scan(spark, tmp_path):
+    files = {f"f{i % 4}/d{i}.xml": bytes([65 + i]) * (i + 1) for i in range(20)}
+    files |= {"top.xml": b"t", "f0/deep/x": b"x", "f1/_no": b"n", "f1/.no": b"n", "f2/a b é%20": b"z"}
+    write(tmp_path / "in", files)
+    root = str(tmp_path / "in")
+    for paths in (f"{root}/*", f"{root}/*/*", f"{root}/f[123]", [f"{root}/f1/d*", f"{root}/top.xml"], f"{root}/{{f1,f2}}/*.xml"):
+        scan = spark.read.format("binaryFile").load([paths] if isinstance(paths, str) else paths)
+        scan = scan.selectExpr("path", "length", "modificationTime AS modified")
+        found = listed(spark, paths)
+        assert "binaryFile" not in found._jdf.queryExecution().toString()
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, scan.collect()))
+    write(tmp_path / "parts", {"k=1/y": b"y", "k=2/z": b"z"})
+    assert {r.path[-5:] for r in listed(spark, str(tmp_path / "parts")).collect()} == {"k=1/y", "k=2/z"}
+    packed = PackedCorpus(spark, str(tmp_path / "packed"))
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    assert packed.add(f"{root}/f1/*") == 5
+    write(tmp_path / "in", {f"f1/more{i}": b"m" for i in range(40)})
+    assert packed.add(f"{root}/f1/*") == 40
+    # A second run has no task for each new file.
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for job in tracker.getJobIdsForGroup(None) if job >= before for s in tracker.getJobInfo(job).stageIds]
+    assert max(stage.numTasks for stage in stages if stage) < 40
