@@ -4,10 +4,12 @@ import math
 import random
 from collections import Counter
 
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
 
 from filings.operators.cluster import (
     cluster_means,
+    fit_partitions,
     hash_vocabulary,
     hashed_tf,
     in_fixed_layout,
@@ -97,3 +99,32 @@ def test_short_documents_are_fitted_in_few_partitions(spark):
     long = spark.range(3_000).select("id", F.transform(F.sequence(F.lit(1), F.lit(250)), lambda i: i.cast("string")).alias("terms"))
     parts = lambda rows: in_fixed_layout(hashed_tf(rows, 1 << 20), ["id"], "tf").rdd.getNumPartitions()
     assert parts(short) == 2 and parts(long) in (3, 4)
+
+
+def test_sums_of_a_fit_grow_no_faster_than_documents():
+    sizes = [fit_partitions(0, n) for n in (1_000_000, 2_000_000, 100_000_000, 400_000_000, 800_000_000)]
+    assert sizes[0] == 5 and sizes[1] <= 9 and sizes[2] >= 50
+    # Four times the values, twice the partitions that send their sums.
+    assert sizes[3] <= 2 * sizes[2] + 1 and sizes[4] <= 200
+
+
+def test_documents_without_entries_and_products_in_one_pass(spark):
+    clusters = cluster_texts(prose(spark), VARIANTS["stopworded"], STOPWORDS)
+    k = len(clusters.model.clusterCenters())
+    centres = clusters.explain().select("cluster", "index", "weight").distinct()
+    none = F.udf(lambda v: Vectors.sparse(v.size, []), VectorUDT())
+    bare = clusters.documents.withColumn("tfidf", F.when(F.col("doc_id") == 7, none("tfidf")).otherwise(F.col("tfidf")))
+    found = nearest_centres(bare, ["doc_id"], centres, k)
+    own = clusters.model.clusterCenters()
+    row = found.filter("doc_id = 7").head()
+    assert found.count() == 120 and math.isclose(row.distance, sum(x * x for x in own[row.cluster]))
+    # Documents are read once; the others are weights and norms of the centres.
+    assert str(found._jdf.queryExecution().optimizedPlan().toString()).count("Relation [") == 3
+    weights = term_weights(clusters.documents, clusters.vocabulary, ["doc_id", "cluster"])
+    made = weights.groupBy("cluster").count()
+    made.collect()
+    # Terms move once for the frequencies and the weights.
+    assert "ReusedExchange" in made._jdf.queryExecution().executedPlan().toString()
+    plain = cluster_means(clusters.documents, weights.drop("cluster"), ["doc_id"])
+    means = {(r.cluster, r["index"]): r["mean"] for r in cluster_means(clusters.documents, weights, ["doc_id"]).collect()}
+    assert means and all(math.isclose(means[r.cluster, r["index"]], r["mean"]) for r in plain.collect())
