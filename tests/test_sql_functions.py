@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import q_block15_sql, q_ngram5_sql
 from filings.functions import text as t
 from filings.functions.lateral import register_parse_elements
 from filings.functions.sql import register_functions
@@ -68,3 +69,9 @@ def test_elements_of_a_table_function(spark):
     for call in ("parse_elements(content, 'seq, nothing')", "parse_elements(i)", "parse_elements(content, cast(i AS string))"):
         with pytest.raises(Exception, match="parse_elements:"):
             spark.sql(f"SELECT * FROM some_pages, LATERAL {call}").collect()
+
+
+def test_runs_of_words_are_made_once(spark):
+    for query in (q_ngram5_sql, q_block15_sql):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == 1
