@@ -50,3 +50,11 @@ def test_long_texts_are_quick():
     begun = time.process_time()
     assert fuzzy.free_end_distances([text[100:2100]] * 50, [text] * 50).tolist() == [0] * 50
     assert time.process_time() - begun < 20
+
+
+def test_batches_of_long_texts_are_bounded(monkeypatch):
+    patterns, texts = ["needle"] * 40, ["x" * 100_000 + "nedle" + "y" * i for i in range(40)]
+    sizes, batch = [], fuzzy._batch
+    monkeypatch.setattr(fuzzy, "_batch", lambda p, t, words: sizes.append(sum(map(len, t))) or batch(p, t, words))
+    assert fuzzy.free_end_distances(patterns, texts).tolist() == [1] * 40
+    assert max(sizes) <= fuzzy.CELLS and len(sizes) == 4
