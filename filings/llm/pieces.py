@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from itertools import pairwise, repeat
+from itertools import chain, compress, pairwise, repeat
 
 import numpy as np
 import pandas as pd
@@ -49,6 +49,8 @@ UNIT = 500
 # Code points of a longer unit that are looked at together.
 WINDOW = 1 << 15
 REMEMBERED = 700_000
+# `uniform` gives Gumbel values above -3.7 and below 36.8.
+SPREAD = 41.0
 
 # Marks that a vocabulary may keep apart from other characters.
 MARKS = ".,;:!?%&*$#|\"()'-/=+[]{}<>"
@@ -193,15 +195,22 @@ class Table:
         self.room[self.size : end] = values
         self.size = end
 
+    def keep(self, chosen: np.ndarray) -> None:
+        """Leave only the chosen values, in their order."""
+        values = self.room[: self.size][chosen]
+        self.room[: len(values)] = values
+        self.size = len(values)
+
     def __getitem__(self, at):
-        return self.room[at]
+        return self.room.take(at) if isinstance(at, np.ndarray) else self.room[at]
 
 
 class Lattices:
     """Lattices of units in flat tables.
 
-    Nodes are numbered so that the edges of each lie together, the likeliest
-    first; `cumulative` is the chance of the edges of a node so far.
+    Node 0 is the end of every unit. The edges of a node lie together, the likeliest
+    first; `cumulative` is the chance of the edges of a node so far. Beyond
+    `REMEMBERED` nodes, those of units that were not looked up again are forgotten.
     """
 
     def __init__(self, vocabulary: Vocabulary):
@@ -211,24 +220,57 @@ class Lattices:
     def clear(self) -> None:
         self.start: dict[str, int] = {}
         self.first = Table(np.int32)  # first edge of each node, and the end of all
-        self.first.extend(np.zeros(1))
-        self.source, self.target = Table(np.int32), Table(np.int32)
+        self.first.extend(np.zeros(2))
+        self.owner, self.again = Table(np.int32), Table(bool)  # start node of the unit; looked up again
+        self.target = Table(np.int32)
         self.piece = Table(np.int32)  # below zero: a spelled character
-        self.chance, self.rest = Table(np.float64), Table(np.float64)  # logarithms
+        self.chance = Table(np.float64)  # logarithms, zero for an only edge
         self.cumulative = Table(np.float32)
+        self.owner.extend(np.zeros(1))
+        self.again.extend(np.ones(1))
 
     def nodes_of(self, units: list[str]) -> np.ndarray:
         """Start nodes of units; the lattices of new ones are built."""
         if self.first.size > REMEMBERED:
-            self.clear()
+            self._forget()
         nodes = np.fromiter(map(self.start.get, units, repeat(-1)), dtype=np.int64, count=len(units))
-        unknown = np.flatnonzero(nodes < 0)
+        known, unknown = nodes[nodes >= 0], np.flatnonzero(nodes < 0)
+        self.again.room[known] = True
         if len(unknown):
             new = list(map(units.__getitem__, unknown.tolist()))
             self._build(list(dict.fromkeys(new)))
             nodes[unknown] = list(map(self.start.__getitem__, new))
         return nodes
 
+    def _forget(self) -> None:
+        """Drop the units that were not looked up again, or all if most were."""
+        sizes = np.diff(self.first[: self.first.size])
+        kept = self.again[self.owner[: self.owner.size]]
+        if kept.sum() > REMEMBERED // 2:
+            self.clear()
+            return
+        edges, number = np.repeat(kept, sizes), np.cumsum(kept) - 1
+        for table in (self.target, self.piece, self.chance, self.cumulative):
+            table.keep(edges)
+        for table in (self.owner, self.again):
+            table.keep(kept)
+        for table in (self.target, self.owner):
+            table.room[: table.size] = number[table[: table.size]]
+        sizes, self.first.size = sizes[kept], 0
+        self.first.extend(np.r_[0, np.cumsum(sizes)])
+        self.again.room[1 : len(sizes)] = False
+        nodes = np.fromiter(self.start.values(), dtype=np.int64, count=len(self.start))
+        renumbered = zip(self.start, number[nodes].tolist(), strict=True)
+        self.start = dict(compress(renumbered, kept[nodes].tolist()))
+
+    def rest(self, chance: np.ndarray) -> np.ndarray:
+        """Log-chance of all other edges of a node, given that of one."""
+        with np.errstate(divide="ignore"):
+            return np.log(-np.expm1(chance))
+
+    def nodes_before(self, edges: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first[: self.first.size], edges, side="right") - 1
+
     def divided(self, units: list[str]) -> list[str]:
         """Units of a text, with those of more than `UNIT` code points cut further."""
         if max(map(len, units), default=0) <= UNIT:
@@ -288,28 +330,28 @@ class Lattices:
         at, length, piece, score = self._edges(codes, ends)
         # Nodes by their distance from the end of their unit; ends come first.
         distance = ends - np.arange(len(codes))
-        order = np.argsort(distance, kind="stable")
+        order = np.argsort(distance.astype(np.uint16), kind="stable")
         number = np.empty(len(codes), dtype=np.int64)
-        number[order] = np.arange(len(codes)) + 1  # one end serves all units
+        number[order] = np.arange(len(codes)) + 1
         reached = at + length
         target = np.where(reached == ends[at], 0, number[np.minimum(reached, len(codes) - 1)])
         cuts = np.searchsorted(distance[order], np.arange(1, distance.max() + 2)) + 1
-        base = self.first.size - 1
-        self._add(base, 0, number[at], target, piece, score, np.zeros(len(codes) + 1), cuts)
-        begins = np.cumsum(lengths) - lengths
+        # Node 0 of these is the end; the others follow on the nodes there are.
+        base, begins = self.first.size - 2, np.cumsum(lengths) - lengths
+        self.owner.extend(np.repeat(base + number[begins], lengths)[order])
+        self._add(base, 1, number[at], target, piece, score, np.zeros(len(codes) + 1), cuts)
         self.start.update(zip(units, (base + number[begins]).tolist(), strict=True))
 
     def _build_long(self, unit: str) -> None:
         """The lattice of one unit, from its end, window by window."""
         codes, n = _codes(unit), len(unit)
-        base, total = self.first.size - 1, np.zeros(n + 1)
+        base, total = self.first.size - 2, np.zeros(n + 1)
+        self.owner.extend(np.full(n, base + n))
         for high in range(n, 0, -WINDOW):
             low = max(high - WINDOW, 0)
             at, length, piece, score = self._window(codes, low, high)
-            # The end is node 0, and part of the first window.
-            begin = 0 if high == n else n - high + 1
             cuts = np.arange(n - high + 1, n - low + 2)
-            self._add(base, begin, n - at, n - at - length, piece, score, total[: n - low + 1], cuts)
+            self._add(base, n - high + 1, n - at, n - at - length, piece, score, total[: n - low + 1], cuts)
         self.start[unit] = base + n
 
     def _add(self, base, begin, source, target, piece, score, total, cuts) -> None:
@@ -318,9 +360,9 @@ class Lattices:
         `total` has the log-sum over all ways to the end for each node, and gets
         those of the new ones; no edge joins two nodes between the same cuts.
         """
-        by_source = np.argsort(source, kind="stable")
+        by_source = np.sort(source << 32 | np.arange(len(source))) & (1 << 32) - 1
         source, target, piece, score = source[by_source], target[by_source], piece[by_source], score[by_source]
-        first = np.searchsorted(source, np.arange(begin, len(total) + 1))
+        first = np.r_[0, np.cumsum(np.bincount(source - begin))]
         for low, high in zip(cuts[:-1], cuts[1:], strict=True):
             if low == high:
                 continue
@@ -332,41 +374,42 @@ class Lattices:
             total[low:high] = top + np.log(np.add.reduceat(value, groups))
         only = (first[1:] - first[:-1])[source - begin] == 1
         chance = np.where(only, 0.0, np.minimum(score + total[target] - total[source], -1e-16))
-        falling = (1 - np.exp(chance)) * ((1 << 20) - 1)
-        likeliest = np.argsort(source << 20 | falling.astype(np.int64), kind="stable")
-        chance, target, piece, only = chance[likeliest], target[likeliest], piece[likeliest], only[likeliest]
-        with np.errstate(divide="ignore"):
-            rest = np.where(only, -np.inf, np.log(-np.expm1(chance)))
-        sums = np.cumsum(np.exp(chance))
-        sums -= np.r_[0, sums][first[source - begin]]
-        # The last edge of each node takes what is left; the end has none.
-        sums[first[1 if begin else 2 :] - 1] = 2.0
-        edges = self.source.size
+        share = np.exp(chance)
+        falling = ((1 - share) * ((1 << 20) - 1)).astype(np.int64)
+        bits, own = self.vocabulary.longest.bit_length(), first[source - begin]
+        keys = np.sort((source << 20 | falling) << bits | np.arange(len(source)) - own)
+        likeliest = own + (keys & (1 << bits) - 1)
+        chance, target, piece = chance[likeliest], target[likeliest], piece[likeliest]
+        sums = np.cumsum(share[likeliest])
+        sums -= np.r_[0, sums][own]
+        sums[first[1:] - 1] = 2.0  # the last edge of each node takes what is left
+        edges = self.target.size
         self.first.size -= 1
         self.first.extend(edges + first)
-        self.source.extend(base + source)
-        self.target.extend(base + target)
-        for table, values in ((self.piece, piece), (self.chance, chance), (self.rest, rest)):
-            table.extend(values)
+        self.target.extend(np.where(target > 0, base + target, 0))
+        self.piece.extend(piece)
+        self.chance.extend(chance)
         self.cumulative.extend(sums)
+        self.again.extend(np.zeros(len(total) - begin))
 
     def walk(self, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draw a way from each node to the end of its unit.
 
         Edges of all ways, one way after the other, and the length of each.
         """
-        way, steps = np.flatnonzero(self.first[nodes] < self.first[nodes + 1]), []
-        node = nodes[way]
+        way, steps = np.flatnonzero(nodes), []
+        node, seed = nodes[way], seeds[way]
         while len(way):
-            drawn, edge = uniform(seeds[way] + np.uint64(2 * len(steps))), self.first[node]
+            drawn, edge = uniform(seed + np.uint64(2 * len(steps))), self.first[node].astype(np.int64)
             later = np.flatnonzero(drawn >= self.cumulative[edge])
             while len(later):
-                edge[later] += 1
-                later = later[drawn[later] >= self.cumulative[edge[later]]]
+                at = edge[later] + 1
+                edge[later] = at
+                later = later[drawn[later] >= self.cumulative[at]]
             steps.append((way, edge))
             node = self.target[edge]
-            inside = self.first[node] < self.first[node + 1]
-            way, node = way[inside], node[inside]
+            inside = np.flatnonzero(node)
+            way, node, seed = way[inside], node[inside].astype(np.int64), seed[inside]
         counts = np.zeros(len(nodes), dtype=np.int64)
         for step, (way, _) in enumerate(steps, start=1):
             counts[way] = step
@@ -406,12 +449,15 @@ def truncated(place: np.ndarray, bound: np.ndarray, keys: np.ndarray) -> np.ndar
 
 
 class Path:
-    """A sampled segmentation of a row, and the sets that depart from it."""
+    """A sampled segmentation of a row, and the sets that depart from it.
+
+    Of these only the ones that may be among the best: the steps they depart
+    at, with units, log-probabilities before each step and perturbed values.
+    """
 
-    def __init__(self, edges, units, before, waiting, value, branch, excluded):
-        self.edges, self.units = edges, units
-        self.before = before  # log-probability before each step
-        self.waiting = waiting  # perturbed value of the set that departs at a step
+    def __init__(self, edges, log_prob, steps, units, before, waiting, value, branch, excluded):
+        self.edges, self.log_prob = edges, log_prob
+        self.steps, self.units, self.before, self.waiting = steps, units, before, waiting
         self.value, self.branch, self.excluded = value, branch, excluded
 
 
@@ -423,7 +469,7 @@ class Sampler:
         """For each row up to k of (ids, log_prob, perturbed, log_inclusion)."""
         find = self.vocabulary.unit.findall
         units = [self.lattices.divided(find(" " + text)) if text else [] for text in texts]
-        flat = [unit for own in units for unit in own]
+        flat = list(chain.from_iterable(units))
         nodes = self.lattices.nodes_of(flat)
         starts = np.cumsum([0, *map(len, units)])
         seeds = mixed_bits(np.array(keys, dtype=np.int64).view(np.uint64))
@@ -442,22 +488,55 @@ class Sampler:
         row = np.repeat(np.arange(len(sizes)), sizes)
         keys = self._unit_keys(seeds[row], 0, np.arange(len(nodes)) - starts[row])
         edges, counts = self.lattices.walk(nodes, keys)
-        unit = np.repeat(np.arange(len(nodes)), counts)
-        step = np.arange(len(edges)) - np.repeat(np.cumsum(counts) - counts, counts)
         values = -np.log(-np.log(uniform(seeds)))  # the best of all, at log-mass 0
         cuts = np.r_[0, np.cumsum(counts)][starts]
-        chance = np.r_[0, np.cumsum(self.lattices.chance[edges])]
+        before, log_probs, steps, place = self._departures(edges, cuts, np.zeros(len(sizes)), self.k)
+        unit, noise = self._noise(steps, counts, keys)
         own = row[unit]
-        before = chance[:-1] - chance[cuts[own]]
-        noise = keys[unit] + (2 * step + 1).astype(np.uint64)
-        waiting = truncated(before + self.lattices.rest[edges], values[own], noise)
+        waiting = truncated(place, values[own], noise)
+        unit, step, stops = unit - starts[own], steps - cuts[own], np.searchsorted(steps, cuts)
         out = []
         for r in range(len(sizes)):
-            a, b = cuts[r], cuts[r + 1]
-            path = Path(edges[a:b], unit[a:b] - starts[r], before[a:b], waiting[a:b], values[r], -1, ())
-            out.append([path])
+            near = slice(stops[r], stops[r + 1])
+            out.append([Path(
+                edges[cuts[r] : cuts[r + 1]], log_probs[r], step[near], unit[near], before[near], waiting[near],
+                values[r], -1, (),
+            )])
         return out
 
+    def _departures(self, edges, cuts, start, n: int) -> tuple[np.ndarray, ...]:
+        """Steps of ways where the `n` best sets depart, whatever the noise.
+
+        The ways lie between the cuts, and begin at log-probability `start`. For
+        each step: log-probability before it, place, log-mass of the set; for each
+        way: its log-probability. A set whose log-mass is by `SPREAD` less than that
+        of `n` others is below them, and no set has more than the way had before it.
+        """
+        t = self.lattices
+        chance = t.chance[edges]
+        sums = np.r_[0, np.cumsum(chance)]
+        shift = start - sums[cuts[:-1]]
+        steps = np.flatnonzero(chance < 0)
+        begin = np.searchsorted(steps, cuts)
+        sizes = np.diff(begin)
+        before = sums[steps] + np.repeat(shift, sizes)
+        bound = np.full(len(sizes), -np.inf)
+        many = np.flatnonzero(sizes >= n)
+        firsts = begin[many, None] + np.arange(n)
+        bound[many] = (before[firsts] + t.rest(chance[steps[firsts]])).min(axis=1, initial=np.inf) - SPREAD
+        near = np.flatnonzero(before >= np.repeat(bound, sizes))
+        before, steps = before[near], steps[near]
+        log_probs = start + np.add.reduceat(np.r_[chance, 0.0], cuts[:-1]) * (cuts[1:] > cuts[:-1])
+        return before, log_probs, steps, before + t.rest(chance[steps])
+
+    @staticmethod
+    def _noise(steps, counts, keys) -> tuple[np.ndarray, np.ndarray]:
+        """The unit of each step, and the key of its noise."""
+        ends = np.cumsum(counts)
+        unit = np.searchsorted(ends, steps, side="right")
+        within = steps - (ends - counts)[unit]
+        return unit, keys[unit] + (2 * within + 1).astype(np.uint64)
+
     def _next(self, sample: int, paths, nodes, starts, seeds) -> None:
         """Add the next best segmentation of every row that has one."""
         t = self.lattices
@@ -466,53 +545,68 @@ class Sampler:
             tops = [(p.waiting.max(), i) for i, p in enumerate(own) if len(p.waiting)]
             if len(own) == sample and tops and max(tops)[0] > -np.inf:
                 value, i = max(tops)
-                path, step = own[i], int(own[i].waiting.argmax())
-                path.waiting[step] = -np.inf
-                excluded = path.excluded if step == path.branch else (int(path.edges[step]),)
-                chosen.append((r, path, step, value, excluded))
+                path, at = own[i], int(own[i].waiting.argmax())
+                path.waiting[at] = -np.inf
+                chosen.append((r, path, at, value))
         if not chosen:
             return
-        branches, ways, unit_lists, sizes = [], [], [], []
-        seed = seeds[[item[0] for item in chosen]]
-        at = np.array([path.units[step] for _, path, step, _, _ in chosen])
-        branch_keys = self._unit_keys(seed, sample, at + (1 << 40))
-        drawn = uniform(branch_keys)
-        for n, (r, path, step, value, excluded) in enumerate(chosen):
-            node, unit = t.source[path.edges[step]], int(at[n])
-            options = np.arange(t.first[node], t.first[node + 1])
-            for edge in excluded:
-                options = options[options != edge]
-            weight = np.cumsum(np.exp(t.chance[options] - t.chance[options].max()))
-            edge = int(options[np.searchsorted(weight, drawn[n] * weight[-1], side="right")])
-            left = options[options != edge]
-            branches.append((edge, np.logaddexp.reduce(t.chance[left]) if len(left) else -np.inf, branch_keys[n : n + 1]))
-            after = nodes[starts[r] + unit + 1 : starts[r + 1]]
-            ways += [t.target[edge : edge + 1], after]
-            unit_lists.append(np.arange(unit, unit + 1 + len(after)))
-            sizes.append(1 + len(after))
-        way_keys = self._unit_keys(np.repeat(seed, sizes), sample, np.concatenate(unit_lists))
-        edges, counts = t.walk(np.concatenate(ways), way_keys)
-        ends, way_ends = np.cumsum(counts), np.cumsum(sizes)
-        step_in_unit = np.arange(len(edges)) - np.repeat(ends - counts, counts)
-        noise = np.repeat(way_keys, counts) + (2 * step_in_unit + 1).astype(np.uint64)
-        for (r, path, step, value, excluded), (edge, left, key), n, high in zip(
-            chosen, branches, sizes, way_ends, strict=True
-        ):
-            a, b = (ends[high - n] - counts[high - n], ends[high - 1])
-            unit, tail = int(path.units[step]), edges[a:b]
-            units = unit + np.repeat(np.arange(n), counts[high - n : high])
-            start = path.before[step]
-            sums = np.cumsum(np.concatenate([[start + t.chance[edge]], t.chance[tail]]))
-            at_branch = truncated(np.array([start + left]), value, key + np.uint64(1))
-            later = truncated(sums[:-1] + t.rest[tail], value, noise[a:b])
+        row = np.array([r for r, *_ in chosen])
+        unit, step, start, value = (np.array(column) for column in zip(
+            *((path.units[at], path.steps[at], path.before[at], value) for _, path, at, value in chosen), strict=True
+        ))
+        departed = [int(path.edges[path.steps[at]]) for _, path, at, _ in chosen]
+        excluded = [
+            path.excluded if path.steps[at] == path.branch else (edge,)
+            for (_, path, at, _), edge in zip(chosen, departed, strict=True)
+        ]
+        seed = seeds[row]
+        branch_keys = self._unit_keys(seed, sample, unit + (1 << 40))
+        branches, remain = self._branch(np.array(departed), excluded, uniform(branch_keys))
+        # Units from that of the branch on; their ways begin behind it.
+        sizes = starts[row + 1] - starts[row] - unit
+        stops = np.cumsum(sizes)
+        units = np.arange(stops[-1]) - np.repeat(stops - sizes - unit, sizes)
+        ways = nodes[units + np.repeat(starts[row], sizes)]
+        ways[stops - sizes] = t.target[branches]
+        way_keys = self._unit_keys(np.repeat(seed, sizes), sample, units)
+        edges, counts = t.walk(ways, way_keys)
+        cuts = np.r_[0, np.cumsum(counts)][np.r_[0, stops]]
+        before, log_probs, steps, place = self._departures(edges, cuts, start + t.chance[branches], self.k - sample)
+        way, noise = self._noise(steps, counts, way_keys)
+        stops = np.searchsorted(steps, cuts)
+        own = np.repeat(np.arange(len(chosen)), np.diff(stops))
+        waiting = truncated(place, value[own], noise)
+        at_branch = truncated(start + remain, value, branch_keys + np.uint64(1))
+        # The set that departs at the branch comes before those of its way.
+        steps, units, before, waiting = (
+            np.insert(later, stops[:-1], at)
+            for later, at in (
+                (steps - cuts[own] + step[own] + 1, step), (units[way], unit), (before, start), (waiting, at_branch)
+            )
+        )
+        stops += np.arange(len(stops))
+        for n, (r, path, _, _) in enumerate(chosen):
+            near = slice(stops[n], stops[n + 1])
             paths[r].append(Path(
-                np.concatenate([path.edges[:step], [edge], tail]),
-                np.concatenate([path.units[:step], [unit], units]),
-                np.concatenate([path.before[: step + 1], sums[:-1]]),
-                np.concatenate([np.full(step, -np.inf), at_branch, later]),
-                value, step, (*excluded, edge),
+                np.concatenate([path.edges[: step[n]], [branches[n]], edges[cuts[n] : cuts[n + 1]]]),
+                log_probs[n], steps[near], units[near], before[near], waiting[near], value[n], step[n],
+                (*excluded[n], int(branches[n])),
             ))
 
+    def _branch(self, departed, excluded, drawn) -> tuple[np.ndarray, np.ndarray]:
+        """Edges drawn at the nodes of others, and the log-chance of all that are left."""
+        t = self.lattices
+        node = t.nodes_before(departed)
+        first, stop = t.first[node].astype(np.int64), t.first[node + 1]
+        options = first[:, None] + np.arange((stop - first).max())
+        chance = np.where(options < stop[:, None], t.chance[np.minimum(options, stop[:, None] - 1)], -np.inf)
+        row = np.repeat(np.arange(len(node)), list(map(len, excluded)))
+        chance[row, np.array(list(chain.from_iterable(excluded))) - first[row]] = -np.inf
+        weight = np.cumsum(np.exp(chance - chance.max(axis=1, keepdims=True)), axis=1)
+        taken = (weight <= (drawn * weight[:, -1])[:, None]).sum(axis=1)
+        chance[np.arange(len(node)), taken] = -np.inf
+        return first + taken, np.logaddexp.reduce(chance, axis=1)
+
     def _result(self, own: list[Path]) -> list[tuple]:
         """Samples with the chance that a segmentation is among the best k.
 
@@ -521,9 +615,7 @@ class Sampler:
         threshold = max((p.waiting.max() for p in own if len(p.waiting)), default=-np.inf)
         out = []
         for path in own:
-            log_prob = 0.0
-            if len(path.edges):
-                log_prob = float(path.before[-1] + self.lattices.chance[path.edges[-1]])
+            log_prob = float(path.log_prob)
             if len(own) < self.k or threshold == -np.inf:
                 inclusion = 0.0
             else:
@@ -535,9 +627,13 @@ class Sampler:
 
     def _ids(self, edges: np.ndarray) -> np.ndarray:
         ids = self.lattices.piece[edges]
-        if len(ids) and ids.min() < 0:
-            parts = [self.vocabulary.spelled(-i) if i < 0 else (i,) for i in ids.tolist()]
-            ids = np.array([i for part in parts for i in part], dtype=np.int32)
+        where = np.flatnonzero(ids < 0)
+        if len(where):
+            spelled = [self.vocabulary.spelled(-i) for i in ids[where].tolist()]
+            sizes = np.ones(len(ids), dtype=np.int64)
+            sizes[where] = list(map(len, spelled))
+            ids = np.repeat(ids, sizes)
+            ids[ids < 0] = list(chain.from_iterable(spelled))
         return ids
 
 

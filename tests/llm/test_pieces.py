@@ -150,3 +150,36 @@ def test_pieces_cross_every_place_of_a_long_run(vocabulary):
         ends = np.cumsum(vocabulary.lengths[ids])
         crossed.update(set(range(1, 1_201)) - set(ends.tolist()))
     assert min(crossed[at] for at in range(2, 1_200)) > 0
+
+
+def test_units_that_come_again_are_built_once(vocabulary, monkeypatch):
+    rng = np.random.default_rng(7)
+    texts = [f"abba abab {''.join(rng.choice(list('abc!é'), 25))} cab" for _ in range(60)]
+    expected = [pieces.Sampler(vocabulary, 3).encode([i], [text])[0] for i, text in enumerate(texts)]
+    monkeypatch.setattr(pieces, "REMEMBERED", 300)
+    sampler, built = pieces.Sampler(vocabulary, 3), Counter()
+    build = sampler.lattices._build
+    monkeypatch.setattr(sampler.lattices, "_build", lambda units: (built.update(units), build(units)))
+    for i, text in enumerate(texts):
+        found = sampler.encode([i], [text])[0]
+        assert [s[0].tolist() for s in found] == [s[0].tolist() for s in expected[i]]
+        assert [s[1:] for s in found] == [pytest.approx(s[1:], abs=1e-9) for s in expected[i]]
+        assert sampler.lattices.first.size < 400
+    assert built[" abba"] == built[" abab"] == built[" cab"] == 1
+    assert len(built) > len(sampler.lattices.start)  # others were forgotten
+
+
+def test_noise_is_drawn_only_where_the_best_may_depart(vocabulary, monkeypatch):
+    texts, drawn = ["abba ab! " * 800, "ab", "é", "abbabb " * 300], Counter()
+    truncated = pieces.truncated
+    monkeypatch.setattr(pieces, "truncated", lambda p, b, k: (drawn.update(all=len(p)), truncated(p, b, k))[1])
+    found = pieces.Sampler(vocabulary, 4).encode([1, 2, 3, 4], texts)
+    steps = sum(len(ids) for samples in found for ids, *_ in samples)
+    assert drawn["all"] < steps / 10
+    # The rest could not change anything: noise lies within the spread.
+    ends = np.array([0.5, 2.0**52 - 0.5]) / 2.0**52
+    assert np.ptp(-np.log(-np.log(ends))) < pieces.SPREAD
+    monkeypatch.setattr(pieces, "SPREAD", np.inf)
+    for some, every in zip(found, pieces.Sampler(vocabulary, 4).encode([1, 2, 3, 4], texts), strict=True):
+        assert [s[0].tolist() for s in some] == [s[0].tolist() for s in every]
+        assert [s[1:] for s in some] == [s[1:] for s in every]
