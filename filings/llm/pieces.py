@@ -169,7 +169,8 @@ class Vocabulary:
         length = self.lengths[ids]
         ends = np.cumsum(length)
         at = np.repeat(self.begins[ids] - ends + length, length)
-        octets = self.flat[at + np.arange(len(at))].tobytes()
+        at += np.arange(len(at))
+        octets = self.flat.take(at).tobytes()
         stops = np.r_[0, ends][np.cumsum(sizes)].tolist()
         return [
             octets[low + 1 : high].decode("utf-8", "replace")
@@ -318,13 +319,13 @@ class Lattices:
         return tuple(np.concatenate(parts) for parts in zip(*found, strict=True))
 
     def _build(self, units: list[str]) -> None:
-        for unit in units:
-            if len(unit) > UNIT:
-                self._build_long(unit)
-        units = [unit for unit in units if len(unit) <= UNIT]
+        lengths = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        for at in np.flatnonzero(lengths > UNIT).tolist():
+            self._build_long(units[at])
+        if lengths.max() > UNIT:
+            units, lengths = list(compress(units, lengths <= UNIT)), lengths[lengths <= UNIT]
         if not units:
             return
-        lengths = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
         codes = _codes("".join(units))
         ends = np.repeat(np.cumsum(lengths), lengths)
         at, length, piece, score = self._edges(codes, ends)
@@ -427,14 +428,20 @@ def mixed_bits(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers without visible pattern."""
     with np.errstate(over="ignore"):
         x = np.asarray(x, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        x ^= x >> np.uint64(30)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        return x
 
 
 def uniform(keys: np.ndarray) -> np.ndarray:
     """Numbers above 0 and below 1."""
-    return ((mixed_bits(keys) >> np.uint64(12)).astype(np.float64) + 0.5) / (1 << 52)
+    out = (mixed_bits(keys) >> np.uint64(12)).astype(np.float64)
+    out += 0.5
+    out /= 1 << 52
+    return out
 
 
 def truncated(place: np.ndarray, bound: np.ndarray, keys: np.ndarray) -> np.ndarray:
