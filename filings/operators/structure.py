@@ -9,13 +9,18 @@ split places are sorted, so those of an anchor are one run of them, found by two
 binary searches. A document of any size is then joined by many tasks, and none
 holds more than a few splits and the anchors over them.
 
+Rows of a document that lie together in a partition, as the parser leaves them, need
+no such join: ranges are slices of them. `in_place` does the work there, in one pass
+that stores its results, and hands on what is cut by a partition's end, out of order
+or longer than a split. Only that is shuffled.
+
 Results are the rows of the operators of `markup` and `tables` of like names.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +39,9 @@ from filings.operators.tables import (
     SECTION_LABEL,
     _heading_ends,
     _place,
+    select_tables,
+    table_cells,
+    with_cells,
 )
 
 # Places in a split.
@@ -98,6 +106,75 @@ def _numbers(rows: pa.Table, names: Sequence[str]) -> np.ndarray:
     return out
 
 
+def _runs(keys: Sequence[str], fields: Sequence[str], most: int):
+    """Consecutive rows of a document as one row each, and whether that is all of it."""
+
+    def packed(rows: pa.Table, starts: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(starts) == 0:
+            return
+        rows = rows.slice(starts[0], ends[-1] - starts[0]).combine_chunks()
+        offsets = np.append(starts, ends[-1]) - starts[0]
+        nodes = [rows[name].combine_chunks() for name in fields]
+        columns = {name: rows[name].combine_chunks().take(pa.array(offsets[:-1])) for name in keys}
+        columns["whole"] = pa.array(whole)
+        structs = pa.StructArray.from_arrays(nodes, list(fields))
+        columns["elements"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs)
+        yield pa.RecordBatch.from_pydict(columns)
+
+    def cut(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the runs, whether they are whole documents, and their nodes in all."""
+        seq, number = rows["seq"].to_numpy(), _numbers(rows, keys)
+        new = (np.diff(seq) != 1) | (np.diff(number) != 0) | (seq[1:] == 0)
+        starts = np.append(0, np.flatnonzero(new) + 1)
+        ends = np.append(starts[1:], len(seq))
+        # The first node is the root, and its end is that of the document.
+        size = np.where(seq[starts] == 0, rows["end_seq"].to_numpy()[starts] + 1, most + 1)
+        return starts, ends, (ends - starts == size) & (size <= most), size
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            starts, ends, whole, size = cut(rows)
+            # The last document may go on in the next batch.
+            goes_on = size[-1] <= most and ends[-1] - starts[-1] < size[-1]
+            held = rows.slice(starts[-1]) if goes_on else None
+            done = len(starts) - goes_on
+            yield from packed(rows, starts[:done], ends[:done], whole[:done])
+        if held is not None:
+            starts, ends, whole, _ = cut(held)
+            yield from packed(held, starts, ends, whole)
+
+    return gather
+
+
+def in_place(
+    nodes: DataFrame, keys: Sequence[str], made: Callable[[DataFrame], DataFrame], name: str, most: int = SPLIT
+) -> tuple[DataFrame, DataFrame]:
+    """The column `name` that `made` adds to documents (keys, `elements`), and the nodes of the others.
+
+    A document is made where its rows lie if they follow one another and are at most
+    `most`. Both results are read from one stored table, written in one pass, so each
+    node is in one of them however a later scan cuts its files. It holds what was made,
+    and no nodes but those of the others.
+    """
+    fields = [f for f in nodes.schema.fields if f.name not in keys]
+    schema = T.StructType([
+        *(nodes.schema[k] for k in keys), T.StructField("whole", T.BooleanType()),
+        T.StructField("elements", T.ArrayType(T.StructType(fields))),
+    ])
+    runs = nodes.mapInArrow(_runs(keys, [f.name for f in fields], most), schema)
+    others = F.when(~F.col("whole"), F.col("elements"))
+    elements = F.when(F.col("whole"), F.col("elements")).otherwise(F.array().cast(schema["elements"].dataType))
+    documents = made(computed(runs, others=others, elements=elements))
+    stored = materialise(documents.select(*keys, name, "others"), name)
+    rest = stored.filter("others IS NOT NULL").select(*keys, F.inline("others"))
+    return stored.filter("others IS NULL").select(*keys, name), rest
+
+
 def descendants(
     anchors: DataFrame, nodes: DataFrame, keys: Sequence[str], fields: Sequence[str], itself: bool = False
 ) -> DataFrame:
@@ -180,6 +257,12 @@ def selected_tables(
 
 def cell_rows(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, `table_no`, `row_no`, `col_no` (from 1) and `text` of all cells of selected tables."""
+    documents, rest = in_place(nodes, keys, lambda documents: with_cells(select_tables(documents)), "tables")
+    return table_cells(documents).unionByName(joined_cell_rows(rest, keys))
+
+
+def joined_cell_rows(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """As `cell_rows`, by joins of ranges and places, wherever the rows lie."""
     tables = selected_tables(nodes, keys)
     parents = tables.select(*keys, F.col("seq").alias("parent_seq"), "table_no")
     rows = children(parents, nodes, keys, XHTML + "tr")
