@@ -40,8 +40,10 @@ from filings.operators.tables import (
     _heading_ends,
     _place,
     select_tables,
+    sibling_sections,
     table_cells,
     with_cells,
+    with_sections,
 )
 
 # Places in a split.
@@ -281,6 +283,12 @@ def joined_cell_rows(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def section_rows(nodes: DataFrame, keys: Sequence[str], label: str = SECTION_LABEL) -> DataFrame:
     """keys, `section_no` (from 1), `pos` (from 0) and `text` of the sections under a label."""
+    documents, rest = in_place(nodes, keys, lambda documents: with_sections(documents, label), "sections")
+    return sibling_sections(documents).unionByName(joined_section_rows(rest, keys, label))
+
+
+def joined_section_rows(nodes: DataFrame, keys: Sequence[str], label: str = SECTION_LABEL) -> DataFrame:
+    """As `section_rows`, by joins of ranges and places, wherever the rows lie."""
     blank = lambda name: F.nullif(F.col(name), F.lit(""))
     own = F.coalesce(blank("text"), blank("tail"), F.lit("n/a"))
     labels = nodes.filter(strip(F.lower(own)) == label)

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from filings.operators import structure
 from filings.operators.markup import parse_markup, parse_rows, well_formed
-from filings.operators.structure import cell_rows, in_place, joined_cell_rows
-from filings.operators.tables import select_tables, table_cells, with_cells
+from filings.operators.structure import cell_rows, in_place, joined_cell_rows, joined_section_rows, section_rows
+from filings.operators.tables import select_tables, sibling_sections, table_cells, with_cells, with_sections
 from tests.test_structure import PAGES, rows_of
 
 
@@ -14,12 +14,15 @@ def test_rows_that_do_not_lie_together_are_joined(spark, monkeypatch):
     parsed = well_formed(parse_markup(pages))
     nodes = parse_rows(pages).filter("error IS NULL").drop("error").persist()
     cells = rows_of(table_cells(with_cells(select_tables(parsed))))
+    sections = rows_of(sibling_sections(with_sections(parsed)))
     # Cut by the ends of partitions, dealt by node, and turned round.
     ordered = nodes.coalesce(1).sortWithinPartitions("doc_id", F.desc("seq"))
     for rows, split in ((nodes.repartitionByRange(4, "doc_id", "seq"), 3), (nodes.repartition(5, "seq"), structure.SPLIT), (ordered, 3)):
         monkeypatch.setattr(structure.within, "__defaults__", (split,))
         assert rows_of(cell_rows(rows, ["doc_id"])) == cells
+        assert rows_of(section_rows(rows, ["doc_id"])) == sections
     assert rows_of(joined_cell_rows(nodes, ["doc_id"])) == cells
+    assert rows_of(joined_section_rows(nodes, ["doc_id"])) == sections
 
 
 def test_documents_are_made_where_they_lie_and_no_node_is_lost(spark):
@@ -53,5 +56,5 @@ def test_documents_that_lie_together_are_not_shuffled(spark, monkeypatch):
     nodes = parse_rows(pages).filter("error IS NULL").drop("error")
     joined, within = [], structure.within
     monkeypatch.setattr(structure, "within", lambda anchors, places, *more: joined.append(places.count()) or within(anchors, places, *more))
-    assert cell_rows(nodes, ["id"]).count() == 3 * 400
+    assert cell_rows(nodes, ["id"]).count() == 3 * 400 and section_rows(nodes, ["id"]).count() == 0
     assert joined and sum(joined) == 0
