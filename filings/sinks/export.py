@@ -19,6 +19,11 @@ _CP1252_HIGH = {
     0x9E: "ž", 0x9F: "Ÿ",
 }
 
+# Places of the hash's digits in the names of folders: 4,096 folders at most.
+HASH_FOLDERS = ((1, 1), (2, 2))
+# Characters of a name, without its ending, that file systems take.
+LONGEST_NAME = 240
+
 
 def encode_cp1252(text: Column, errors: str = "strict") -> Column:
     """Bytes of the text in code page 1252, as a column of type binary.
@@ -77,11 +82,15 @@ def export_tables(
     Meant for the documents of listed taxpayers, not for a whole corpus: it
     makes one file per document. The key is (irmark, pos), and `document`, a
     hash of the path, where there is one: a submission may be filed twice. The
-    last part of the key names the file, the others its folders. Two documents
-    of one key are an error; after any error no file is left (`named`). Returns the
-    stored `path` of each file, for `read_corpus`.
+    last part of a key names the file, the others its folders; with `document`, the
+    whole key names the file, and folders are the first digits of that hash, as
+    two folders for each file would take twice the disk that it takes itself (a key
+    too long for one name keeps them). Two documents of one key are an error; after
+    any error no file is left (`named`). Returns the stored `path` of each file, for
+    `read_corpus`.
     """
-    if "path" in rendered.columns and key is None:
+    hashed = "path" in rendered.columns and key is None
+    if hashed:
         rendered = rendered.withColumn("document", F.md5("path"))
         key = ("irmark", "pos", "document")
     key = key or ("irmark", "pos")
@@ -98,7 +107,13 @@ def export_tables(
         raise ValueError("sep is a tab or a comma")
     content = F.concat(encode_cp1252(text, errors), F.lit(line_end.encode()))
     parts = [F.concat(F.lit(f"{name}="), part_of_name(F.col(name))) for name in key]
-    name = F.concat(F.concat_ws("/", *parts), F.lit(".txt"))
+    name = F.concat_ws("/", *parts)
+    if hashed:
+        # A value has no comma in a name.
+        digits = [F.substring("document", *place) for place in HASH_FOLDERS]
+        flat = F.concat_ws(",", *parts)
+        name = F.when(F.length(flat) <= LONGEST_NAME, F.concat_ws("/", *digits, flat)).otherwise(name)
+    name = F.concat(name, F.lit(".txt"))
     written = write_named(rendered.select(name.alias("name"), content.alias("content")), path)
     release(rendered)
     return written
